@@ -46,7 +46,8 @@ LATER = (
     r"\U000323b0-\U00033479\U0003d000-\U0003fc3f\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
 )
 MOST_VOCAB_BYTES = 64 << 20
-CACHED_WORDS = 200_000
+#: A worker holds at most about so many words and pairs between batches.
+CACHED_WORDS, CACHED_PAIRS = 100_000, 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -56,6 +57,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def token_bytes(spec: dict) -> dict[int, bytes]:
+    """The bytes of each id, special tokens included."""
+    alphabet = byte_alphabet()
+    plain = {i: bytes(alphabet[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+    return plain | {a["id"]: a["content"].encode() for a in spec["added_tokens"]}
+
+
+def decode_ids(bytes_of: dict[int, bytes], ids: Iterable[int]) -> str:
+    return b"".join(map(bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+
 class TrieBPE:
     """A byte-level BPE vocabulary in the JSON form of the tokenizers library."""
 
@@ -64,11 +76,9 @@ class TrieBPE:
         model, before = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"] or spec["normalizer"] or model.get("ignore_merges") or model.get("dropout"):
             raise ValueError("only byte-level BPE without normalizer or prefix space")
-        alphabet = byte_alphabet()
         vocab = model["vocab"]
-        self.bytes_of: dict[int, bytes] = {i: bytes(alphabet[c] for c in s) for s, i in vocab.items()}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
+        self.bytes_of = token_bytes(spec)
         self.plain = regex.compile(WORDS).findall
         later = WORDS.replace(r"[^\s\p{L}\p{N}]", r"[^\s[\p{L}\p{N}--[LATER]]]").replace(r"\p{L}+", r"[\p{L}--[LATER]]+").replace(r"\p{N}+", r"[\p{N}--[LATER]]+")
         self.careful = regex.compile("(?V1)" + later.replace("LATER", LATER)).findall
@@ -109,7 +119,7 @@ class TrieBPE:
                 usable.add(new)
         self.token = {self.bytes_of[i]: i for i in usable}
         self.tails = {s[k:] for s in self.token for k in range(len(s))}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
 
     def _apart(self, u: int, t: int, until: int) -> bool:
         """No merge crosses from u to t before rank `until`. Of equal merges the left one comes first."""
@@ -127,7 +137,7 @@ class TrieBPE:
         last: list[int] = [-1]  # by depth
         begin: list[int] = [0]
         previous = b""
-        if len(apart) > 4_000_000:
+        if len(apart) > CACHED_PAIRS:
             apart.clear()
         for word in words:
             n = len(word)
@@ -149,10 +159,10 @@ class TrieBPE:
                 for t, start in reversed(fits):
                     if start == 0:
                         break
-                    pair = (last[start], t)
+                    pair = last[start] << 32 | t
                     ok = apart.get(pair)
                     if ok is None:
-                        ok = apart[pair] = self._apart(*pair, 1 << 62)
+                        ok = apart[pair] = self._apart(last[start], t, 1 << 62)
                     if ok:
                         break
                 else:
@@ -205,19 +215,18 @@ class TrieBPE:
         return [list(chain.from_iterable(map(of, words))) for words in cuts]
 
     def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return decode_ids(self.bytes_of, ids)
 
 
-#: The worker's own model of the last broadcast vocabulary.
-_HELD: dict[int, TrieBPE] = {}
+#: The worker's own model of the last broadcast vocabulary, by what it is for.
+_HELD: dict[str, tuple[int, object]] = {}
 
 
-def _model(held) -> TrieBPE:
-    key = hash(held.value)
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = TrieBPE(held.value)
-    return _HELD[key]
+def _model(kind: str, source: bytes):
+    key = hash(source)
+    if kind not in _HELD or _HELD[kind][0] != key:
+        _HELD[kind] = key, TrieBPE(source) if kind == "encode" else token_bytes(json.loads(source))
+    return _HELD[kind][1]
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -233,7 +242,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     held = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(held)
+        model = _model("encode", held.value)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
@@ -247,7 +256,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
 
 #: Rows whose distinct words share one trie. More share more; memory is that of their words.
-ROWS = 4096
+ROWS = 2048
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -255,12 +264,12 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "id", ids_col: str = "i
     held = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(held)
+        bytes_of = _model("decode", held.value)
         for batch in batches:
             column = batch.column("ids")
             flat = column.values.to_numpy(zero_copy_only=False)
             ends = column.offsets.to_numpy()
-            texts = [model.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            texts = [decode_ids(bytes_of, flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), column, pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
     source = pick(df, id=id_col, ids=ids_col)

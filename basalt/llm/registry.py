@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from basalt.llm.bpe import op2_bpe_encode_decode
 from basalt.llm.media import op1_media_columns
+from basalt.llm.mixing import op6_mix_sources
+from basalt.llm.quality import op9_quality_classifier
 from basalt.llm.secret_scan import op8_secret_scans
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_bpe_encode_decode, op8_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_bpe_encode_decode, op6_mix_sources, op8_secret_scans, op9_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
