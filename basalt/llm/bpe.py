@@ -22,8 +22,8 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ LATER = (
 )
 MOST_VOCAB_BYTES = 64 << 20
 #: A worker holds at most about so many words and pairs between batches.
-CACHED_WORDS, CACHED_PAIRS = 100_000, 500_000
+CACHED_WORDS, CACHED_PAIRS = 400_000, 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -86,7 +86,7 @@ class TrieBPE:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if self.special else None
         self._merges(model["merges"], vocab)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def _merges(self, merges: list, vocab: dict[str, int]) -> None:
         """Ranks by pair; of each token the pieces on its edges, each with the rank at which it ends."""
@@ -117,10 +117,37 @@ class TrieBPE:
             self.right[new] = [*ends(self.right[t]), (new, inf)]
             if u in usable and t in usable and self._apart(u, t, r):
                 usable.add(new)
-        self.token = {self.bytes_of[i]: i for i in usable}
-        self.tails = {s[k:] for s in self.token for k in range(len(s))}
+        self._matcher(sorted(usable, key=lambda i: len(self.bytes_of[i])))
         self.apart: dict[int, bool] = {}
 
+    def _matcher(self, usable: list[int]) -> None:
+        """An automaton over all tokens: after each byte, the tokens that end there, the longest first."""
+        step: dict[int, int] = {}
+        ends: list[tuple[tuple[int, int], ...]] = [()]
+        back = [0]
+        nodes: dict[bytes, int] = {b"": 0}
+        token = {self.bytes_of[i]: i for i in usable}
+        prefixes = sorted({s[:k] for s in token for k in range(1, len(s) + 1)}, key=len)
+        for s in prefixes:
+            parent, byte = nodes[s[:-1]], s[-1]
+            node = nodes[s] = len(ends)
+            at = back[parent]
+            while parent and (to := step.get(at << 8 | byte)) is None and at:
+                at = back[at]
+            fall = (to or 0) if parent else 0
+            back.append(fall)
+            own = ((token[s], len(s)),) if s in token else ()
+            ends.append(own + ends[fall])
+            step[parent << 8 | byte] = node
+        self.step, self.ends, self.back = step, ends, back
+
+    def _move(self, node: int, byte: int) -> int:
+        at = node
+        while (to := self.step.get(at << 8 | byte)) is None and at:
+            at = self.back[at]
+        self.step[node << 8 | byte] = to = to or 0
+        return to
+
     def _apart(self, u: int, t: int, until: int) -> bool:
         """No merge crosses from u to t before rank `until`. Of equal merges the left one comes first."""
         rank = self.rank
@@ -133,9 +160,10 @@ class TrieBPE:
 
     def _states(self, words: list[bytes]) -> Iterator[list[int]]:
         """The encoding of each word; words are sorted, so that this is a depth-first walk of their trie."""
-        token, tails, apart = self.token, self.tails, self.apart
-        last: list[int] = [-1]  # by depth
+        step, ends, apart = self.step, self.ends, self.apart
+        last: list[int] = [-1]  # by depth: the last token, where it begins, and the automaton's state
         begin: list[int] = [0]
+        state: list[int] = [0]
         previous = b""
         if len(apart) > CACHED_PAIRS:
             apart.clear()
@@ -148,15 +176,14 @@ class TrieBPE:
             else:
                 while word[shared] == previous[shared]:
                     shared += 1
-            del last[shared + 1 :], begin[shared + 1 :]
-            for depth in range(shared + 1, n + 1):
-                start = depth - 1
-                fits = []
-                while start >= 0 and (tail := word[start:depth]) in tails:
-                    if (t := token.get(tail)) is not None:
-                        fits.append((t, start))
-                    start -= 1
-                for t, start in reversed(fits):
+            del last[shared + 1 :], begin[shared + 1 :], state[shared + 1 :]
+            node = state[-1]
+            for depth in range(shared, n):
+                byte = word[depth]
+                to = step.get(node << 8 | byte)
+                node = self._move(node, byte) if to is None else to
+                for t, size in ends[node]:
+                    start = depth + 1 - size
                     if start == 0:
                         break
                     pair = last[start] << 32 | t
@@ -166,9 +193,10 @@ class TrieBPE:
                     if ok:
                         break
                 else:
-                    raise ValueError(f"no token of the vocabulary ends {word[:depth]!r}")
+                    raise ValueError(f"no token of the vocabulary ends {word[: depth + 1]!r}")
                 last.append(t)
                 begin.append(start)
+                state.append(node)
             previous = word
             ids, at = [], n
             while at:
@@ -177,20 +205,18 @@ class TrieBPE:
             ids.reverse()
             yield ids
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of each distinct word."""
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The ids of each distinct word as native 32-bit numbers, among those of earlier words."""
+        words = list(words)
+        if len(self.cache) + len(words) > CACHED_WORDS:
+            cache = self.cache
+            self.cache = {w: cache[w] for w in words if w in cache}
         cache = self.cache
         new = {w.encode(): w for w in words if w not in cache}
         order = sorted(new)
-        found = {new[w]: tuple(ids) for w, ids in zip(order, self._states(order), strict=True)}
-        known = cache
-        if found:
-            known = cache | found
-            if len(known) <= CACHED_WORDS:
-                self.cache = known
-            elif len(cache) < CACHED_WORDS // 2:
-                self.cache = cache | dict(list(found.items())[: CACHED_WORDS // 2])
-        return known
+        for word, ids in zip(order, self._states(order), strict=True):
+            cache[new[word]] = array("i", ids).tobytes()
+        return cache
 
     def words(self, text: str) -> list[str]:
         return self.plain(text) if text.isascii() or not self.has_later(text) else self.careful(text)
@@ -204,15 +230,16 @@ class TrieBPE:
             out += [part] if i % 2 else self.words(part)
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as native 32-bit numbers."""
         cuts = [self.cut(t) for t in texts]
         distinct = set().union(*cuts) if cuts else set()
-        specials = {s: (i,) for s, i in self.special.items() if s in distinct}
+        specials = {s: array("i", [i]).tobytes() for s, i in self.special.items() if s in distinct}
         known = self.encode_words(distinct - specials.keys())
         if specials:
             known = known | specials
         of = known.__getitem__
-        return [list(chain.from_iterable(map(of, words))) for words in cuts]
+        return [b"".join(map(of, words)) for words in cuts]
 
     def decode(self, ids: Iterable[int]) -> str:
         return decode_ids(self.bytes_of, ids)
@@ -247,8 +274,8 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
                 found = model.encode_batch(as_texts(part.column("text")))
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
+                ends = np.cumsum([0, *(len(ids) // 4 for ids in found)], dtype=np.int32)
+                flat = np.frombuffer(b"".join(found), np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "ids"])
 
     source = pick(df, id=id_col, text=text_col)
@@ -256,7 +283,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
 
 #: Rows whose distinct words share one trie. More share more; memory is that of their words.
-ROWS = 2048
+ROWS = 4096
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
