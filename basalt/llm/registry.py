@@ -6,8 +6,9 @@ from basalt.llm.bpe import op2_bpe_encode_decode
 from basalt.llm.language_model import op3_language_model_scores
 from basalt.llm.media import op1_media_columns
 from basalt.llm.mixing import op6_mix_sources
+from basalt.llm.near_vectors import op7_near_vectors
 from basalt.llm.quality import op9_quality_classifier
 from basalt.llm.secret_scan import op8_secret_scans
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_bpe_encode_decode, op3_language_model_scores, op6_mix_sources, op8_secret_scans, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_bpe_encode_decode, op3_language_model_scores, op6_mix_sources, op7_near_vectors, op8_secret_scans, op9_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
