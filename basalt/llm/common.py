@@ -58,7 +58,7 @@ def crc32_mod(id_col: Column, n: int) -> Column:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size of df: for a file scan, the bytes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def as_binary(column: pa.Array) -> pa.Array:
@@ -72,3 +72,9 @@ def as_texts(column: pa.Array) -> list[str]:
     if pa.types.is_null(column.type):
         return [""] * len(column)
     return pc.fill_null(column, "").to_pylist()
+
+
+def text_bytes(df: DataFrame, text: str) -> int:
+    """About how many bytes of text df holds: the optimizer's figure, or counted where it has none."""
+    known = input_bytes(df)
+    return known if known < 1 << 50 else int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
