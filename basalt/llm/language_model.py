@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from basalt.llm.common import crc32_mod, cut, pick, table
 from basalt.llm.exchange import buckets_for, cut_by_range, grouped, mixed, pack, pack_sorted, unpack, unpack_sorted
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: A class of estimates is 1 / CLASSES octave; estimates reach down to 2^-LOWEST.
 CLASSES, LOWEST = 4, 60
 END = b"\n"
@@ -208,8 +208,8 @@ def answers(asked: DataFrame) -> DataFrame:
     return grouped(asked, "bucket", run, MESSAGE)
 
 
-def looked_up(rows: pa.Table) -> Iterator[tuple[dict, Block, np.ndarray, dict[str, np.ndarray]]]:
-    """Of each block among the rows: its row, tokens, roles, and totals by token: word, pair and context, fit and deleted."""
+def looked_up(rows: pa.Table, counted: str) -> Iterator[tuple[dict, Block, np.ndarray, dict[str, np.ndarray]]]:
+    """Of each block among the rows: its row, tokens, roles, and totals by token: word, pair and context. counted: c (fit) or cd (with deleted)."""
     by: dict[int, dict] = {}
     parts: dict[tuple[int, str], list[dict]] = {}
     for r in rows.to_pylist():
@@ -222,12 +222,12 @@ def looked_up(rows: pa.Table) -> Iterator[tuple[dict, Block, np.ndarray, dict[st
         total = {}
         for kind, order, at in (("word", block.word_order, block.codes), ("pair", block.pair_order, block.pair_at)):
             mine = sorted(parts.get((number, kind), []), key=lambda r: r["bucket"])
-            for column in "cd":
-                values = np.empty(len(order), np.float64)
-                values[order] = np.concatenate([unpack(r[column], "u8") for r in mine]) if mine else 0
-                total[kind + column] = values[at]
-                if kind == "word":
-                    total["context" + column] = values[block.context]
+            values = np.zeros(len(order))
+            for column in counted if mine else "":
+                values[order] += np.concatenate([unpack(r[column], "u8") for r in mine])
+            total[kind] = values[at]
+            if kind == "word":
+                total["context"] = values[block.context]
         yield row, block, roles, total
 
 
@@ -246,8 +246,8 @@ def held_out_counts(rows: DataFrame, n_fit: int) -> DataFrame:
 
     def run(table_: pa.Table) -> pa.Table:
         cells: dict[int, int] = {}
-        for _, _, _, t in looked_up(table_):
-            bucket, pair, word = estimates(t["pairc"], t["wordc"], t["contextc"], n_fit)
+        for _, _, _, t in looked_up(table_, "c"):
+            bucket, pair, word = estimates(t["pair"], t["word"], t["context"], n_fit)
             cell, count = np.unique((bucket * 1024 + classes(pair) + 1) * 1024 + classes(word) + 1, return_counts=True)
             for c, k in zip(cell.tolist(), count.tolist(), strict=True):
                 cells[c] = cells.get(c, 0) + k
@@ -302,11 +302,10 @@ def score_texts(df: DataFrame, role: Column, id_col: str = "doc_id", text_col: s
 
     def run(rows: pa.Table) -> pa.Table:
         out = []
-        for row, block, roles, t in looked_up(rows):
-            word, pair, context = (t[k + "c"] + t[k + "d"] for k in ("word", "pair", "context"))
-            bucket, p2, p1 = estimates(pair, word, context, n)
-            w = weights[bucket]
-            p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1)
+        for row, block, roles, t in looked_up(rows, "cd"):
+            word = t["word"]
+            bucket, p2, p1 = estimates(t["pair"], word, t["context"], n)
+            p = weights[bucket, 0] * p2 + weights[bucket, 1] * p1 + weights[bucket, 2] / (v + 1)
             if not n:
                 p = np.full_like(p, 1 / (v + 1))
             base = np.log10((word + 1) / (n + v + 1))
