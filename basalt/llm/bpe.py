@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import as_texts, pick, table
+from basalt.llm.common import as_texts, pick, sliced, table
 
 #: Fixed pattern of the byte-level pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,7 +47,7 @@ LATER = (
 )
 MOST_VOCAB_BYTES = 64 << 20
 #: A worker holds at most about so many words and pairs between batches.
-CACHED_WORDS, CACHED_PAIRS = 400_000, 500_000
+CACHED_WORDS, CACHED_PAIRS = 300_000, 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -264,26 +264,39 @@ def read_vocabulary(path: str) -> bytes:
     return data
 
 
-def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids array<int> of every whole text. vocabulary: the driver's path of the vocabulary's JSON."""
+#: Rows whose new words share one trie. More share more; memory is that of their words.
+ROWS = 1024
+
+
+def ids_array(found: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(ids) // 4 for ids in found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+def texts_array(bytes_of: dict[int, bytes], column: pa.ListArray) -> pa.Array:
+    flat = column.values.to_numpy(zero_copy_only=False)
+    ends = column.offsets.to_numpy()
+    return pa.array([decode_ids(bytes_of, flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+
+
+def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+    """id, ids array<int> of every whole text, and with `back` the text that the ids decode to, as decoded.
+
+    vocabulary: the driver's path of the vocabulary's JSON.
+    """
     held = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model("encode", held.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                found = model.encode_batch(as_texts(part.column("text")))
-                ends = np.cumsum([0, *(len(ids) // 4 for ids in found)], dtype=np.int32)
-                flat = np.frombuffer(b"".join(found), np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "ids"])
+        for batch in sliced(batches, ROWS):
+            ids = ids_array(model.encode_batch(as_texts(batch.column("text"))))
+            columns, names = [batch.column("id"), ids], ["id", "ids"]
+            if back:
+                columns, names = [*columns, texts_array(model.bytes_of, ids)], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     source = pick(df, id=id_col, text=text_col)
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>")
-
-
-#: Rows whose distinct words share one trie. More share more; memory is that of their words.
-ROWS = 4096
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * back)
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -292,12 +305,8 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "id", ids_col: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = _model("decode", held.value)
-        for batch in batches:
-            column = batch.column("ids")
-            flat = column.values.to_numpy(zero_copy_only=False)
-            ends = column.offsets.to_numpy()
-            texts = [decode_ids(bytes_of, flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), column, pa.array(texts, pa.string())], names=["id", "ids", "text"])
+        for batch in sliced(batches, ROWS):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ids"), texts_array(bytes_of, batch.column("ids"))], names=["id", "ids", "text"])
 
     source = pick(df, id=id_col, ids=ids_col)
     source = source.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
@@ -309,10 +318,10 @@ def op2_bpe_encode_decode(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    back = decode(encode(table(spark, sf_dir, "documents"), path), path)
-    return back.select(
+    both = encode(table(spark, sf_dir, "documents"), path, back=True)
+    return both.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

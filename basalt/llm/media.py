@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import as_binary, pick, table
+from basalt.llm.common import as_binary, pick, sliced, table
 
 STRIDE = 64
 TILE = 32
@@ -154,7 +154,7 @@ def media_columns(df: DataFrame, id_col: str = "id", media_col: str = "media", e
     """id, height, width, channels, samples (raw 8-bit), tile (NPY bytes), difference_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for data in as_binary(batch.column("media")).to_pylist():
                 try:
@@ -182,7 +182,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """id, n_bytes, media: each text's UTF-8 bytes, zero-filled to a positive multiple of 64, as a P5 image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, images = [], []
             for data in as_binary(batch.column("text")).to_pylist():
                 rows = max(1, -(-len(data) // STRIDE))
