@@ -67,6 +67,7 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def as_binary(column: pa.Array) -> pa.Array:

@@ -30,10 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import crc32_mod, cut, pick, table
+from basalt.llm.common import crc32_mod, cut, pick, sliced, table
 from basalt.llm.exchange import buckets_for, cut_by_range, grouped, mixed, pack, pack_sorted, unpack, unpack_sorted
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: A class of estimates is 1 / CLASSES octave; estimates reach down to 2^-LOWEST.
 CLASSES, LOWEST = 4, 60
 END = b"\n"
@@ -134,7 +134,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             pairs = len(codes)
             return message([{"block": number, "kind": "deleted" if deleted else "texts", "ids": frame(rows.column("id").combine_chunks()), "n": pairs, "a": pack(sizes.astype(np.uint32)), "b": pack(codes), "c": hashes.tobytes(), "d": pack(rows.column("role").combine_chunks().to_numpy(zero_copy_only=False).astype(np.uint8))}])
 
-        for batch in batches:
+        for batch in sliced(batches):
             mask = pc.equal(batch.column("role"), DELETED)
             for deleted in (False, True):
                 part = batch.filter(mask if deleted else pc.invert(mask))
