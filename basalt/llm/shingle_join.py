@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import cut, pick, table, text_bytes
+from basalt.llm.common import cut, pick, sliced, table, text_bytes
 from basalt.llm.components import connected_components, join_labels
 from basalt.llm.exchange import buckets_for, cut_by_range, mixed, pack, pack_sorted, unpack, unpack_sorted
 from basalt.llm.language_model import frame, unframe, words_of
 
-BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 60_000
+BLOCK_BYTES, BLOCK_ROWS = 6 << 20, 60_000
 TILE_ROWS = 1024
 #: Reps whose ids are broadcast at most; beyond that the join is by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -94,13 +94,14 @@ def in_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES)
     number = TaskContext.get().partitionId() << 24
     held, size, rows = [], 0, 0
     for batch in batches:
-        for start in range(0, batch.num_rows, 1024):
-            part = batch.slice(start, 1024)
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
             held.append(part)
             size, rows = size + part.nbytes, rows + part.num_rows
             if size >= block_bytes or rows >= BLOCK_ROWS:
                 yield number, pa.Table.from_batches(held)
                 number, held, size, rows = number + 1, [], 0, 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield number, pa.Table.from_batches(held)
 
@@ -180,7 +181,7 @@ def sets_of(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("rep")).select("text", "rep_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, values = shingle_sets(batch.column("text"), words)
             keys = set_keys(sizes, values)
             wanted = batch.column("rep_key").to_pylist()
