@@ -11,6 +11,7 @@ from basalt.llm.quality import op9_quality_classifier
 from basalt.llm.repeats import op10_remove_repeats
 from basalt.llm.secret_scan import op8_secret_scans
 from basalt.llm.shingle_join import op5_shingle_jaccard_join
+from basalt.llm.training_order import op4_training_order
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_bpe_encode_decode, op3_language_model_scores, op5_shingle_jaccard_join, op6_mix_sources, op7_near_vectors, op8_secret_scans, op9_quality_classifier, op10_remove_repeats)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_bpe_encode_decode, op3_language_model_scores, op4_training_order, op5_shingle_jaccard_join, op6_mix_sources, op7_near_vectors, op8_secret_scans, op9_quality_classifier, op10_remove_repeats)}
 ORACLE_SQL: dict[str, str] = {}
