@@ -3,7 +3,7 @@
 A byte goes when a 50-byte string over it also starts in a document with a smaller id.
 
 1. Copies: documents equal as a whole are one class; those with a greater id than the class's least go entirely.
-2. Anchors: of the hashes of all 16-byte strings the least of each 50-byte window is an anchor; equal windows have equal
+2. Anchors: of the hashes of all 32-byte strings the least of each 50-byte window is an anchor; equal windows have equal
    anchors. Blocks of documents ask buckets which of their anchors occur in other documents too (see exchange.py). A window
    whose anchor, its leftmost least hash, no other document has is no repeat. What is left is short.
 3. Pieces: consecutive windows between certain anchors are a piece. Equal pieces are counted once: those with a greater id than their
@@ -37,7 +37,7 @@ from basalt.llm.language_model import frame, unframe
 from basalt.llm.run_index import RunIndex
 from basalt.llm.shingle_join import asked, in_blocks
 
-GRAM = 16
+GRAM = 32
 BLOCK_BYTES = 2 << 20
 #: One in so many anchors begins a new long piece.
 SPARSE = 8
@@ -49,10 +49,10 @@ ASKED = "block bigint, bucket int, ids binary, sizes binary, keys binary, cells
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all 16-byte strings of data."""
+    """64-bit hashes of all 32-byte strings of data."""
     h = data.astype(np.uint64) + np.uint64(1)
     step = np.uint64(0x9E3779B97F4A7C15)
-    for n in (1, 2, 4, 8):
+    for n in (1, 2, 4, 8, 16):
         if len(h) <= n:
             return np.zeros(0, np.uint64)
         h = h[:-n] * step + h[n:]
@@ -71,7 +71,7 @@ def sliding(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of texts laid end to end: places (of the 16-byte string), hashes, and the windows they belong to."""
+    """Anchors of texts laid end to end: places (of the 32-byte string), hashes, and the windows they belong to."""
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, least: int) -> None:
         span = least - GRAM + 1
