@@ -46,10 +46,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Rows in a batch that goes to Python while a cut is computed: texts are long, and a worker holds a batch or two.
+BATCH_ROWS = "1000"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and held in the shared checkpoint folder, which outlives any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
 
 
 def crc32_mod(id_col: Column, n: int) -> Column:

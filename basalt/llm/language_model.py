@@ -11,7 +11,8 @@ each block asks for the counts of its distinct unigrams and bigrams (see exchang
 the held-out counts in classes of (bucket, bigram estimate, unigram estimate) a quarter of an octave wide: at most some
 hundred thousand numbers, however large the corpus is.
 
-Words are compared by 128-bit hashes, bigrams by 64-bit ones, of which a few in 10^9 meet by chance at 10^10 distinct bigrams.
+Words are compared by 64-bit hashes (two of 10^8 distinct words meet with a chance of 3 in 10^4), bigrams by hashes of twice as many bits
+as their number has, so that at most a few of all bigrams meet.
 
 Defined results: a null or empty text has one token, the end; a null id counts as the empty text for the split; without training
 texts N and V are 0 and both scores use the uniform estimate 1; repeated rows each count and each get a row; empty tables give
@@ -57,12 +58,13 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of each text with its end, as numbers of words by falling frequency, and 128-bit hashes of the words."""
+    """Tokens of each text with its end, as numbers of words by falling frequency, and hashes of the words."""
     sizes, flat = words_of(texts)
     coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    digests = b"".join([xxhash.xxh3_128_digest(w) for w in (*coded.dictionary.cast(pa.large_binary()).to_pylist(), END)])
-    hashes = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, [*names, END]), np.uint64, len(names) + 1)
+    del flat, coded, names
     end = len(hashes) - 1
     at = np.cumsum(sizes + 1) - 1
     all_codes = np.full(len(codes) + len(sizes), end, np.int64)
@@ -78,7 +80,7 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Block:
     """A block's tokens, their contexts and their distinct bigrams."""
 
-    def __init__(self, sizes: np.ndarray, codes: np.ndarray, hashes: np.ndarray) -> None:
+    def __init__(self, sizes: np.ndarray, codes: np.ndarray, hashes: np.ndarray, bits: int) -> None:
         self.sizes, self.codes, self.hashes = sizes, codes.astype(np.int64), hashes
         self.first = np.cumsum(sizes) - sizes
         end = self.codes[-1] if len(self.codes) else 0
@@ -88,10 +90,10 @@ class Block:
         pairs = self.context * (len(hashes) + 1) + self.codes
         distinct, self.pair_at = np.unique(pairs, return_inverse=True)
         before, after = np.divmod(distinct, len(hashes) + 1)
-        keys = mixed(hashes[before, 0], mixed(hashes[after, 0], np.uint64(1)))
+        keys = mixed(hashes[before], mixed(hashes[after], np.uint64(1))) >> np.uint64(64 - bits) << np.uint64(64 - bits)
         self.pair_order = np.argsort(keys, kind="stable")
         self.pair_keys = keys[self.pair_order]
-        self.word_order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+        self.word_order = np.argsort(hashes, kind="stable")
 
     def counts(self, roles: np.ndarray, role: int) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of each word and each bigram, in the order of their keys, in texts of a role."""
@@ -132,6 +134,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             sizes, codes, hashes = coded(rows.column("text").combine_chunks())
             number += 1
             pairs = len(codes)
+            pa.default_memory_pool().release_unused()
             return message([{"block": number, "kind": "deleted" if deleted else "texts", "ids": frame(rows.column("id").combine_chunks()), "n": pairs, "a": pack(sizes.astype(np.uint32)), "b": pack(codes), "c": hashes.tobytes(), "d": pack(rows.column("role").combine_chunks().to_numpy(zero_copy_only=False).astype(np.uint8))}])
 
         for batch in sliced(batches):
@@ -149,24 +152,24 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text", "role").mapInArrow(run, MESSAGE)
 
 
-def open_block(row: dict) -> tuple[Block, np.ndarray]:
+def open_block(row: dict, bits: int) -> tuple[Block, np.ndarray]:
     roles = unpack(row["d"], "u1")
-    return Block(unpack(row["a"], "u4").astype(np.int64), unpack(row["b"], "u4"), np.frombuffer(row["c"], np.uint64).reshape(-1, 2)), roles
+    return Block(unpack(row["a"], "u4").astype(np.int64), unpack(row["b"], "u4"), np.frombuffer(row["c"], np.uint64), bits), roles
 
 
-def requests(held: DataFrame, buckets: int) -> DataFrame:
+def requests(held: DataFrame, buckets: int, bits: int) -> DataFrame:
     """Messages that bring a block's counts to the buckets of its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                block, roles = open_block(row)
+                block, roles = open_block(row, bits)
                 (w_fit, p_fit), (w_del, p_del) = (block.counts(roles, r) for r in (FIT, DELETED))
                 words = block.hashes[block.word_order]
-                for bucket, s, e in cut_by_range(words[:, 0], buckets):
-                    yield message([{"block": row["block"], "kind": "word", "bucket": bucket, "a": pack_sorted(words[s:e, 0]), "b": pack(words[s:e, 1]), "c": pack(w_fit[s:e].astype(np.uint64)), "d": pack(w_del[s:e].astype(np.uint64))}])
+                for bucket, s, e in cut_by_range(words, buckets):
+                    yield message([{"block": row["block"], "kind": "word", "bucket": bucket, "a": pack_sorted(words[s:e]), "c": pack(w_fit[s:e].astype(np.uint64)), "d": pack(w_del[s:e].astype(np.uint64))}])
                 for bucket, s, e in cut_by_range(block.pair_keys, buckets):
-                    yield message([{"block": row["block"], "kind": "pair", "bucket": bucket, "a": pack_sorted(block.pair_keys[s:e]), "c": pack(p_fit[s:e].astype(np.uint64)), "d": pack(p_del[s:e].astype(np.uint64))}])
+                    yield message([{"block": row["block"], "kind": "pair", "bucket": bucket, "a": pack_sorted(block.pair_keys[s:e] >> np.uint64(64 - bits)), "c": pack(p_fit[s:e].astype(np.uint64)), "d": pack(p_del[s:e].astype(np.uint64))}])
 
     return held.mapInArrow(run, MESSAGE)
 
@@ -177,20 +180,14 @@ def answers(asked: DataFrame) -> DataFrame:
     def run(rows: pa.Table) -> pa.Table:
         out = []
         for kind in ("word", "pair"):
-            own = [r for r in rows.select(["block", "kind", "bucket", "a", "b", "c", "d"]).filter(pc.equal(rows.column("kind"), kind)).to_pylist()]
+            own = [r for r in rows.select(["block", "kind", "bucket", "a", "c", "d"]).filter(pc.equal(rows.column("kind"), kind)).to_pylist()]
             if not own:
                 continue
             own.sort(key=lambda r: r["block"])
             keys = [unpack_sorted(r["a"]) for r in own]
             flat = np.concatenate(keys)
-            if kind == "word":
-                second = np.concatenate([unpack(r["b"], "u8") for r in own])
-                order = np.lexsort((second, flat))
-                new = np.diff(flat[order], prepend=np.uint64(0)) != 0
-                new |= np.diff(second[order], prepend=np.uint64(0)) != 0
-            else:
-                order = np.argsort(flat, kind="stable")
-                new = np.diff(flat[order], prepend=np.uint64(0)) != 0
+            order = np.argsort(flat, kind="stable")
+            new = np.diff(flat[order], prepend=np.uint64(0)) != 0
             new[0] = True
             group = np.empty(len(flat), np.int64)
             group[order] = np.cumsum(new) - 1
@@ -208,7 +205,7 @@ def answers(asked: DataFrame) -> DataFrame:
     return grouped(asked, "bucket", run, MESSAGE)
 
 
-def looked_up(rows: pa.Table, counted: str) -> Iterator[tuple[dict, Block, np.ndarray, dict[str, np.ndarray]]]:
+def looked_up(rows: pa.Table, counted: str, bits: int) -> Iterator[tuple[dict, Block, np.ndarray, dict[str, np.ndarray]]]:
     """Of each block among the rows: its row, tokens, roles, and totals by token: word, pair and context. counted: c (fit) or cd (with deleted)."""
     by: dict[int, dict] = {}
     parts: dict[tuple[int, str], list[dict]] = {}
@@ -218,7 +215,7 @@ def looked_up(rows: pa.Table, counted: str) -> Iterator[tuple[dict, Block, np.nd
         else:
             parts.setdefault((r["block"], r["kind"]), []).append(r)
     for number, row in by.items():
-        block, roles = open_block(row)
+        block, roles = open_block(row, bits)
         total = {}
         for kind, order, at in (("word", block.word_order, block.codes), ("pair", block.pair_order, block.pair_at)):
             mine = sorted(parts.get((number, kind), []), key=lambda r: r["bucket"])
@@ -237,7 +234,7 @@ def estimates(pair: np.ndarray, word: np.ndarray, context: np.ndarray, n: float)
     return bucket, np.divide(pair, context, out=np.zeros_like(pair), where=context > 0), word / n if n else np.zeros_like(word)
 
 
-def held_out_counts(rows: DataFrame, n_fit: int) -> DataFrame:
+def held_out_counts(rows: DataFrame, n_fit: int, bits: int) -> DataFrame:
     """bucket, pair, word, tokens: how many deleted tokens have estimates of these classes (-1: zero)."""
 
     def classes(p: np.ndarray) -> np.ndarray:
@@ -246,7 +243,7 @@ def held_out_counts(rows: DataFrame, n_fit: int) -> DataFrame:
 
     def run(table_: pa.Table) -> pa.Table:
         cells: dict[int, int] = {}
-        for _, _, _, t in looked_up(table_, "c"):
+        for _, _, _, t in looked_up(table_, "c", bits):
             bucket, pair, word = estimates(t["pair"], t["word"], t["context"], n_fit)
             cell, count = np.unique((bucket * 1024 + classes(pair) + 1) * 1024 + classes(word) + 1, return_counts=True)
             for c, k in zip(cell.tolist(), count.tolist(), strict=True):
@@ -290,19 +287,19 @@ def score_texts(df: DataFrame, role: Column, id_col: str = "doc_id", text_col: s
     kind = docs.schema["id"].dataType.simpleString()
     held = cut(blocks(docs.withColumn("role", role)))
     tokens = held.agg(F.sum("n")).first()[0] or 0
-    buckets = buckets_for(spark, tokens)
-    told = cut(answers(requests(held, buckets)))
+    buckets, bits = buckets_for(spark, tokens), min(64, 2 * tokens.bit_length() + 2)
+    told = cut(answers(requests(held, buckets, bits)))
     n, v = told.where("kind = 'sum'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     replies = told.where("kind != 'sum'")
     deleted = held.where("kind = 'deleted'")
     n_deleted = deleted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     to_deleted = replies.join(deleted.select("block"), "block", "left_semi")
-    cells = held_out_counts(deleted.unionByName(to_deleted.select(deleted.columns)), n - n_deleted).collect() if n_deleted else []
+    cells = held_out_counts(deleted.unionByName(to_deleted.select(deleted.columns)), n - n_deleted, bits).collect() if n_deleted else []
     weights = learn_weights([tuple(c) for c in cells], v)
 
     def run(rows: pa.Table) -> pa.Table:
         out = []
-        for row, block, roles, t in looked_up(rows, "cd"):
+        for row, block, roles, t in looked_up(rows, "cd", bits):
             word = t["word"]
             bucket, p2, p1 = estimates(t["pair"], word, t["context"], n)
             p = weights[bucket, 0] * p2 + weights[bucket, 1] * p1 + weights[bucket, 2] / (v + 1)
