@@ -1,0 +1,81 @@
+"""Costs in pages of 4096 bytes, as reports; the plans themselves are the optimizer's choice."""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+from itertools import combinations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from basalt.plans import stats
+
+MEMORY_PAGES = 5
+
+
+def scan_cost(pages: int) -> int:
+    return pages
+
+
+def index_scan_cost(matching_rows: int, index_pages: int) -> int:
+    return matching_rows + index_pages
+
+
+def simple_nested_loop_cost(left_rows: int, left_pages: int, right_pages: int) -> int:
+    return left_rows * right_pages + left_pages
+
+
+def block_nested_loop_cost(left_pages: int, right_pages: int, memory_pages: int = MEMORY_PAGES) -> int:
+    return math.ceil(left_pages / (memory_pages - 2)) * right_pages + left_pages
+
+
+def access_path(pages: int, candidates: dict[str, tuple[int, int]]) -> tuple[str, int]:
+    """The cheapest way to a table: 'scan', or the index column of (matching rows, index pages) that costs least."""
+    options = [("scan", scan_cost(pages)), *((c, index_scan_cost(*v)) for c, v in candidates.items())]
+    return min(options, key=lambda o: o[1])
+
+
+@dataclass(frozen=True)
+class Side:
+    rows: int
+    pages: int
+    distinct: dict[str, int]
+
+
+def join_order(sides: dict[str, Side], edges: list[tuple[str, str, str, str]], bytes_of: dict[str, int], memory_pages: int = MEMORY_PAGES) -> list[tuple[str, str, int]]:
+    """Steps (table, algorithm, cost) of the cheapest left-deep plan by dynamic programming over connected sets of tables.
+
+    edges: (left table, left column, right table, right column). Sizes after a join follow `stats.join_estimate`.
+    """
+    best: dict[frozenset, tuple[int, int, int, list]] = {frozenset([t]): (s.pages, s.rows, s.pages, [(t, "scan", s.pages)]) for t, s in sides.items()}
+    for size in range(2, len(sides) + 1):
+        for chosen in map(frozenset, combinations(sorted(sides), size)):
+            for new in sorted(chosen):
+                rest = chosen - {new}
+                links = [e for e in edges if e[0] in rest and e[2] == new or e[2] in rest and e[0] == new]
+                if rest not in best or not links:
+                    continue
+                _, rows, pages, steps = best[rest]
+                right = sides[new]
+                a, x, b, y = links[0]
+                distinct = max(sides[a].distinct[x], sides[b].distinct[y]) + 1
+                options = {"simple nested loop": simple_nested_loop_cost(rows, pages, right.pages), "block nested loop": block_nested_loop_cost(pages, right.pages, memory_pages)}
+                name = min(options, key=options.get)
+                out = rows * right.rows // distinct
+                per = stats.records_per_page(sum(bytes_of[t] for t in chosen)) or 1
+                if chosen not in best or options[name] < best[chosen][0]:
+                    best[chosen] = options[name], out, math.ceil(out / per), [*steps, (new, name, options[name])]
+    whole = frozenset(sides)
+    if whole not in best:
+        raise ValueError("the tables are not connected by joins")
+    return best[whole][3]
+
+
+def join_cost(left: DataFrame, right: DataFrame, memory_pages: int = MEMORY_PAGES, default_string: int = 20) -> DataFrame:
+    """One row: pages of both sides and the cost of both nested loops."""
+    side = lambda df, p: stats.table_stats(df, default_string).select(F.col("num_rows").alias(f"{p}_rows"), F.col("num_pages").alias(f"{p}_pages"), F.lit(1).alias(f"{p}_one"))
+    both = side(left, "left").join(side(right, "right"), F.col("left_one") == F.col("right_one"))
+    simple = F.col("left_rows") * F.col("right_pages") + F.col("left_pages")
+    block = F.ceil(F.col("left_pages") / (memory_pages - 2)) * F.col("right_pages") + F.col("left_pages")
+    return both.select("left_pages", "right_pages", simple.alias("simple_cost"), block.alias("block_cost"))
