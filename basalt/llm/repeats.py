@@ -7,12 +7,12 @@ A byte goes when a 50-byte string over it also starts in a document with a small
    anchors. Blocks of documents ask buckets which of their anchors occur in other documents too (see exchange.py). A window
    whose anchor, its leftmost least hash, no other document has is no repeat. What is left is short.
 3. Pieces: consecutive windows between certain anchors are a piece. Equal pieces are counted once: those with a greater id than their
-   least are repeats. First long pieces, then, of what is left, the windows of one anchor.
-4. Index: what differs around a shared anchor goes to buckets by the anchor. A bucket builds a run-length index (run-compressed
+   least are repeats.
+4. Index: of the pieces left, the windows of one anchor that several documents have go to buckets by the anchor. A bucket builds a run-length index (run-compressed
    Burrows-Wheeler transform) of its pieces, streams the matching statistics of each piece through it, and marks matches of 50 bytes
    whose rows hold a document with a smaller id.
 
-Anchors with more than `HOT_ROWS` different pieces are cut on into single windows, which are aggregated by their digest, so that no
+Anchors with more than `HOT_ROWS` pieces are cut on into single windows, which are aggregated by their digest, so that no
 anchor's rows need to meet in a task. All windows of all texts are covered; the result is exact.
 
 Defined results: a null text is the empty text; texts under 50 bytes stay whole; rows with a null id neither lose bytes nor
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import as_binary, cut, pick, sliced, table, text_bytes
@@ -42,9 +42,10 @@ BLOCK_BYTES = 2 << 20
 #: One in so many anchors begins a new long piece.
 SPARSE = 8
 HOT_ROWS = 50_000
-#: Rows of different pieces that an index bucket holds on average at most.
+#: Rows that an index bucket holds on average at most.
 BUCKET_ROWS = 20_000
-BROADCAST_ROWS = 200_000
+#: A table is broadcast up to this size.
+BROADCAST_BYTES = 64 << 20
 ASKED = "block bigint, bucket int, ids binary, sizes binary, keys binary, cells binary, places binary"
 
 
@@ -109,7 +110,7 @@ def digest(data: bytes) -> bytes:
 
 
 def shared_anchors(docs: DataFrame, least: int) -> DataFrame:
-    """id, n_bytes, key (the text's digest), shared: places in the text of anchors that occur in other rows too. docs: id, text."""
+    """id, n_bytes, key (the text's digest), anchors (how many occur in other rows too), shared (their places in the text, packed). docs: id, text."""
     spark = docs.sparkSession
     size = max(1, text_bytes(docs, "text"))
     bits = min(64, size.bit_length() + 5)
@@ -169,55 +170,65 @@ def shared_anchors(docs: DataFrame, least: int) -> DataFrame:
             starts = np.cumsum(sizes) - sizes
             cuts = np.searchsorted(places, np.append(starts, sizes.sum()))
             cuts[-1] = len(places)
-            of = np.repeat(np.arange(len(sizes)), np.diff(cuts))
-            inner = (places - starts[of]).astype(np.int32)
-            shared = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(inner))
-            out.append(pa.table({"id": unframe(head["ids"]), "n_bytes": pa.array(sizes), "key": pa.array([raw[i * 16 : i * 16 + 16] for i in range(len(sizes))], pa.binary()), "shared": shared}))
+            counts = np.diff(cuts)
+            shared = [pack(np.diff(places[s:e] - begin, prepend=0).astype(np.uint32)) if e > s else None for s, e, begin in zip(cuts[:-1].tolist(), cuts[1:].tolist(), starts.tolist(), strict=True)]
+            out.append(pa.table({"id": unframe(head["ids"]), "n_bytes": pa.array(sizes), "key": pa.array([raw[i * 16 : i * 16 + 16] for i in range(len(sizes))], pa.binary()), "anchors": pa.array(counts.astype(np.int64)), "shared": pa.array(shared, pa.binary())}))
         return pa.concat_tables(out)
 
     told = docs.mapInArrow(ask, ASKED).groupBy("bucket").applyInArrow(answer, ASKED)
-    return told.groupBy("block").applyInArrow(gather, f"id {id_kind}, n_bytes bigint, key binary, shared array<int>")
+    return told.groupBy("block").applyInArrow(gather, f"id {id_kind}, n_bytes bigint, key binary, anchors bigint, shared binary")
 
 
 PIECES = "start int, windows int, anchor bigint, digest binary, bytes binary"
 
 
-def pieces_of(data: bytes, shared: np.ndarray | None, least: int, sparse: int) -> list[tuple[int, int, int, bytes]]:
-    """(start, windows, anchor, bytes) of runs of windows whose anchor is shared (None: all), cut at one in `sparse` anchors."""
-    raw = np.frombuffer(data, np.uint8)
-    found = Anchors(raw, np.array([len(raw)]), least)
-    if not found.windows:
-        return []
+def pieces_of(texts: list[bytes], shared: list[np.ndarray] | None, least: int, sparse: int) -> list[tuple[int, int, int, int, bytes]]:
+    """(text, start, windows, anchor, bytes) of runs of windows whose anchor is shared (None: all), cut at one in `sparse` anchors."""
+    raw = b"".join(texts)
+    data = np.frombuffer(raw, np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    found = Anchors(data, ends, least)
     windows = np.flatnonzero(found.low)
+    if not len(windows):
+        return []
+    if shared is not None:
+        starts = np.concatenate(([0], ends[:-1]))
+        wanted = np.concatenate([s + begin for s, begin in zip(shared, starts.tolist(), strict=True)])
+        open_ = np.isin(found.places, wanted)
+        # Windows that hold no wanted anchor need no owner.
+        near = np.zeros(len(data) + 1, np.int32)
+        np.add.at(near, np.maximum(found.places[open_] - found.span + 1, 0), 1)
+        np.add.at(near, found.places[open_] + 1, -1)
+        windows = windows[np.cumsum(near)[windows] > 0]
     owner = found.owners(windows)
     if shared is not None:
-        keep = np.isin(found.places, shared)[owner]
+        keep = open_[owner]
         windows, owner = windows[keep], owner[keep]
     if not len(windows):
         return []
     hashes = found.hashes[owner]
+    of = np.searchsorted(ends, windows, side="right")
     new = np.ones(len(windows), bool)
-    new[1:] = (windows[1:] != windows[:-1] + 1) | ((owner[1:] != owner[:-1]) & ((hashes[1:] >> np.uint64(7)) % np.uint64(sparse) == 0))
+    new[1:] = (windows[1:] != windows[:-1] + 1) | (of[1:] != of[:-1]) | ((owner[1:] != owner[:-1]) & ((hashes[1:] >> np.uint64(7)) % np.uint64(sparse) == 0))
     first = np.flatnonzero(new)
     counts = np.diff(np.append(first, len(windows)))
-    return [(s, n, h, data[s : s + n + least - 1]) for s, n, h in zip(windows[first].tolist(), counts.tolist(), hashes[first].view(np.int64).tolist(), strict=True)]
+    begin = np.concatenate(([0], ends[:-1]))[of[first]]
+    rows = zip(of[first].tolist(), windows[first].tolist(), begin.tolist(), counts.tolist(), hashes[first].view(np.int64).tolist(), strict=True)
+    return [(i, s - b, n, h, raw[s : s + n + least - 1]) for i, s, b, n, h in rows]
 
 
 def first_pieces(texts: DataFrame, least: int) -> DataFrame:
     """id and long pieces of each text. texts: id, key, text, shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            rows = []
-            of = []
-            shared = batch.column("shared")
-            for i, (data, key) in enumerate(zip(as_binary(batch.column("text")).to_pylist(), batch.column("key").to_pylist(), strict=True)):
-                if digest(data) != key:
-                    continue  # another text of this id
-                own = pieces_of(data, shared[i].values.to_numpy(zero_copy_only=False), least, SPARSE)
-                rows += own
-                of += [i] * len(own)
-            yield piece_batch(batch.column("id"), of, rows)
+        for batch in sliced(batches, 256):
+            data = as_binary(batch.column("text")).to_pylist()
+            keys = batch.column("key").to_pylist()
+            own = [i for i, (d, k) in enumerate(zip(data, keys, strict=True)) if digest(d) == k]  # else another text of this id
+            if own:
+                shared = [np.cumsum(unpack(batch.column("shared")[i].as_py(), "u4").astype(np.int64)) for i in own]
+                rows = pieces_of([data[i] for i in own], shared, least, SPARSE)
+                yield piece_batch(batch.column("id"), [own[r[0]] for r in rows], [r[1:] for r in rows])
 
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, {PIECES}")
 
@@ -231,13 +242,10 @@ def smaller_pieces(pieces: DataFrame, least: int) -> DataFrame:
     """Pieces cut at every anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            rows, of = [], []
-            for i, (start, data) in enumerate(zip(batch.column("start").to_pylist(), batch.column("bytes").to_pylist(), strict=True)):
-                own = pieces_of(data, None, least, 1)
-                rows += [(start + s, n, a, d) for s, n, a, d in own]
-                of += [i] * len(own)
-            yield piece_batch(batch.column("id"), of, rows)
+        for batch in sliced(batches, 4096):
+            starts = batch.column("start").to_pylist()
+            rows = pieces_of(batch.column("bytes").to_pylist(), None, least, 1)
+            yield piece_batch(batch.column("id"), [r[0] for r in rows], [(starts[r[0]] + r[1], *r[2:]) for r in rows])
 
     return pieces.mapInArrow(run, f"id {pieces.schema['id'].dataType.simpleString()}, {PIECES}")
 
@@ -318,33 +326,35 @@ def indexed_repeats(pieces: DataFrame, least: int, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(run, f"id {id_kind}, start int, end int")
 
 
+def broadcast_if_small(df: DataFrame, size: Column) -> DataFrame:
+    """df (cut before) marked for broadcast when its rows are few and small; else it is joined by shuffle."""
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if 48 * rows + total <= BROADCAST_BYTES else df
+
+
 def repeated_ranges(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(id, key, start, end) of bytes that repeat those of smaller ids, and (id, key) of the rows that are whole copies."""
     spark = docs.sparkSession
     known = cut(shared_anchors(docs, least).where("id is not null"))
     first = known.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("first_id"))
     copies = known.join(first, (F.col("key") == F.col("k")) & (F.col("id") > F.col("first_id"))).select("id", "key").distinct()
-    reps = known.where(F.size("shared") > 0).join(first, (F.col("key") == F.col("k")) & (F.col("id") == F.col("first_id")), "left_semi").dropDuplicates(["id", "key"])
+    reps = known.where("anchors > 0").join(first, (F.col("key") == F.col("k")) & (F.col("id") == F.col("first_id")), "left_semi").dropDuplicates(["id", "key"])
     wanted = cut(reps.select(F.col("id").alias("i"), "key", "shared"))
-    # A row is at most a text's anchors; few rows are broadcast, else texts are joined by shuffle.
-    few = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("shared")), F.lit(0))).first()
-    small = few[0] <= BROADCAST_ROWS and few[1] <= 20 * BROADCAST_ROWS
-    texts = docs.join(F.broadcast(wanted) if small else wanted, F.col("id") == F.col("i")).select("id", "key", "text", "shared")
+    texts = docs.join(broadcast_if_small(wanted, F.octet_length("shared")), F.col("id") == F.col("i")).select("id", "key", "text", "shared")
     long_ = cut(first_pieces(texts, least))
-    long_ = with_least(long_)
-    repeats = gone(long_.where("id > least"), least)
-    short = cut(smaller_pieces(long_.where("id = least").select("id", "start", "bytes"), least))
-    short = with_least(short)
-    repeats = repeats.unionByName(gone(short.where("id > least"), least))
-    left = short.where("id = least").drop("least")
-    # Anchors that are still of several documents; one document's own pieces have nothing left to match.
-    per = cut(left.groupBy(F.col("anchor").alias("k")).agg(F.count(F.lit(1)).alias("rows"), (F.min("id") != F.max("id")).alias("several")).where("several"))
+    longer = with_least(long_)
+    repeats = gone(longer.where("id > least"), least)
+    left = cut(longer.where("id = least").select("id", "start", "bytes"))
+    short = smaller_pieces(left, least)
+    per = short.groupBy(F.col("anchor").alias("k")).agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
+    per = cut(per.select("k", "rows"))
     total = per.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    left = cut(left.join(per.drop("several"), F.col("anchor") == F.col("k")).drop("k"))
     buckets = max(1, -(-total // BUCKET_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 500)))
-    repeats = repeats.unionByName(indexed_repeats(left.where(F.col("rows") <= HOT_ROWS), least, buckets))
-    hot = with_least(single_windows(left.where(F.col("rows") > HOT_ROWS), least))
-    repeats = repeats.unionByName(gone(hot.where("id > least"), least))
+    several = short.join(per, F.col("anchor") == F.col("k")).select("id", "start", "windows", "anchor", "digest", "bytes", "rows")
+    repeats = repeats.unionByName(indexed_repeats(several.where(F.col("rows") <= HOT_ROWS), least, buckets))
+    if per.where(F.col("rows") > HOT_ROWS).limit(1).count():
+        hot = with_least(single_windows(several.where(F.col("rows") > HOT_ROWS), least))
+        repeats = repeats.unionByName(gone(hot.where("id > least"), least))
     return repeats, copies
 
 
@@ -352,12 +362,25 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_bytes, removed array<struct<start, end>> (maximal runs), kept (binary): one row for each row of df."""
     docs = pick(df, id=id_col, text=text_col)
     repeats, copies = repeated_ranges(docs, least)
-    ranges = repeats.groupBy(F.col("id").alias("i")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+    ranges = repeats.groupBy(F.col("id").alias("i")).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            out = []
+            for own in batch.column("ranges"):
+                pairs = np.stack([own.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end")], axis=1).astype(np.int64)
+                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+                reach = np.maximum.accumulate(pairs[:, 1])
+                new = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
+                out.append(np.stack([pairs[new, 0], reach[np.append(new[1:] - 1, len(pairs) - 1)]], axis=1).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(out, pa.binary())], names=["i", "ranges"])
+
+    merged_ranges = ranges.mapInArrow(merge, f"i {kind}, ranges binary")
     whole = copies.groupBy(F.col("id").alias("c")).agg(F.collect_set("key").alias("copy_keys"))
-    both = cut(ranges.join(whole, F.col("i") == F.col("c"), "full").select(F.coalesce("i", "c").alias("i"), "ranges", "copy_keys"))
-    few = both.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.coalesce(F.size("ranges"), F.lit(0))), F.lit(0))).first()
-    small = few[0] <= BROADCAST_ROWS and few[1] <= 20 * BROADCAST_ROWS
-    joined = docs.join(F.broadcast(both) if small else both, F.col("id") == F.col("i"), "left").select("id", "text", "ranges", "copy_keys")
+    both = cut(merged_ranges.join(whole, F.col("i") == F.col("c"), "full").select(F.coalesce("i", "c").alias("i"), "ranges", "copy_keys"))
+    size = F.coalesce(F.octet_length("ranges"), F.lit(0)) + 32 * F.coalesce(F.size("copy_keys"), F.lit(0))
+    joined = docs.join(broadcast_if_small(both, size), F.col("id") == F.col("i"), "left").select("id", "text", "ranges", "copy_keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -365,15 +388,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             sizes, runs, kept = [], [], []
             columns = (batch.column(c) for c in ("ranges", "copy_keys"))
             for data, ranges, keys in zip(as_binary(batch.column("text")).to_pylist(), *columns, strict=True):
-                merged: list[list[int]] = []
+                merged: list = []
                 if keys.is_valid and len(data) >= least and digest(data) in keys.as_py():
                     merged = [[0, len(data)]]
                 elif ranges.is_valid:
-                    for s, e in zip(ranges.values.field("start").to_pylist(), ranges.values.field("end").to_pylist(), strict=True):
-                        if merged and s <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], e)
-                        else:
-                            merged.append([s, e])
+                    merged = np.frombuffer(ranges.as_py(), np.int32).reshape(-1, 2).tolist()
                 sizes.append(len(data))
                 runs.append([{"start": s, "end": e} for s, e in merged])
                 at, parts = 0, []
