@@ -1,0 +1,116 @@
+import threading
+
+import pytest
+
+from basalt.plans.locks import Lock, LockManager, Mode, Policy, Status, Transaction, conflict_rows, deadlocked
+
+S, X = Mode.S, Mode.X
+
+
+def people(*stamps):
+    return [Transaction(f"t{i + 1}", s) for i, s in enumerate(stamps)]
+
+
+def test_matrix_is_symmetric():
+    rows = {(a, b): c for a, b, c in conflict_rows()}
+    assert len(rows) == 16 and all(rows[a, b] == rows[b, a] for a, b in rows) and sum(rows.values()) == 9
+
+
+def test_sharing_and_waiting():
+    a, b, c = people(1, 2, 3)
+    m = LockManager()
+    m.acquire(a, "A", S)
+    m.acquire(b, "A", S)
+    m.acquire(c, "A", X)
+    assert m.holds(a, "A", S) and m.holds(b, "A", S) and c.status is Status.WAITING
+    m.release(a, "A")
+    m.release(b, "A")
+    assert m.holds(c, "A", X) and c.status is Status.RUNNING
+    m.release(c, "A")
+    assert not m.locks
+
+
+def test_promotion_alone_and_queued():
+    a, b, c = people(1, 2, 3)
+    m = LockManager()
+    m.acquire(a, "A", S)
+    m.acquire(a, "A", X)
+    assert m.holds(a, "A", X)
+    m.release(a, "A")
+    m.acquire(a, "A", S)
+    m.acquire(b, "A", S)
+    m.acquire(c, "A", X)
+    m.acquire(a, "A", X)
+    m.release(b, "A")
+    assert m.holds(a, "A", X) and c.status is Status.WAITING
+
+
+def test_queue_order():
+    a, b, c, d = people(1, 2, 3, 4)
+    m = LockManager()
+    m.acquire(a, "A", X)
+    for t, mode in ((b, S), (c, X), (d, S)):
+        m.acquire(t, "A", mode)
+    m.release(a, "A")
+    assert m.holds(b, "A", S) and m.holds(d, "A", S) and c.status is Status.WAITING
+
+
+def test_refusals():
+    a, b = people(1, 2)
+    m = LockManager()
+    m.acquire(a, "A", X)
+    m.acquire(b, "A", S)
+    for bad in (lambda: m.acquire(b, "B", S), lambda: m.acquire(a, "A", S), lambda: m.acquire(a, "A", X), lambda: m.release(b, "A"), lambda: m.release(a, "B")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_wait_die():
+    a, b = people(1, 2)
+    m = LockManager(Policy.WAIT_DIE)
+    m.acquire(a, "A", X)
+    m.acquire(b, "A", S)
+    assert b.status is Status.ABORTING and a.status is Status.RUNNING
+    a, b = people(2, 1)
+    m.acquire(a, "B", S)
+    m.acquire(b, "B", X)
+    assert b.status is Status.WAITING
+    m.release(a, "B")
+    assert m.holds(b, "B", X) and b.status is Status.RUNNING
+    a, b, c = people(1, 3, 2)
+    m.acquire(a, "C", S)
+    m.acquire(b, "C", S)
+    m.acquire(c, "C", X)
+    assert c.status is Status.ABORTING
+
+
+def test_wound_wait():
+    a, b = people(2, 1)
+    m = LockManager(Policy.WOUND_WAIT)
+    m.acquire(a, "A", X)
+    m.acquire(b, "A", S)
+    assert a.status is Status.ABORTING and m.holds(b, "A", S)
+    a, b = people(1, 2)
+    m.acquire(a, "B", S)
+    m.acquire(b, "B", X)
+    assert b.status is Status.WAITING and m.holds(a, "B", S)
+
+
+def test_blocking_lock():
+    lock, seen = Lock(), []
+    lock.lock("a", Mode.IS)
+    lock.lock("b", Mode.IX)
+    with pytest.raises(TimeoutError):
+        lock.lock("c", X, seen.append, timeout=0.01)
+    assert seen == [{"a", "b"}]
+    lock.unlock("a")
+    lock.promote("b", X)
+    done = threading.Thread(target=lambda: lock.lock("c", S))
+    done.start()
+    lock.unlock("b")
+    done.join(5)
+    assert lock.held == {"c": S}
+
+
+def test_deadlocks():
+    assert deadlocked({1: {2}, 2: {3}, 3: {1}}) and not deadlocked({1: {2, 3}, 2: {3}})
