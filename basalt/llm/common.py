@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -28,6 +30,7 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     missing = [c for c in wanted.values() if c not in names]
     if missing:
         raise ValueError(f"no column {missing} among {names}")
+    small_batches(df.sparkSession)
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
     return plain.select(*[F.col(f"c{names.index(src)}").alias(dst) for dst, src in wanted.items()])
 
@@ -46,21 +49,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-#: Rows in a batch that goes to Python while a cut is computed: texts are long, and a worker holds a batch or two.
+#: Rows in a batch that goes to Python: texts are long, and the JVM and the worker hold a batch or two each.
 BATCH_ROWS = "1000"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch from Spark's default. A figure of one's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and held in the shared checkpoint folder, which outlives any executor."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, BATCH_ROWS)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def tidy() -> None:
+    """Gives a Python worker's free memory back to the system, since idle workers stay."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def crc32_mod(id_col: Column, n: int) -> Column:
@@ -78,7 +88,7 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
-        pa.default_memory_pool().release_unused()
+        tidy()
 
 
 def as_binary(column: pa.Array) -> pa.Array:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import crc32_mod, cut, pick, sliced, table
+from basalt.llm.common import crc32_mod, cut, pick, sliced, table, tidy
 from basalt.llm.exchange import buckets_for, cut_by_range, grouped, mixed, pack, pack_sorted, unpack, unpack_sorted
 
 BLOCK_BYTES = 8 << 20
@@ -134,7 +134,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             sizes, codes, hashes = coded(rows.column("text").combine_chunks())
             number += 1
             pairs = len(codes)
-            pa.default_memory_pool().release_unused()
+            tidy()
             return message([{"block": number, "kind": "deleted" if deleted else "texts", "ids": frame(rows.column("id").combine_chunks()), "n": pairs, "a": pack(sizes.astype(np.uint32)), "b": pack(codes), "c": hashes.tobytes(), "d": pack(rows.column("role").combine_chunks().to_numpy(zero_copy_only=False).astype(np.uint8))}])
 
         for batch in sliced(batches):
@@ -200,6 +200,7 @@ def answers(asked: DataFrame) -> DataFrame:
             if kind == "word":
                 both = totals[0] + totals[1]
                 out.append({"block": -1, "kind": "sum", "bucket": own[0]["bucket"], "n": int(both.sum()), "v": int((both > 0).sum())})
+        tidy()
         return pa.Table.from_batches([message(out)])
 
     return grouped(asked, "bucket", run, MESSAGE)
@@ -308,6 +309,7 @@ def score_texts(df: DataFrame, role: Column, id_col: str = "doc_id", text_col: s
             base = np.log10((word + 1) / (n + v + 1))
             sums = [np.add.reduceat(x, block.first) for x in (base, np.log10(p), (word > 0).astype(np.int64))]
             out.append(pa.RecordBatch.from_arrays([unframe(row["ids"]), pa.array(roles.astype(np.int32)), pa.array(block.sizes.astype(np.int64)), pa.array(sums[2]), pa.array(np.full(len(roles), n, np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=["id", "role", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        tidy()
         return pa.Table.from_batches(out)
 
     schema = f"id {kind}, role int, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import cut, pick, table
+from basalt.llm.common import cut, pick, table, tidy
 from basalt.llm.components import connected_components, join_labels
 
 BLOCKS = 4
@@ -184,6 +184,7 @@ def near_links(classes: DataFrame, cosine: float, blocks: int = BLOCKS, tile_row
             join_labels(label, p, q)
         has, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(keys)))
         take = lambda at: [keys[x] for x in at]
+        tidy()
         return pa.table({"a": pa.array(take(has) + take(moved), pa.binary()), "b": pa.array([None] * len(has) + take(label[moved]), pa.binary()), "n": pa.array([*links[has].tolist(), *[None] * len(moved)], pa.int64())})
 
     return dealt.groupBy("task").applyInArrow(compare, "a binary, b binary, n bigint")

@@ -4,8 +4,8 @@ Features say which byte n-grams a text holds and which repeating word n-grams (h
 between the classes; a text's features have length one. The hinge-loss model is fitted by dual coordinate
 descent, and a logistic curve, fitted on labelled rows that the model has not seen, turns margins into scores.
 
-The model is fitted by the driver on at most `fit_rows` labelled rows, those with the smallest hash of
-their id, so its cost is the same at every size; the scoring pass is row by row over all whole texts, with one broadcast
+Executors make the features of at most `fit_rows` labelled rows, those with the smallest hash of their id, and the driver fits
+the model on these lists of at most 2^BITS numbers, so its cost is the same at every size; the scoring pass is row by row over all whole texts, with one broadcast
 vector of 2^BITS numbers.
 
 Defined results: null and empty texts have no features and get the score of the model's offset; without labels all
@@ -16,6 +16,7 @@ ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import as_binary, crc32_mod, pick, table
+from basalt.llm.common import as_binary, crc32_mod, pick, sliced, table
 
 BITS = 18
 ORDERS = (2, 3, 4)
@@ -134,15 +135,12 @@ def logistic_curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, floa
     return max(float(at[0]), 1e-6), float(at[1])
 
 
-def fit(texts: list[bytes], labels: list[int], bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> tuple[Model, np.ndarray]:
-    """The model, and what each feature adds to a text's squared length."""
-    make = Features(bits, orders)
+def fit(rows: list[np.ndarray], labels: list[int], size: int = 1 << BITS) -> tuple[Model, np.ndarray]:
+    """The model of rows of feature indices, and what each feature adds to a text's squared length."""
     y = np.array(labels, dtype=np.int64)
-    size = make.size
     if len(set(labels)) < 2:
         sure = 0.0 if not labels else 40.0 if labels[0] else -40.0
         return Model(np.zeros(size, np.float32), 0.0, 1.0, sure), np.zeros(size, np.float32)
-    rows = [make.of(t) for t in texts]
 
     def train(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ratios = log_count_ratios([rows[i] for i in part], y[part], size)
@@ -179,17 +177,24 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_docs: DataFrame | Non
     names = docs.columns
     chosen = sample_of_labels(pick(labels, id=label_id, label=label_col), fit_rows, crc32_mod(F.col("id"), 3) != 1)
     known = pick(docs if fit_docs is None else fit_docs, id=id_col, text=text_col)
-    rows = known.join(F.broadcast(chosen.withColumnRenamed("id", "k")), F.col("id") == F.col("k")).select("id", "label", "text").toArrow()
-    order = np.argsort([hash_of(i) for i in rows.column("id").to_pylist()], kind="stable")
-    texts = as_binary(rows.column("text").combine_chunks()).to_pylist()
-    label = rows.column("label").to_pylist()
-    model, scale = fit([texts[i] for i in order], [int(label[i]) for i in order])
+    picked = known.join(F.broadcast(chosen.withColumnRenamed("id", "k")), F.col("id") == F.col("k"))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Features()
+        for batch in sliced(batches, 512):
+            found = [make.of(t) for t in as_binary(batch.column("text")).to_pylist()]
+            order = [zlib.crc32(str(i).encode()) for i in batch.column("id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["order", "label", "at"])
+
+    rows = picked.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(features, "order bigint, label int, at array<int>").toArrow().sort_by("order")
+    found = [own.values.to_numpy(zero_copy_only=False) for own in rows.column("at")]
+    model, scale = fit(found, rows.column("label").to_pylist())
     held = docs.sparkSession.sparkContext.broadcast((model, scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, lengths = held.value
         make = Features()
-        for batch in batches:
+        for batch in sliced(batches, 512):
             found = [own.score(make.of(t), lengths) for t in as_binary(batch.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.float64())], names=["row", "score"])
 
@@ -200,12 +205,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_docs: DataFrame | Non
     return scored.select("row", (crc32_mod(F.col(f"row.c{names.index(id_col)}"), 3) == 1).alias("held_out"), "score")
 
 
-def hash_of(value) -> int:
-    import zlib
-
-    return zlib.crc32(str(value).encode())
-
-
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Every whole text of documents scored as labels.quality marks it."""
     docs = table(spark, sf_dir, "documents")

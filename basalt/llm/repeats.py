@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import as_binary, cut, pick, sliced, table, text_bytes
+from basalt.llm.common import as_binary, cut, pick, sliced, table, text_bytes, tidy
 from basalt.llm.exchange import buckets_for, cut_by_range, pack, pack_sorted, unpack, unpack_sorted
 from basalt.llm.language_model import frame, unframe
 from basalt.llm.run_index import RunIndex
@@ -157,6 +157,7 @@ def shared_anchors(docs: DataFrame, least: int) -> DataFrame:
                 start += len(c)
                 if hit.any():
                     out.append({"block": r["block"], "bucket": r["bucket"], "places": pack(unpack(r["places"], "u4")[hit])})
+        tidy()
         return pa.Table.from_pylist(out, schema=kinds)
 
     def gather(rows: pa.Table) -> pa.Table:
@@ -320,6 +321,7 @@ def indexed_repeats(pieces: DataFrame, least: int, buckets: int) -> DataFrame:
                     out_row.append(row)
                     out_start.append(int(starts[row]) + s)
                     out_end.append(int(starts[row]) + e + least)
+        tidy()
         return pa.table([ids_column.take(pa.array(out_row, pa.int64())), pa.array(out_start, pa.int32()), pa.array(out_end, pa.int32())], schema=schema)
 
     dealt = pieces.select("id", "start", "anchor", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"))

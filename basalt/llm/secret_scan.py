@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import as_binary, pick, table
+from basalt.llm.common import as_binary, pick, sliced, small_batches, table
 
 KINDS = ("assign", "access", "hex", "novel")
 BASE = {
@@ -107,7 +107,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-        for batch in batches:
+        for batch in sliced(batches, 512):
             texts = as_binary(batch.column("text"))
             spans: list[list] = [[] for _ in range(len(texts))]
             hits = {k: pc.match_substring_regex(texts, p).to_numpy(zero_copy_only=False) for k, p in SIEVE.items()}
@@ -137,10 +137,11 @@ def redact(text: str, spans: list, mark: str = "[secret]") -> str:
 
 def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """df with the secrets of its text column replaced by a mark; null texts stay null, other columns as they are."""
+    small_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 512):
             texts = as_binary(batch.column(at))
             hits = None
             for p in SIEVE.values():

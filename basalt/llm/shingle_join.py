@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import cut, pick, sliced, table, text_bytes
+from basalt.llm.common import cut, pick, sliced, table, text_bytes, tidy
 from basalt.llm.components import connected_components, join_labels
 from basalt.llm.exchange import buckets_for, cut_by_range, mixed, pack, pack_sorted, unpack, unpack_sorted
 from basalt.llm.language_model import frame, unframe, words_of
 
-BLOCK_BYTES, BLOCK_ROWS = 6 << 20, 60_000
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 60_000
 TILE_ROWS = 1024
 #: Reps whose ids are broadcast at most; beyond that the join is by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -101,9 +101,10 @@ def in_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES)
             if size >= block_bytes or rows >= BLOCK_ROWS:
                 yield number, pa.Table.from_batches(held)
                 number, held, size, rows = number + 1, [], 0, 0
-                pa.default_memory_pool().release_unused()
+                tidy()
     if held:
         yield number, pa.Table.from_batches(held)
+    tidy()
 
 
 def asked(kinds: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
@@ -150,6 +151,7 @@ def classes_that_may_link(docs: DataFrame, words: int, percent: int) -> DataFram
                 of = unpack(r["rows"], "u2")[shared[start : start + len(c)]]
                 start += len(c)
                 out.append({"block": r["block"], "bucket": r["bucket"], "rows": pack(of)})
+        tidy()
         return pa.Table.from_pylist(out, schema=kinds)
 
     def decide(rows: pa.Table) -> pa.Table:
@@ -245,6 +247,7 @@ def join_tasks(sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS) -> Dat
             if len(hit):
                 join_labels(label, np.full(len(hit), node[q]), node[inner[hit]])
         moved = np.flatnonzero(label != np.arange(len(keys)))
+        tidy()
         return pa.table({"a": pa.array([keys[i] for i in moved], pa.binary()), "b": pa.array([keys[i] for i in label[moved]], pa.binary())})
 
     return dealt.groupBy("task").applyInArrow(compare, "a binary, b binary").where("a != b")
