@@ -41,6 +41,8 @@ GRAM = 32
 BLOCK_BYTES = 2 << 20
 #: One in so many anchors begins a new long piece.
 SPARSE = 8
+#: Windows of so many neighbouring offsets are tried together before a piece is indexed.
+CORE = 5
 HOT_ROWS = 50_000
 #: Rows that an index bucket holds on average at most.
 BUCKET_ROWS = 20_000
@@ -180,11 +182,11 @@ def shared_anchors(docs: DataFrame, least: int) -> DataFrame:
     return told.groupBy("block").applyInArrow(gather, f"id {id_kind}, n_bytes bigint, key binary, anchors bigint, shared binary")
 
 
-PIECES = "start int, windows int, anchor bigint, digest binary, bytes binary"
+PIECES = "start int, windows int, anchor bigint, place int, digest binary, bytes binary"
 
 
-def pieces_of(texts: list[bytes], shared: list[np.ndarray] | None, least: int, sparse: int) -> list[tuple[int, int, int, int, bytes]]:
-    """(text, start, windows, anchor, bytes) of runs of windows whose anchor is shared (None: all), cut at one in `sparse` anchors."""
+def pieces_of(texts: list[bytes], shared: list[np.ndarray] | None, least: int, sparse: int) -> list[tuple[int, int, int, int, int, bytes]]:
+    """(text, start, windows, anchor, the anchor's place in the piece, bytes) of runs of windows whose anchor is shared (None: all), cut at one in `sparse` anchors."""
     raw = b"".join(texts)
     data = np.frombuffer(raw, np.uint8)
     ends = np.cumsum([len(t) for t in texts])
@@ -214,8 +216,8 @@ def pieces_of(texts: list[bytes], shared: list[np.ndarray] | None, least: int, s
     first = np.flatnonzero(new)
     counts = np.diff(np.append(first, len(windows)))
     begin = np.concatenate(([0], ends[:-1]))[of[first]]
-    rows = zip(of[first].tolist(), windows[first].tolist(), begin.tolist(), counts.tolist(), hashes[first].view(np.int64).tolist(), strict=True)
-    return [(i, s - b, n, h, raw[s : s + n + least - 1]) for i, s, b, n, h in rows]
+    rows = zip(of[first].tolist(), windows[first].tolist(), begin.tolist(), counts.tolist(), hashes[first].view(np.int64).tolist(), (found.places[owner[first]] - windows[first]).tolist(), strict=True)
+    return [(i, s - b, n, h, p, raw[s : s + n + least - 1]) for i, s, b, n, h, p in rows]
 
 
 def first_pieces(texts: DataFrame, least: int) -> DataFrame:
@@ -234,9 +236,9 @@ def first_pieces(texts: DataFrame, least: int) -> DataFrame:
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, {PIECES}")
 
 
-def piece_batch(ids: pa.Array, of: list[int], rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+def piece_batch(ids: pa.Array, of: list[int], rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
     column = lambda k, t: pa.array([r[k] for r in rows], t)
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), column(0, pa.int32()), column(1, pa.int32()), column(2, pa.int64()), pa.array([digest(r[3]) for r in rows], pa.binary()), column(3, pa.binary())], names=["id", "start", "windows", "anchor", "digest", "bytes"])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), column(0, pa.int32()), column(1, pa.int32()), column(2, pa.int64()), column(3, pa.int32()), pa.array([digest(r[4]) for r in rows], pa.binary()), column(4, pa.binary())], names=["id", "start", "windows", "anchor", "place", "digest", "bytes"])
 
 
 def smaller_pieces(pieces: DataFrame, least: int) -> DataFrame:
@@ -258,7 +260,7 @@ def single_windows(pieces: DataFrame, least: int) -> DataFrame:
         for batch in sliced(batches):
             rows, of = [], []
             for i, (start, n, a, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "windows", "anchor", "bytes")), strict=True)):
-                rows += [(start + k, 1, a, data[k : k + least]) for k in range(n)]
+                rows += [(start + k, 1, a, 0, data[k : k + least]) for k in range(n)]
                 of += [i] * n
             yield piece_batch(batch.column("id"), of, rows)
 
@@ -276,26 +278,43 @@ def gone(pieces: DataFrame, least: int) -> DataFrame:
 
 
 def indexed_repeats(pieces: DataFrame, least: int, buckets: int) -> DataFrame:
-    """id, start, end of repeats found by a run-length index for each bucket of anchors. pieces: one row for each id and piece."""
+    """id, start, end of repeats found by a run-length index for each bucket of anchors. pieces: of each kind those of its least id."""
     id_kind = pieces.schema["id"].dataType.simpleString()
 
     def run(rows: pa.Table) -> pa.Table:
-        anchor = rows.column("anchor").to_numpy()
         ids_column = rows.column("id").combine_chunks()
-        order_of_id = pc.rank(ids_column, tiebreaker="dense").to_numpy(zero_copy_only=False)
-        _, group = np.unique(anchor, return_inverse=True)
-        low, high = np.full(group.max() + 1, 1 << 62), np.full(group.max() + 1, -1)
-        np.minimum.at(low, group, order_of_id)
-        np.maximum.at(high, group, order_of_id)
-        keep = np.flatnonzero((low < high)[group])  # anchors of at least two documents
         schema = pa.schema([("id", ids_column.type), ("start", pa.int32()), ("end", pa.int32())])
-        if not len(keep):
+        age = pc.rank(ids_column, tiebreaker="dense").to_numpy(zero_copy_only=False).tolist()
+        listed = list(zip(*(rows.column(c).to_pylist() for c in ("anchor", "start", "windows", "place", "bytes")), strict=True))
+        # What all windows of a few offsets from the anchor share must be in pieces of two documents.
+        seen: dict[tuple, int] = {}
+        cores = []
+        for who, (anchor, _, n, place, data) in zip(age, listed, strict=True):
+            own = []
+            for g in range(max(0, place - n + 1) // CORE, place // CORE + 1):
+                begin = place - CORE * g
+                key = (anchor, g, data[begin : begin - CORE + 1 + least])
+                own.append((g, key))
+                held = seen.setdefault(key, who)
+                if held != who:
+                    seen[key] = 0
+            cores.append(own)
+        texts, origin = [], []
+        for i, ((_, _, n, place, data), own) in enumerate(zip(listed, cores, strict=True)):
+            hit = [g for g, key in own if seen[key] == 0]
+            if hit:
+                low, high = max(0, place - CORE * max(hit) - CORE + 1), min(n - 1, place - CORE * min(hit))
+                if low <= high:
+                    texts.append(data[low : high + least])
+                    origin.append((i, low))
+        del seen, cores
+        if not texts:
             return schema.empty_table()
-        data = rows.column("bytes").combine_chunks().take(pa.array(keep)).to_pylist()
         distinct: dict[bytes, int] = {}
-        text_of = np.array([distinct.setdefault(d, len(distinct)) for d in data])
+        text_of = np.array([distinct.setdefault(d, len(distinct)) for d in texts])
+        who = np.array([age[i] for i, _ in origin])
         owner = np.full(len(distinct), 1 << 62)
-        np.minimum.at(owner, text_of, order_of_id[keep])
+        np.minimum.at(owner, text_of, who)
         index = RunIndex(list(distinct))
         sizes = np.array([len(d) for d in distinct])
         flat = np.frombuffer(b"".join(distinct), np.uint8)
@@ -303,28 +322,28 @@ def indexed_repeats(pieces: DataFrame, least: int, buckets: int) -> DataFrame:
         count = sizes - least + 1
         of = np.repeat(np.arange(len(sizes)), count)
         inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        length, first, last = index.match(flat, begin[of] + inner + least, least)
+        length, first, last = index.match(flat, begin[of] + inner + least, least, alone=True)
         text_at = np.searchsorted(index.starts, index.order, side="right") - 1
         owner_at = np.append(owner[text_at], 1 << 62)
         spans, which = np.unique(first * (index.size + 1) + last, return_inverse=True)
         a, b = np.divmod(spans, index.size + 1)
         smallest = np.minimum.reduceat(owner_at, np.stack([a, b], axis=1).reshape(-1))[::2]
-        smallest = np.where(length == least, smallest[which], 1 << 62)
+        # A window that stands in no other text is as old as its own text's first document.
+        smallest = np.minimum(np.where(length == least, smallest[which], 1 << 62), owner[of])
         at = np.cumsum(count) - count
         out_row, out_start, out_end = [], [], []
-        starts = rows.column("start").to_numpy()
-        for row, text in zip(keep.tolist(), text_of.tolist(), strict=True):
-            hit = np.flatnonzero(smallest[at[text] : at[text] + count[text]] < order_of_id[row])
+        for (row, low), text, mine in zip(origin, text_of.tolist(), who.tolist(), strict=True):
+            hit = np.flatnonzero(smallest[at[text] : at[text] + count[text]] < mine)
             if len(hit):
                 cuts = np.flatnonzero(np.diff(hit) > 1)
                 for s, e in zip(hit[np.append(0, cuts + 1)].tolist(), hit[np.append(cuts, len(hit) - 1)].tolist(), strict=True):
                     out_row.append(row)
-                    out_start.append(int(starts[row]) + s)
-                    out_end.append(int(starts[row]) + e + least)
+                    out_start.append(listed[row][1] + low + s)
+                    out_end.append(listed[row][1] + low + e + least)
         tidy()
         return pa.table([ids_column.take(pa.array(out_row, pa.int64())), pa.array(out_start, pa.int32()), pa.array(out_end, pa.int32())], schema=schema)
 
-    dealt = pieces.select("id", "start", "anchor", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"))
+    dealt = pieces.select("id", "start", "windows", "anchor", "place", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"))
     return dealt.groupBy("bucket").applyInArrow(run, f"id {id_kind}, start int, end int")
 
 
@@ -348,14 +367,20 @@ def repeated_ranges(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     repeats = gone(longer.where("id > least"), least)
     left = cut(longer.where("id = least").select("id", "start", "bytes"))
     short = smaller_pieces(left, least)
-    per = short.groupBy(F.col("anchor").alias("k")).agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
-    per = cut(per.select("k", "rows"))
-    total = per.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    equal = cut(short.groupBy("anchor", "digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"), F.max("id").alias("most")))
+    same = equal.where("least < most").select(F.col("anchor").alias("a"), F.col("digest").alias("d"), "least")
+    repeats = repeats.unionByName(gone(short.join(same, (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("d")) & (F.col("id") > F.col("least"))), least))
+    # Anchors with pieces of several kinds in several documents.
+    per = equal.groupBy(F.col("anchor").alias("k")).agg(F.count(F.lit(1)).alias("kinds"), F.min("least").alias("low"), F.max("least").alias("high"))
+    per = cut(per.where("kinds > 1 and low != high").select("k", "kinds"))
+    total = per.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 500)))
-    several = short.join(per, F.col("anchor") == F.col("k")).select("id", "start", "windows", "anchor", "digest", "bytes", "rows")
-    repeats = repeats.unionByName(indexed_repeats(several.where(F.col("rows") <= HOT_ROWS), least, buckets))
-    if per.where(F.col("rows") > HOT_ROWS).limit(1).count():
-        hot = with_least(single_windows(several.where(F.col("rows") > HOT_ROWS), least))
+    first_of = equal.join(per, F.col("anchor") == F.col("k"), "left_semi").select(F.col("anchor").alias("a"), F.col("digest").alias("d"), "least")
+    several = short.join(first_of, (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("d")) & (F.col("id") == F.col("least"))).select("id", "start", "windows", "anchor", "place", "digest", "bytes")
+    many = per.where(F.col("kinds") > HOT_ROWS).select("k")
+    repeats = repeats.unionByName(indexed_repeats(several.join(many, F.col("anchor") == F.col("k"), "left_anti"), least, buckets))
+    if many.limit(1).count():
+        hot = with_least(single_windows(several.join(many, F.col("anchor") == F.col("k"), "left_semi"), least))
         repeats = repeats.unionByName(gone(hot.where("id > least"), least))
     return repeats, copies
 

@@ -66,8 +66,11 @@ class RunIndex:
         base = self.first_row[symbol]
         return base + self.rank(symbol, low), base + self.rank(symbol, high)
 
-    def match(self, data: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics of data streamed from each end to the left: the length matched, at most `most`, and its rows."""
+    def match(self, data: np.ndarray, ends: np.ndarray, most: int, alone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of data streamed from each end to the left: the length matched, at most `most`, and its rows.
+
+        With `alone`, streaming also ends where one row is left, as of data that is in the index itself and matches nothing else.
+        """
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
         length = np.zeros(len(ends), np.int64)
         going = np.arange(len(ends))
@@ -78,4 +81,6 @@ class RunIndex:
             going = going[alive]
             low[going], high[going] = a[alive], b[alive]
             length[going] = k + 1
+            if alone:
+                going = going[high[going] - low[going] > 1]
         return length, low, high
