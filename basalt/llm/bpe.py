@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import as_texts, pick, sliced, table
+from basalt.llm.common import HELD, as_texts, pick, sliced, table
 
 #: Fixed pattern of the byte-level pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -89,32 +89,22 @@ class TrieBPE:
         self.cache: dict[str, bytes] = {}
 
     def _merges(self, merges: list, vocab: dict[str, int]) -> None:
-        """Ranks by pair; of each token the pieces on its edges, each with the rank at which it ends."""
-        inf = len(merges) + 1
-        rank: dict[tuple[int, int], int] = {}
-        made_at: dict[int, int] = {}
-        self.rank = rank
-        self.left: dict[int, list[tuple[int, int]]] = {}
-        self.right: dict[int, list[tuple[int, int]]] = {}
+        """Ranks by pair; of each token its two parts and the rank at which they become it."""
+        self.rank = rank = {}
         made = {b for pair in merges for b in ["".join(pair if isinstance(pair, list) else pair.split(" "))]}
-        for s, i in vocab.items():
-            if s not in made:
-                self.left[i] = self.right[i] = [(i, inf)]
-                made_at[i] = -1
-        usable = {i for i in self.left if len(self.bytes_of[i]) == 1}
+        self.made_at: dict[int, int] = {i: -1 for s, i in vocab.items() if s not in made}
+        self.parts: dict[int, tuple[int, int]] = {}
+        usable = {i for i in self.made_at if len(self.bytes_of[i]) == 1}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
         for r, (a, b) in enumerate(pairs):
-            rank.setdefault((vocab[a], vocab[b]), r)
+            rank.setdefault(vocab[a] << 32 | vocab[b], r)
         for r, (a, b) in enumerate(pairs):
             u, t, new = vocab[a], vocab[b], vocab[a + b]
-            if new in made_at:
+            if new in self.made_at:
                 continue  # the token is made by an earlier merge
-            if made_at.get(u, r) >= r or made_at.get(t, r) >= r:
+            if self.made_at.get(u, r) >= r or self.made_at.get(t, r) >= r:
                 raise ValueError("a merge comes before its parts")
-            made_at[new] = r
-            ends = lambda edge: [(p, r if e == inf else e) for p, e in edge]  # noqa: B023, E731
-            self.left[new] = [*ends(self.left[u]), (new, inf)]
-            self.right[new] = [*ends(self.right[t]), (new, inf)]
+            self.made_at[new], self.parts[new] = r, (u, t)
             if u in usable and t in usable and self._apart(u, t, r):
                 usable.add(new)
         self._matcher(sorted(usable, key=lambda i: len(self.bytes_of[i])))
@@ -150,13 +140,20 @@ class TrieBPE:
 
     def _apart(self, u: int, t: int, until: int) -> bool:
         """No merge crosses from u to t before rank `until`. Of equal merges the left one comes first."""
-        rank = self.rank
-        for p, p_end in self.right[u]:
-            for q, q_end in self.left[t]:
-                r = rank.get((p, q))
+        rank, parts, made_at = self.rank, self.parts, self.made_at
+        p, p_end = u, until
+        while True:  # pieces on the right edge of u, each with the rank at which it is merged on
+            q, q_end = t, until
+            while True:
+                r = rank.get(p << 32 | q)
                 if r is not None and r < until and r < p_end and r <= q_end:
                     return False
-        return True
+                if q not in parts:
+                    break
+                q, q_end = parts[q][0], made_at[q]
+            if p not in parts:
+                return True
+            p, p_end = parts[p][1], made_at[p]
 
     def _states(self, words: list[bytes]) -> Iterator[list[int]]:
         """The encoding of each word; words are sorted, so that this is a depth-first walk of their trie."""
@@ -245,15 +242,11 @@ class TrieBPE:
         return decode_ids(self.bytes_of, ids)
 
 
-#: The worker's own model of the last broadcast vocabulary, by what it is for.
-_HELD: dict[str, tuple[int, object]] = {}
-
-
 def _model(kind: str, source: bytes):
     key = hash(source)
-    if kind not in _HELD or _HELD[kind][0] != key:
-        _HELD[kind] = key, TrieBPE(source) if kind == "encode" else token_bytes(json.loads(source))
-    return _HELD[kind][1]
+    if kind not in HELD or HELD[kind][0] != key:
+        HELD[kind] = key, TrieBPE(source) if kind == "encode" else token_bytes(json.loads(source))
+    return HELD[kind][1]
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -288,7 +281,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model("encode", held.value)
-        for batch in sliced(batches, ROWS):
+        for batch in sliced(batches, ROWS, keep=True):
             ids = ids_array(model.encode_batch(as_texts(batch.column("text"))))
             columns, names = [batch.column("id"), ids], ["id", "ids"]
             if back:
@@ -305,7 +298,7 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "id", ids_col: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = _model("decode", held.value)
-        for batch in sliced(batches, ROWS):
+        for batch in sliced(batches, ROWS, keep=True):
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ids"), texts_array(bytes_of, batch.column("ids"))], names=["id", "ids", "text"])
 
     source = pick(df, id=id_col, ids=ids_col)

@@ -66,8 +66,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def tidy() -> None:
-    """Gives a Python worker's free memory back to the system, since idle workers stay."""
+#: What a Python worker holds between the tasks of one operator. Other operators' tasks drop it.
+HELD: dict[str, tuple[int, object]] = {}
+
+
+def tidy(keep: bool = False) -> None:
+    """Gives a Python worker's free memory back to the system, since idle workers stay. keep: but for HELD."""
+    if not keep:
+        HELD.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -83,12 +89,12 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many rows, so that a worker holds few results at once."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
-        tidy()
+        tidy(keep)
 
 
 def as_binary(column: pa.Array) -> pa.Array:

@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for what they miss.
 
 The patterns (assign, access, hex) are a base that always stays. The method adds candidates that
-stand in a sensitive context: an unbroken run of key-like characters shortly after a word that
-names a credential. A candidate's novelty is its marginal size: the bytes that zstandard needs for it
+stand in a sensitive context: an unbroken run of key-like characters, letters and digits, shortly after a
+word that names a credential. A candidate's novelty is its marginal size: the bytes that zstandard needs for it
 once it has seen, as a dictionary, common identifiers of code and the text around the candidate. Words,
 identifiers and repeats of the surroundings cost little; random material costs most of its length.
 
@@ -72,10 +72,10 @@ def base_spans(text: str, kinds: tuple[str, ...] = ("assign", "access", "hex"))
 
 
 def marginal_bytes(candidate: str, before: str, after: str, level: int = 19) -> int:
-    """Bytes that the candidate adds for a coder primed with identifiers and the text around it."""
-    primer = (IDENTIFIERS + "\n" + after + "\n" + before).encode("utf-8", "surrogatepass")
+    """Bytes that the candidate adds for a coder primed with identifiers and the text around it, all in lower case."""
+    primer = (IDENTIFIERS + "\n" + after + "\n" + before).lower().encode("utf-8", "surrogatepass")
     coder = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(primer, zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-    return len(coder.compress(candidate.encode())) - len(coder.compress(b""))
+    return len(coder.compress(candidate.lower().encode())) - len(coder.compress(b""))
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = NOVEL) -> list[tuple[int, int, str]]:
@@ -90,8 +90,8 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = NOV
             if start and text[start - 1] in "+/_=-" or any(s < end and start < e for s, e, _ in taken):
                 continue
             own = m[0]
-            mixed = sum(bool(re.search(c, own)) for c in ("[a-z]", "[A-Z]", "[0-9]"))
-            if mixed >= 2 and marginal_bytes(own, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= least * len(own):
+            digits, letters = sum(c.isdigit() for c in own), sum(c.isalpha() for c in own)
+            if digits >= 2 and letters >= 2 and marginal_bytes(own, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= least * len(own):
                 out.append((start, end, "novel"))
     return out
 
