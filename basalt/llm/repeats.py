@@ -6,14 +6,14 @@ A byte goes when a 50-byte string over it also starts in a document with a small
 2. Anchors: of the hashes of all 32-byte strings the least of each 50-byte window is an anchor; equal windows have equal
    anchors. Blocks of documents ask buckets which of their anchors occur in other documents too (see exchange.py). A window
    whose anchor, its leftmost least hash, no other document has is no repeat. What is left is short.
-3. Pieces: consecutive windows between certain anchors are a piece. Equal pieces are counted once: those with a greater id than their
-   least are repeats.
-4. Index: of the pieces left, the windows of one anchor that several documents have go to buckets by the anchor. A bucket builds a run-length index (run-compressed
-   Burrows-Wheeler transform) of its pieces, streams the matching statistics of each piece through it, and marks matches of 50 bytes
-   whose rows hold a document with a smaller id.
+3. Pieces: the windows of one shared anchor are a piece, and pieces go to buckets by the anchor. A piece that an older
+   document has, too, is a repeat as a whole; of equal pieces only those of the oldest document go on.
+4. Index: where an anchor has different pieces, those that agree around it for nearly 50 bytes enter the bucket's run-length index
+   (run-compressed Burrows-Wheeler transform). The matching statistics of each piece are streamed through it, and
+   matches of 50 bytes whose rows hold an older document are repeats.
 
-Anchors with more than `HOT_ROWS` pieces are cut on into single windows, which are aggregated by their digest, so that no
-anchor's rows need to meet in a task. All windows of all texts are covered; the result is exact.
+Anchors with more than `HOT_ROWS` occurrences, which the buckets tell, have their pieces cut on into single windows, which are aggregated
+by their hash, so that no anchor's rows need to meet in a task. All windows of all texts are covered; the result is exact.
 
 Defined results: a null text is the empty text; texts under 50 bytes stay whole; rows with a null id neither lose bytes nor
 take any from others; rows of one id don't take from each other; repeated rows each get a row; empty tables give empty
@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from basalt.llm.common import as_binary, cut, pick, sliced, table, text_bytes, tidy
 from basalt.llm.exchange import buckets_for, cut_by_range, pack, pack_sorted, unpack, unpack_sorted
@@ -39,13 +40,11 @@ from basalt.llm.shingle_join import asked, in_blocks
 
 GRAM = 32
 BLOCK_BYTES = 2 << 20
-#: One in so many anchors begins a new long piece.
-SPARSE = 8
 #: Windows of so many neighbouring offsets are tried together before a piece is indexed.
 CORE = 5
 HOT_ROWS = 50_000
 #: Rows that an index bucket holds on average at most.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 40_000
 #: A table is broadcast up to this size.
 BROADCAST_BYTES = 64 << 20
 ASKED = "block bigint, bucket int, ids binary, sizes binary, keys binary, cells binary, places binary"
@@ -111,14 +110,16 @@ def digest(data: bytes) -> bytes:
     return xxhash.xxh3_128_digest(data)
 
 
-def shared_anchors(docs: DataFrame, least: int) -> DataFrame:
-    """id, n_bytes, key (the text's digest), anchors (how many occur in other rows too), shared (their places in the text, packed). docs: id, text."""
+def shared_anchors(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """id, n_bytes, key (the text's digest), anchors (how many occur in other rows too), shared (their places in the text, packed); and how many bits
+    of an anchor's hash are told apart. Rows with n_bytes -1 have in `anchors` the bits of a hot anchor. docs: id, text."""
     spark = docs.sparkSession
     size = max(1, text_bytes(docs, "text"))
     bits = min(64, size.bit_length() + 5)
     buckets = buckets_for(spark, size // 6)
     kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "sizes", "keys", "cells", "places"))])
     id_kind = docs.schema["id"].dataType.simpleString()
+    id_type = to_arrow_type(docs.schema["id"].dataType)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in in_blocks(batches, BLOCK_BYTES):
@@ -151,8 +152,11 @@ def shared_anchors(docs: DataFrame, least: int) -> DataFrame:
             flat, row_in = flat[order], row[order]
             first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
             many = np.minimum.reduceat(row_in, first) != np.maximum.reduceat(row_in, first)
+            often = np.diff(np.append(first, len(flat)))
             shared = np.empty(len(flat), bool)
-            shared[order] = np.repeat(many, np.diff(np.append(first, len(flat))))
+            shared[order] = np.repeat(many, often)
+            if len(hot := flat[first[often > HOT_ROWS]]):
+                out.append({"block": -1, "bucket": own[0]["bucket"], "cells": pack(hot)})
             start = 0
             for r, c in zip(own, cells, strict=True):
                 hit = shared[start : start + len(c)]
@@ -165,6 +169,10 @@ def shared_anchors(docs: DataFrame, least: int) -> DataFrame:
     def gather(rows: pa.Table) -> pa.Table:
         out = []
         listed = rows.to_pylist()
+        if listed[0]["block"] < 0:
+            hot = np.concatenate([unpack(r["cells"], "u8") for r in listed]).view(np.int64)
+            none = lambda kind: pa.nulls(len(hot), kind)
+            return pa.table({"id": none(id_type), "n_bytes": pa.array(np.full(len(hot), -1)), "key": none(pa.binary()), "anchors": pa.array(hot), "shared": none(pa.binary())})
         for head in (r for r in listed if r["ids"] is not None):
             sizes = unpack(head["sizes"], "u8").astype(np.int64)
             raw = unpack(head["keys"], "u8").tobytes()
@@ -179,49 +187,46 @@ def shared_anchors(docs: DataFrame, least: int) -> DataFrame:
         return pa.concat_tables(out)
 
     told = docs.mapInArrow(ask, ASKED).groupBy("bucket").applyInArrow(answer, ASKED)
-    return told.groupBy("block").applyInArrow(gather, f"id {id_kind}, n_bytes bigint, key binary, anchors bigint, shared binary")
+    return told.groupBy("block").applyInArrow(gather, f"id {id_kind}, n_bytes bigint, key binary, anchors bigint, shared binary"), bits
 
 
-PIECES = "start int, windows int, anchor bigint, place int, digest binary, bytes binary"
+PIECES = "start int, windows int, anchor bigint, place int, kind bigint, bytes binary"
 
 
-def pieces_of(texts: list[bytes], shared: list[np.ndarray] | None, least: int, sparse: int) -> list[tuple[int, int, int, int, int, bytes]]:
-    """(text, start, windows, anchor, the anchor's place in the piece, bytes) of runs of windows whose anchor is shared (None: all), cut at one in `sparse` anchors."""
+def pieces_of(texts: list[bytes], shared: list[np.ndarray], least: int) -> tuple[np.ndarray, ...]:
+    """text, start, windows, anchor, the anchor's place in the piece, and bytes of the runs of windows of each shared anchor."""
     raw = b"".join(texts)
-    data = np.frombuffer(raw, np.uint8)
     ends = np.cumsum([len(t) for t in texts])
-    found = Anchors(data, ends, least)
+    starts = np.concatenate(([0], ends[:-1]))
+    places = np.concatenate([s + begin for s, begin in zip(shared, starts.tolist(), strict=True)])
+    of = np.searchsorted(ends, places, side="right")
+    # Only the bytes that windows of shared anchors can reach.
+    low, high = np.maximum(starts[of], places - (least - GRAM)), np.minimum(ends[of], places + least)
+    first = np.flatnonzero(np.append(True, (low[1:] > high[:-1]) | (of[1:] != of[:-1])))
+    begin, finish, text = low[first], high[np.append(first[1:] - 1, len(high) - 1)], of[first]
+    data = b"".join([raw[s:e] for s, e in zip(begin.tolist(), finish.tolist(), strict=True)])
+    cuts = np.cumsum(finish - begin)
+    shift = begin - np.concatenate(([0], cuts[:-1]))  # from a place in data to one in raw
+    found = Anchors(np.frombuffer(data, np.uint8), cuts, least)
+    segment = np.searchsorted(cuts, found.places, side="right")
+    open_ = np.isin(found.places + shift[np.minimum(segment, len(shift) - 1)], places)
     windows = np.flatnonzero(found.low)
-    if not len(windows):
-        return []
-    if shared is not None:
-        starts = np.concatenate(([0], ends[:-1]))
-        wanted = np.concatenate([s + begin for s, begin in zip(shared, starts.tolist(), strict=True)])
-        open_ = np.isin(found.places, wanted)
-        # Windows that hold no wanted anchor need no owner.
-        near = np.zeros(len(data) + 1, np.int32)
-        np.add.at(near, np.maximum(found.places[open_] - found.span + 1, 0), 1)
-        np.add.at(near, found.places[open_] + 1, -1)
-        windows = windows[np.cumsum(near)[windows] > 0]
     owner = found.owners(windows)
-    if shared is not None:
-        keep = open_[owner]
-        windows, owner = windows[keep], owner[keep]
+    keep = open_[owner]
+    windows, owner = windows[keep], owner[keep]
     if not len(windows):
-        return []
-    hashes = found.hashes[owner]
-    of = np.searchsorted(ends, windows, side="right")
-    new = np.ones(len(windows), bool)
-    new[1:] = (windows[1:] != windows[:-1] + 1) | (of[1:] != of[:-1]) | ((owner[1:] != owner[:-1]) & ((hashes[1:] >> np.uint64(7)) % np.uint64(sparse) == 0))
+        return (np.zeros(0, np.int64),) * 5 + ([],)
+    new = np.append(True, (windows[1:] != windows[:-1] + 1) | (owner[1:] != owner[:-1]))
     first = np.flatnonzero(new)
     counts = np.diff(np.append(first, len(windows)))
-    begin = np.concatenate(([0], ends[:-1]))[of[first]]
-    rows = zip(of[first].tolist(), windows[first].tolist(), begin.tolist(), counts.tolist(), hashes[first].view(np.int64).tolist(), (found.places[owner[first]] - windows[first]).tolist(), strict=True)
-    return [(i, s - b, n, h, p, raw[s : s + n + least - 1]) for i, s, b, n, h, p in rows]
+    windows, owner = windows[first], owner[first]
+    segment = np.searchsorted(cuts, windows, side="right")
+    bytes_ = [data[s:e] for s, e in zip(windows.tolist(), (windows + counts + (least - 1)).tolist(), strict=True)]
+    return text[segment], windows + shift[segment] - starts[text[segment]], counts, found.hashes[owner].view(np.int64), found.places[owner] - windows, bytes_
 
 
-def first_pieces(texts: DataFrame, least: int) -> DataFrame:
-    """id and long pieces of each text. texts: id, key, text, shared."""
+def anchor_pieces(texts: DataFrame, least: int) -> DataFrame:
+    """id and the pieces of each text. texts: id, key, text, shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 256):
@@ -230,27 +235,16 @@ def first_pieces(texts: DataFrame, least: int) -> DataFrame:
             own = [i for i, (d, k) in enumerate(zip(data, keys, strict=True)) if digest(d) == k]  # else another text of this id
             if own:
                 shared = [np.cumsum(unpack(batch.column("shared")[i].as_py(), "u4").astype(np.int64)) for i in own]
-                rows = pieces_of([data[i] for i in own], shared, least, SPARSE)
-                yield piece_batch(batch.column("id"), [own[r[0]] for r in rows], [r[1:] for r in rows])
+                of, start, windows, anchor, place, bytes_ = pieces_of([data[i] for i in own], shared, least)
+                yield piece_batch(batch.column("id"), np.array(own)[of], start, windows, anchor, place, bytes_)
 
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, {PIECES}")
 
 
-def piece_batch(ids: pa.Array, of: list[int], rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
-    column = lambda k, t: pa.array([r[k] for r in rows], t)
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), column(0, pa.int32()), column(1, pa.int32()), column(2, pa.int64()), column(3, pa.int32()), pa.array([digest(r[4]) for r in rows], pa.binary()), column(4, pa.binary())], names=["id", "start", "windows", "anchor", "place", "digest", "bytes"])
-
-
-def smaller_pieces(pieces: DataFrame, least: int) -> DataFrame:
-    """Pieces cut at every anchor."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 4096):
-            starts = batch.column("start").to_pylist()
-            rows = pieces_of(batch.column("bytes").to_pylist(), None, least, 1)
-            yield piece_batch(batch.column("id"), [r[0] for r in rows], [(starts[r[0]] + r[1], *r[2:]) for r in rows])
-
-    return pieces.mapInArrow(run, f"id {pieces.schema['id'].dataType.simpleString()}, {PIECES}")
+def piece_batch(ids: pa.Array, of: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, place: np.ndarray, bytes_: list[bytes]) -> pa.RecordBatch:
+    kind = np.fromiter(map(xxhash.xxh3_64_intdigest, bytes_), np.uint64, len(bytes_)).view(np.int64)
+    arrays = [ids.take(pa.array(of, pa.int64())), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(anchor, pa.int64()), pa.array(place, pa.int32()), pa.array(kind), pa.array(bytes_, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["id", "start", "windows", "anchor", "place", "kind", "bytes"])
 
 
 def single_windows(pieces: DataFrame, least: int) -> DataFrame:
@@ -258,19 +252,20 @@ def single_windows(pieces: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows, of = [], []
-            for i, (start, n, a, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "windows", "anchor", "bytes")), strict=True)):
-                rows += [(start + k, 1, a, 0, data[k : k + least]) for k in range(n)]
-                of += [i] * n
-            yield piece_batch(batch.column("id"), of, rows)
+            starts, counts = (batch.column(c).to_numpy().astype(np.int64) for c in ("start", "windows"))
+            of = np.repeat(np.arange(len(counts)), counts)
+            inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            data = batch.column("bytes").to_pylist()
+            own = [data[i][k : k + least] for i, k in zip(of.tolist(), inner.tolist(), strict=True)]
+            yield piece_batch(batch.column("id"), of, starts[of] + inner, np.ones(len(of), np.int64), batch.column("anchor").to_numpy()[of], inner, own)
 
     return pieces.mapInArrow(run, f"id {pieces.schema['id'].dataType.simpleString()}, {PIECES}")
 
 
 def with_least(pieces: DataFrame) -> DataFrame:
-    """Pieces with the least id that has an equal one, and whether others have."""
-    per = pieces.groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("least"))
-    return pieces.join(per, F.col("digest") == F.col("d")).drop("d")
+    """Pieces with the least id that has an equal one."""
+    per = pieces.groupBy(F.col("anchor").alias("a"), F.col("kind").alias("d")).agg(F.min("id").alias("least"))
+    return pieces.join(per, (F.col("anchor") == F.col("a")) & (F.col("kind") == F.col("d"))).drop("a", "d")
 
 
 def gone(pieces: DataFrame, least: int) -> DataFrame:
@@ -278,75 +273,98 @@ def gone(pieces: DataFrame, least: int) -> DataFrame:
 
 
 def indexed_repeats(pieces: DataFrame, least: int, buckets: int) -> DataFrame:
-    """id, start, end of repeats found by a run-length index for each bucket of anchors. pieces: of each kind those of its least id."""
+    """id, start, end of repeats among pieces, by buckets of anchors."""
     id_kind = pieces.schema["id"].dataType.simpleString()
 
     def run(rows: pa.Table) -> pa.Table:
         ids_column = rows.column("id").combine_chunks()
         schema = pa.schema([("id", ids_column.type), ("start", pa.int32()), ("end", pa.int32())])
-        age = pc.rank(ids_column, tiebreaker="dense").to_numpy(zero_copy_only=False).tolist()
-        listed = list(zip(*(rows.column(c).to_pylist() for c in ("anchor", "start", "windows", "place", "bytes")), strict=True))
-        # What all windows of a few offsets from the anchor share must be in pieces of two documents.
-        seen: dict[tuple, int] = {}
-        cores = []
-        for who, (anchor, _, n, place, data) in zip(age, listed, strict=True):
-            own = []
-            for g in range(max(0, place - n + 1) // CORE, place // CORE + 1):
-                begin = place - CORE * g
-                key = (anchor, g, data[begin : begin - CORE + 1 + least])
-                own.append((g, key))
-                held = seen.setdefault(key, who)
-                if held != who:
-                    seen[key] = 0
-            cores.append(own)
-        texts, origin = [], []
-        for i, ((_, _, n, place, data), own) in enumerate(zip(listed, cores, strict=True)):
-            hit = [g for g, key in own if seen[key] == 0]
-            if hit:
-                low, high = max(0, place - CORE * max(hit) - CORE + 1), min(n - 1, place - CORE * min(hit))
-                if low <= high:
-                    texts.append(data[low : high + least])
-                    origin.append((i, low))
-        del seen, cores
-        if not texts:
-            return schema.empty_table()
-        distinct: dict[bytes, int] = {}
-        text_of = np.array([distinct.setdefault(d, len(distinct)) for d in texts])
-        who = np.array([age[i] for i, _ in origin])
-        owner = np.full(len(distinct), 1 << 62)
-        np.minimum.at(owner, text_of, who)
-        index = RunIndex(list(distinct))
-        sizes = np.array([len(d) for d in distinct])
-        flat = np.frombuffer(b"".join(distinct), np.uint8)
-        begin = np.cumsum(sizes) - sizes
-        count = sizes - least + 1
-        of = np.repeat(np.arange(len(sizes)), count)
-        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        length, first, last = index.match(flat, begin[of] + inner + least, least, alone=True)
-        text_at = np.searchsorted(index.starts, index.order, side="right") - 1
-        owner_at = np.append(owner[text_at], 1 << 62)
-        spans, which = np.unique(first * (index.size + 1) + last, return_inverse=True)
-        a, b = np.divmod(spans, index.size + 1)
-        smallest = np.minimum.reduceat(owner_at, np.stack([a, b], axis=1).reshape(-1))[::2]
-        # A window that stands in no other text is as old as its own text's first document.
-        smallest = np.minimum(np.where(length == least, smallest[which], 1 << 62), owner[of])
-        at = np.cumsum(count) - count
-        out_row, out_start, out_end = [], [], []
-        for (row, low), text, mine in zip(origin, text_of.tolist(), who.tolist(), strict=True):
-            hit = np.flatnonzero(smallest[at[text] : at[text] + count[text]] < mine)
-            if len(hit):
-                cuts = np.flatnonzero(np.diff(hit) > 1)
-                for s, e in zip(hit[np.append(0, cuts + 1)].tolist(), hit[np.append(cuts, len(hit) - 1)].tolist(), strict=True):
-                    out_row.append(row)
-                    out_start.append(listed[row][1] + low + s)
-                    out_end.append(listed[row][1] + low + e + least)
+        ages = pc.rank(ids_column, tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+        anchors, kinds = rows.column("anchor").to_numpy(), rows.column("kind").to_numpy()
+        starts, counts = (rows.column(c).to_numpy().astype(np.int64) for c in ("start", "windows"))
+        order = np.lexsort((ages, kinds, anchors))
+        new_anchor = np.append(True, anchors[order[1:]] != anchors[order[:-1]])
+        new_kind = new_anchor | np.append(True, kinds[order[1:]] != kinds[order[:-1]])
+        least_age = np.empty(len(order), np.int64)
+        least_age[order] = ages[order][np.flatnonzero(new_kind)][np.cumsum(new_kind) - 1]
+        whole = np.flatnonzero(ages > least_age)  # equal to a piece of an older document
+        heads = np.flatnonzero(new_anchor)
+        low, high = np.minimum.reduceat(least_age[order], heads), np.maximum.reduceat(least_age[order], heads)
+        several = np.empty(len(order), bool)
+        several[order] = (low < high)[np.cumsum(new_anchor) - 1]
+        left = np.flatnonzero(several & (ages == least_age))
+        found = [np.stack([whole, starts[whole], starts[whole] + counts[whole] + least - 1])]
+        found.append(self_repeats(rows.take(pa.array(left)), left, ages[left], least))
+        at = np.concatenate(found, axis=1)
         tidy()
-        return pa.table([ids_column.take(pa.array(out_row, pa.int64())), pa.array(out_start, pa.int32()), pa.array(out_end, pa.int32())], schema=schema)
+        return pa.table([ids_column.take(pa.array(at[0], pa.int64())), pa.array(at[1], pa.int32()), pa.array(at[2], pa.int32())], schema=schema)
 
-    dealt = pieces.select("id", "start", "windows", "anchor", "place", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     return dealt.groupBy("bucket").applyInArrow(run, f"id {id_kind}, start int, end int")
 
 
+def self_repeats(rows: pa.Table, names: np.ndarray, ages: np.ndarray, least: int) -> np.ndarray:
+    """(3, n): name, start and end of repeats between different pieces of an anchor, found by a run-length index."""
+    age = ages.tolist()
+    listed = list(zip(*(rows.column(c).to_pylist() for c in ("anchor", "start", "windows", "place", "bytes")), strict=True))
+    none = np.zeros((3, 0), np.int64)
+    # What all windows of a few offsets from the anchor share must be in pieces of two documents.
+    seen: dict[tuple, int] = {}
+    cores = []
+    for who, (anchor, _, n, place, data) in zip(age, listed, strict=True):
+        own = []
+        for g in range(max(0, place - n + 1) // CORE, place // CORE + 1):
+            begin = place - CORE * g
+            key = (anchor, g, data[begin : begin - CORE + 1 + least])
+            own.append((g, key))
+            held = seen.setdefault(key, who)
+            if held != who:
+                seen[key] = 0
+        cores.append(own)
+    texts, origin = [], []
+    for i, ((_, _, n, place, data), own) in enumerate(zip(listed, cores, strict=True)):
+        hit = [g for g, key in own if seen[key] == 0]
+        if hit:
+            low, high = max(0, place - CORE * max(hit) - CORE + 1), min(n - 1, place - CORE * min(hit))
+            if low <= high:
+                texts.append(data[low : high + least])
+                origin.append((i, low))
+    del seen, cores
+    if not texts:
+        return none
+    distinct: dict[bytes, int] = {}
+    text_of = np.array([distinct.setdefault(d, len(distinct)) for d in texts])
+    who = np.array([age[i] for i, _ in origin])
+    owner = np.full(len(distinct), 1 << 62)
+    np.minimum.at(owner, text_of, who)
+    index = RunIndex(list(distinct))
+    sizes = np.array([len(d) for d in distinct])
+    flat = np.frombuffer(b"".join(distinct), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    count = sizes - least + 1
+    of = np.repeat(np.arange(len(sizes)), count)
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    length, first, last = index.match(flat, begin[of] + inner + least, least, alone=True)
+    text_at = np.searchsorted(index.starts, index.order, side="right") - 1
+    owner_at = np.append(owner[text_at], 1 << 62)
+    spans, which = np.unique(first * (index.size + 1) + last, return_inverse=True)
+    a, b = np.divmod(spans, index.size + 1)
+    smallest = np.minimum.reduceat(owner_at, np.stack([a, b], axis=1).reshape(-1))[::2]
+    # A window that stands in no other text is as old as its own text's first document.
+    smallest = np.minimum(np.where(length == least, smallest[which], 1 << 62), owner[of])
+    at = np.cumsum(count) - count
+    out_row, out_start, out_end = [], [], []
+    for (row, low), text, mine in zip(origin, text_of.tolist(), who.tolist(), strict=True):
+        hit = np.flatnonzero(smallest[at[text] : at[text] + count[text]] < mine)
+        if len(hit):
+            cuts = np.flatnonzero(np.diff(hit) > 1)
+            for s, e in zip(hit[np.append(0, cuts + 1)].tolist(), hit[np.append(cuts, len(hit) - 1)].tolist(), strict=True):
+                out_row.append(int(names[row]))
+                out_start.append(listed[row][1] + low + s)
+                out_end.append(listed[row][1] + low + e + least)
+    return np.array([out_row, out_start, out_end], np.int64).reshape(3, -1)
+
+
 def broadcast_if_small(df: DataFrame, size: Column) -> DataFrame:
     """df (cut before) marked for broadcast when its rows are few and small; else it is joined by shuffle."""
     rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
@@ -356,32 +374,25 @@ def broadcast_if_small(df: DataFrame, size: Column) -> DataFrame:
 def repeated_ranges(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(id, key, start, end) of bytes that repeat those of smaller ids, and (id, key) of the rows that are whole copies."""
     spark = docs.sparkSession
-    known = cut(shared_anchors(docs, least).where("id is not null"))
+    found, bits = shared_anchors(docs, least)
+    found = cut(found)
+    hot = found.where("n_bytes < 0").select(F.col("anchors").alias("cell"))
+    known = found.where("n_bytes >= 0 and id is not null")
     first = known.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("first_id"))
     copies = known.join(first, (F.col("key") == F.col("k")) & (F.col("id") > F.col("first_id"))).select("id", "key").distinct()
     reps = known.where("anchors > 0").join(first, (F.col("key") == F.col("k")) & (F.col("id") == F.col("first_id")), "left_semi").dropDuplicates(["id", "key"])
-    wanted = cut(reps.select(F.col("id").alias("i"), "key", "shared"))
-    texts = docs.join(broadcast_if_small(wanted, F.octet_length("shared")), F.col("id") == F.col("i")).select("id", "key", "text", "shared")
-    long_ = cut(first_pieces(texts, least))
-    longer = with_least(long_)
-    repeats = gone(longer.where("id > least"), least)
-    left = cut(longer.where("id = least").select("id", "start", "bytes"))
-    short = smaller_pieces(left, least)
-    equal = cut(short.groupBy("anchor", "digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"), F.max("id").alias("most")))
-    same = equal.where("least < most").select(F.col("anchor").alias("a"), F.col("digest").alias("d"), "least")
-    repeats = repeats.unionByName(gone(short.join(same, (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("d")) & (F.col("id") > F.col("least"))), least))
-    # Anchors with pieces of several kinds in several documents.
-    per = equal.groupBy(F.col("anchor").alias("k")).agg(F.count(F.lit(1)).alias("kinds"), F.min("least").alias("low"), F.max("least").alias("high"))
-    per = cut(per.where("kinds > 1 and low != high").select("k", "kinds"))
-    total = per.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    wanted = cut(reps.select(F.col("id").alias("i"), "key", "shared", "anchors"))
+    total = wanted.agg(F.coalesce(F.sum("anchors"), F.lit(0))).first()[0]
+    texts = docs.join(broadcast_if_small(wanted.drop("anchors"), F.octet_length("shared")), F.col("id") == F.col("i")).select("id", "key", "text", "shared")
+    pieces = anchor_pieces(texts, least)
     buckets = max(1, -(-total // BUCKET_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 500)))
-    first_of = equal.join(per, F.col("anchor") == F.col("k"), "left_semi").select(F.col("anchor").alias("a"), F.col("digest").alias("d"), "least")
-    several = short.join(first_of, (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("d")) & (F.col("id") == F.col("least"))).select("id", "start", "windows", "anchor", "place", "digest", "bytes")
-    many = per.where(F.col("kinds") > HOT_ROWS).select("k")
-    repeats = repeats.unionByName(indexed_repeats(several.join(many, F.col("anchor") == F.col("k"), "left_anti"), least, buckets))
-    if many.limit(1).count():
-        hot = with_least(single_windows(several.join(many, F.col("anchor") == F.col("k"), "left_semi"), least))
-        repeats = repeats.unionByName(gone(hot.where("id > least"), least))
+    if hot.limit(1).count():
+        pieces = pieces.withColumn("bits", F.shiftrightunsigned("anchor", 64 - bits))
+        many = with_least(single_windows(pieces.join(hot, F.col("bits") == F.col("cell"), "left_semi"), least))
+        pieces = pieces.join(hot, F.col("bits") == F.col("cell"), "left_anti").drop("bits")
+        repeats = indexed_repeats(pieces, least, buckets).unionByName(gone(many.where("id > least"), least))
+    else:
+        repeats = indexed_repeats(pieces, least, buckets)
     return repeats, copies
 
 

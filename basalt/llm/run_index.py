@@ -5,18 +5,44 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(symbols: np.ndarray, longest: int) -> np.ndarray:
-    """The suffix array of whole numbers whose suffixes all differ within `longest` symbols, by prefix doubling."""
-    _, rank = np.unique(symbols, return_inverse=True)
-    n, done = len(symbols), 1
-    while done < longest and (n == 0 or rank.max() < n - 1):
-        key = rank.astype(np.int64) * (n + 1)
-        key[:-done] += rank[done:] + 1
-        _, rank = np.unique(key, return_inverse=True)
+def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The suffix array of bytes + 1 in strings that each end with a 0, at `ends`; equal suffixes are ordered by their string.
+
+    Suffixes are ranked by their first eight symbols, then by doubling among those that are still alike.
+    """
+    n = len(symbols)
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # symbols before the own string's end
+    string = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
+    key = np.zeros(n, np.uint64)
+    padded = np.concatenate((symbols.astype(np.uint64), np.zeros(8, np.uint64)))
+    inside = np.ones(n, bool)
+    for k in range(7):
+        inside &= left >= k
+        key = key * np.uint64(257) + np.where(inside, padded[k : n + k], np.uint64(0))
+    done = 7
+    order = np.lexsort((string, key)) if n else np.zeros(0, np.int64)
+    apart = np.ones(n, bool)
+    apart[1:] = key[order[1:]] != key[order[:-1]]
+    closed = left[order] < done  # whole suffixes: their strings tell them apart
+    apart[1:] |= closed[1:] | closed[:-1]
+    rank = np.empty(n, np.int64)
+    group = np.maximum.accumulate(np.where(apart, np.arange(n), 0))
+    rank[order] = group
+    open_ = np.flatnonzero(~apart | np.append(~apart[1:], False)) if n else order
+    while len(open_):
+        members = order[open_]
+        after = members + done
+        second = np.where(left[members] >= done, rank[np.minimum(after, n - 1)], string[members] - len(ends))
+        by = np.lexsort((second, rank[members]))
+        members, second, old = members[by], second[by], rank[members][by]
+        order[open_] = members
+        new = np.ones(len(members), bool)
+        new[1:] = (old[1:] != old[:-1]) | (second[1:] != second[:-1])
+        rank[members] = open_[np.maximum.accumulate(np.where(new, np.arange(len(members)), 0))]
+        alike = ~new | np.append(~new[1:], False)
+        open_ = open_[alike]
         done *= 2
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
-    return out
+    return order
 
 
 class RunIndex:
@@ -31,11 +57,9 @@ class RunIndex:
         inner = np.ones(n, bool)
         ends = self.starts + sizes
         inner[ends] = False
-        symbols[inner] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + m
-        symbols[ends] = np.arange(m)
-        self.order = suffix_order(symbols, int(sizes.max(initial=0)) + 2)
-        before = np.where(self.order > 0, symbols[self.order - 1], 0)
-        transform = np.where(before >= m, before - m + 1, 0)  # 0: some string's end
+        symbols[inner] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+        self.order = suffix_order(symbols, ends)
+        transform = symbols[self.order - 1]  # 0: some string's end
         first = np.flatnonzero(np.diff(transform, prepend=-1) != 0)
         self.size = n
         self.heads = transform[first]

@@ -74,9 +74,15 @@ def test_nothing(spark):
 
 
 def test_suffix_order():
-    for _ in range(20):
-        s = np.array([RNG.randrange(4) for _ in range(RNG.randint(1, 60))])
-        assert suffix_order(s, 64).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    for _ in range(40):
+        texts = [bytes(RNG.randrange(3) for _ in range(RNG.randint(0, 40))) for _ in range(RNG.randint(1, 9))]
+        symbols, ends, keys = [], [], []
+        for k, s in enumerate(texts):
+            keys += [([c + 1 for c in s[i:]] + [0], k) for i in range(len(s) + 1)]
+            symbols += [*(c + 1 for c in s), 0]
+            ends.append(len(symbols) - 1)
+        want = sorted(range(len(symbols)), key=lambda i: keys[i])
+        assert suffix_order(np.array(symbols), np.array(ends)).tolist() == want
 
 
 def test_index_counts_and_runs():
