@@ -27,6 +27,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
 CELL_ROWS = 4096
+#: Classes and cells (numbers of some 100 bytes a row) are broadcast up to so many rows, else joined by shuffle.
+BROADCAST_ROWS = 500_000
 MOST_ROUNDS = 80
 TOLERANCE = 1e-9
 
@@ -114,7 +116,9 @@ def with_copies(df: DataFrame, id_col: str, source_col: str, size: Column, weigh
     known = targets.join(solved.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     rate = F.when(F.col("size") == 0, 0.0).otherwise(F.coalesce(F.exp(F.least(F.col("l") * F.col("size") / F.col("mean"), F.log(F.lit(cap)))), F.lit(cap)))
     classes = counts.join(known.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "source_size", "target", rate.alias("rate"), F.ceil(F.col("n") / cell_rows).alias("salts"))
-    classes = classes.select(*[F.col(c).alias(f"k_{c}") for c in classes.columns])
+    classes = cut(classes.select(*[F.col(c).alias(f"k_{c}") for c in classes.columns]))
+    few = lambda table_: F.broadcast(table_) if table_.count() <= BROADCAST_ROWS else table_
+    classes = few(classes)
     salted = units.join(classes, F.col("source").eqNullSafe(F.col("k_source")) & (F.col("size") == F.col("k_size"))).select(
         "row", F.col("source"), "size", F.col("k_source_size").alias("source_size"), F.col("k_target").alias("target"), F.col("k_rate").alias("rate"), F.xxhash64("id", F.lit("mix")).alias("h"), F.pmod(F.xxhash64("id", F.lit("salt")), F.col("k_salts")).alias("salt")
     )
@@ -132,7 +136,7 @@ def with_copies(df: DataFrame, id_col: str, source_col: str, size: Column, weigh
     before = F.coalesce(F.sum(F.col("room") * F.col("size")).over(prior.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     more = F.greatest(F.least(F.floor((F.abs("miss") - before) / F.when(F.col("size") > 0, F.col("size")) + 0.5), F.col("room")), F.lit(0))
     cells = cells.select(F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.col("salt").alias("k_salt"), "m", (F.col("whole") + F.signum("miss") * F.coalesce(more, F.lit(0))).cast("bigint").alias("whole"))
-    joined = salted.join(cells, F.col("source").eqNullSafe(F.col("k_source")) & (F.col("size") == F.col("k_size")) & (F.col("salt") == F.col("k_salt")))
+    joined = salted.join(few(cut(cells)), F.col("source").eqNullSafe(F.col("k_source")) & (F.col("size") == F.col("k_size")) & (F.col("salt") == F.col("k_salt")))
     nth = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("h"))
     each = F.floor(F.col("whole") / F.col("m"))
     more = F.when(nth <= F.col("whole") - each * F.col("m"), 1).otherwise(0)

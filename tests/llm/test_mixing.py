@@ -35,7 +35,9 @@ def many():
     return out + [(7, "again again", "b", "x"), (7, "again again", "b", "x")]
 
 
-def test_query(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_query(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
     rows = many()
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = mixing.op6_mix_sources(spark, str(tmp_path)).collect()
