@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import as_binary, crc32_mod, pick, sliced, table
+from basalt.llm.common import as_binary, crc32_mod, pick, sliced, table, tidy
 
 BITS = 18
 ORDERS = (2, 3, 4)
-FIT_ROWS = 6000
+FIT_ROWS = 4000
 #: Word n-grams count by their repetition: how many words in a row equal the one `back` words before, up to these.
 BACK, MOST_RUN = 3, 16
 ROUNDS = 15
@@ -144,8 +144,10 @@ def fit(rows: list[np.ndarray], labels: list[int], size: int = 1 << BITS) -> tup
 
     def train(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ratios = log_count_ratios([rows[i] for i in part], y[part], size)
-        values = [ratios[rows[i]] for i in part]
-        values = [(v / (np.linalg.norm(v) or 1.0)).astype(np.float32) for v in values]
+        values = []
+        for i in part:
+            v = ratios[rows[i]]
+            values.append((v / (np.linalg.norm(v) or 1.0)).astype(np.float32))
         cost = np.full(len(part), COST)
         return ratios, dual_coordinate_descent([rows[i] for i in part], values, np.where(y[part] == 1, 1.0, -1.0), size, cost)
 
@@ -189,6 +191,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_docs: DataFrame | Non
     rows = picked.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(features, "order bigint, label int, at array<int>").toArrow().sort_by("order")
     found = [own.values.to_numpy(zero_copy_only=False) for own in rows.column("at")]
     model, scale = fit(found, rows.column("label").to_pylist())
+    del rows, found
+    tidy()
     held = docs.sparkSession.sparkContext.broadcast((model, scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
