@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from basalt.llm.common import as_binary, cut, pick, sliced, table, text_bytes, tidy
-from basalt.llm.exchange import buckets_for, cut_by_range, pack, pack_sorted, unpack, unpack_sorted
+from basalt.llm.exchange import buckets_for, cut_by_range, mixed, pack, pack_sorted, unpack, unpack_sorted
 from basalt.llm.language_model import frame, unframe
 from basalt.llm.run_index import RunIndex
 from basalt.llm.shingle_join import asked, in_blocks
 
 GRAM = 32
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Windows of so many neighbouring offsets are tried together before a piece is indexed.
 CORE = 5
 HOT_ROWS = 50_000
@@ -94,7 +94,7 @@ class Anchors:
         pad = np.zeros(span - 1, np.uint32)
         top = sliding(np.maximum, np.concatenate((pad, low, pad)), span)
         self.places = np.flatnonzero(top == self.order)
-        self.hashes = hashes[self.places]
+        self.hashes = mixed(hashes[self.places], np.uint64(1))  # anchors are low hashes: buckets need even ones
 
     def owners(self, windows: np.ndarray) -> np.ndarray:
         """For each window the index of its leftmost least anchor."""
@@ -116,7 +116,7 @@ def shared_anchors(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     size = max(1, text_bytes(docs, "text"))
     bits = min(64, size.bit_length() + 5)
-    buckets = buckets_for(spark, size // 6)
+    buckets = buckets_for(spark, size // 4)
     kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "sizes", "keys", "cells", "places"))])
     id_kind = docs.schema["id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["id"].dataType)

@@ -94,8 +94,8 @@ def in_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES)
     number = TaskContext.get().partitionId() << 24
     held, size, rows = [], 0, 0
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
+        for start in range(0, batch.num_rows, 64):
+            part = batch.slice(start, 64)
             held.append(part)
             size, rows = size + part.nbytes, rows + part.num_rows
             if size >= block_bytes or rows >= BLOCK_ROWS:
