@@ -79,3 +79,18 @@ def join_cost(left: DataFrame, right: DataFrame, memory_pages: int = MEMORY_PAGE
     simple = F.col("left_rows") * F.col("right_pages") + F.col("left_pages")
     block = F.ceil(F.col("left_pages") / (memory_pages - 2)) * F.col("right_pages") + F.col("left_pages")
     return both.select("left_pages", "right_pages", simple.alias("simple_cost"), block.alias("block_cost"))
+
+
+def interesting_orders(indexed: dict[str, set[str]], edges: list[tuple[str, str, str, str]], group: tuple[str, str] | None = None, scanned: dict[str, str] | None = None) -> dict[str, list[str]]:
+    """Of each table its indexed columns that a join or the group uses, but for the one whose index is scanned already.
+
+    indexed: table -> columns; edges as for `join_order`; group: (table, column); scanned: table -> column.
+    """
+    used: dict[str, set[str]] = {}
+    for a, x, b, y in edges:
+        used.setdefault(a, set()).add(x)
+        used.setdefault(b, set()).add(y)
+    if group:
+        used.setdefault(group[0], set()).add(group[1])
+    held = scanned or {}
+    return {t: sorted((columns & used.get(t, set())) - {held.get(t)}) for t, columns in indexed.items()}

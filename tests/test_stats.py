@@ -78,3 +78,9 @@ def test_join_order():
     assert {s[0] for s in steps} == {"a", "b", "c"} and all(s[1] == "block nested loop" for s in steps[1:])
     with pytest.raises(ValueError, match="connected"):
         cost.join_order(sides, [("a", "k", "b", "k")], {"a": 14, "b": 14, "c": 14})
+
+
+def test_interesting_orders():
+    indexed = {"a": {"k", "g", "z"}, "b": {"k"}, "c": set()}
+    got = cost.interesting_orders(indexed, [("a", "k", "b", "k"), ("b", "m", "c", "m")], group=("a", "g"), scanned={"b": "k"})
+    assert got == {"a": ["g", "k"], "b": [], "c": []}

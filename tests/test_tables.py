@@ -149,3 +149,13 @@ def test_sorted_layout_prunes(spark, tmp_path):
     index.sorted_layout(spark.range(1000).toDF("k"), "k").write.parquet(str(tmp_path / "t"))
     df = index.range_scan(spark.read.parquet(str(tmp_path / "t")), "k", ">=", 990)
     assert df.count() == 10 and "GreaterThanOrEqual(k,990)" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from basalt.__main__ import main
+
+    (tmp_path / "in.txt").write_text("1|one\n2| two\n")
+    assert main(["convert", str(tmp_path / "in.txt"), str(tmp_path / "out"), "2", "int,string", "|"]) == 0
+    assert main(["print", str(tmp_path / "out")]) == 0
+    assert sorted(capsys.readouterr().out.splitlines()) == ["1\tone", "2\ttwo"]
+    assert main(["parse"]) == 2
