@@ -12,8 +12,8 @@ A byte goes when a 50-byte string over it also starts in a document with a small
    (run-compressed Burrows-Wheeler transform). The matching statistics of each piece are streamed through it, and
    matches of 50 bytes whose rows hold an older document are repeats.
 
-Anchors with more than `HOT_ROWS` occurrences, which the buckets tell, have their pieces cut on into single windows, which are aggregated
-by their hash, so that no anchor's rows need to meet in a task. All windows of all texts are covered; the result is exact.
+Anchors with more than `HOT_ROWS` occurrences, which the buckets tell, have their different pieces cut on into single windows, which are
+aggregated by their hash, so that no anchor's rows need to meet in a task. All windows of all texts are covered; the result is exact.
 
 Defined results: a null text is the empty text; texts under 50 bytes stay whole; rows with a null id neither lose bytes nor
 take any from others; rows of one id don't take from each other; repeated rows each get a row; empty tables give empty
@@ -42,7 +42,8 @@ GRAM = 32
 BLOCK_BYTES = 1 << 20
 #: Windows of so many neighbouring offsets are tried together before a piece is indexed.
 CORE = 5
-HOT_ROWS = 50_000
+#: A bucket's task holds all rows of an anchor up to so many, some 300 bytes each.
+HOT_ROWS = 200_000
 #: Rows that an index bucket holds on average at most.
 BUCKET_ROWS = 40_000
 #: A table is broadcast up to this size.
@@ -388,9 +389,12 @@ def repeated_ranges(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     buckets = max(1, -(-total // BUCKET_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 500)))
     if hot.limit(1).count():
         pieces = pieces.withColumn("bits", F.shiftrightunsigned("anchor", 64 - bits))
-        many = with_least(single_windows(pieces.join(hot, F.col("bits") == F.col("cell"), "left_semi"), least))
+        many = with_least(pieces.join(hot, F.col("bits") == F.col("cell"), "left_semi").drop("bits"))
+        single = with_least(single_windows(many.where("id = least").drop("least"), least))
         pieces = pieces.join(hot, F.col("bits") == F.col("cell"), "left_anti").drop("bits")
-        repeats = indexed_repeats(pieces, least, buckets).unionByName(gone(many.where("id > least"), least))
+        repeats = indexed_repeats(pieces, least, buckets)
+        for found in (many, single):
+            repeats = repeats.unionByName(gone(found.where("id > least"), least))
     else:
         repeats = indexed_repeats(pieces, least, buckets)
     return repeats, copies
