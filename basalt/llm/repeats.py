@@ -36,9 +36,11 @@ from basalt.llm.common import as_binary, cut, pick, sliced, table, text_bytes, t
 from basalt.llm.exchange import buckets_for, cut_by_range, mixed, pack, pack_sorted, unpack, unpack_sorted
 from basalt.llm.language_model import frame, unframe
 from basalt.llm.run_index import RunIndex
-from basalt.llm.shingle_join import asked, in_blocks
+from basalt.llm.shingle_join import SEVERAL, asked, in_blocks
 
 GRAM = 32
+#: Stands for the places of several documents of a block.
+SEVERAL_PLACES = (1 << 32) - 1
 BLOCK_BYTES = 1 << 20
 #: Windows of so many neighbouring offsets are tried together before a piece is indexed.
 CORE = 5
@@ -131,16 +133,27 @@ def shared_anchors(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
             ends = np.cumsum(sizes)
             keys = b"".join(map(digest, texts))
             data = np.frombuffer(b"".join(texts), np.uint8)
-            yield asked(kinds, [{"block": number, "bucket": number % buckets, "ids": frame(ids), "sizes": pack(sizes.astype(np.uint64)), "keys": pack(np.frombuffer(keys, np.uint64))}])
             found = Anchors(data, ends, least)
             of = np.searchsorted(ends, found.places, side="right")
             known = ids.is_valid().to_numpy(zero_copy_only=False)[of]
-            places, hashes = found.places[known], found.hashes[known]
+            places, hashes, of = found.places[known], found.hashes[known], of[known]
             order = np.argsort(hashes, kind="stable")
-            places, hashes = places[order], hashes[order]
-            cells = hashes >> np.uint64(64 - bits)
+            places, hashes, of = places[order], hashes[order], of[order]
+            first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
+            often = np.diff(np.append(first, len(hashes)))
+            several = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first) if len(first) else np.zeros(0, bool)
+            # Anchors of several documents of the block are known to be shared, and asked for once, so that none is hot.
+            shared = np.repeat(several, often)
+            local = places[shared]
+            asks = ~shared
+            asks[first] = True
+            count = np.ones(len(hashes), np.int64)
+            count[first] = np.where(several, often, 1)
+            places, of = np.where(shared, SEVERAL_PLACES, places)[asks], np.where(shared, SEVERAL, of)[asks]
+            hashes, count = hashes[asks], count[asks]
+            yield asked(kinds, [{"block": number, "bucket": number % buckets, "ids": frame(ids), "sizes": pack(sizes.astype(np.uint64)), "keys": pack(np.frombuffer(keys, np.uint64)), "places": pack(local.astype(np.uint32))}])
             for bucket, s, e in cut_by_range(hashes, buckets):
-                yield asked(kinds, [{"block": number, "bucket": bucket, "cells": pack_sorted(cells[s:e]), "places": pack(places[s:e].astype(np.uint32)), "sizes": pack(of[known][order][s:e].astype(np.uint16))}])
+                yield asked(kinds, [{"block": number, "bucket": bucket, "cells": pack_sorted(hashes[s:e] >> np.uint64(64 - bits)), "places": pack(places[s:e].astype(np.uint32)), "sizes": pack(of[s:e].astype(np.uint16)), "keys": pack(count[s:e].astype(np.uint32))}])
 
     def answer(rows: pa.Table) -> pa.Table:
         out = rows.filter(pc.is_valid(rows.column("ids"))).to_pylist()
@@ -153,17 +166,18 @@ def shared_anchors(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
             flat, row_in = flat[order], row[order]
             first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
             many = np.minimum.reduceat(row_in, first) != np.maximum.reduceat(row_in, first)
-            often = np.diff(np.append(first, len(flat)))
             shared = np.empty(len(flat), bool)
-            shared[order] = np.repeat(many, often)
+            shared[order] = np.repeat(many, np.diff(np.append(first, len(flat))))
+            often = np.add.reduceat(np.concatenate([unpack(r["keys"], "u4") for r in own]).astype(np.int64)[order], first)
             if len(hot := flat[first[often > HOT_ROWS]]):
                 out.append({"block": -1, "bucket": own[0]["bucket"], "cells": pack(hot)})
             start = 0
             for r, c in zip(own, cells, strict=True):
                 hit = shared[start : start + len(c)]
                 start += len(c)
-                if hit.any():
-                    out.append({"block": r["block"], "bucket": r["bucket"], "places": pack(unpack(r["places"], "u4")[hit])})
+                places = unpack(r["places"], "u4")[hit]
+                if len(places := places[places != SEVERAL_PLACES]):
+                    out.append({"block": r["block"], "bucket": r["bucket"], "places": pack(places)})
         tidy()
         return pa.Table.from_pylist(out, schema=kinds)
 
@@ -178,7 +192,7 @@ def shared_anchors(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
             sizes = unpack(head["sizes"], "u8").astype(np.int64)
             raw = unpack(head["keys"], "u8").tobytes()
             parts = [unpack(r["places"], "u4") for r in listed if r["ids"] is None and r["block"] == head["block"]]
-            places = np.sort(np.concatenate(parts)).astype(np.int64) if parts else np.zeros(0, np.int64)
+            places = np.sort(np.concatenate([unpack(head["places"], "u4"), *parts])).astype(np.int64)
             starts = np.cumsum(sizes) - sizes
             cuts = np.searchsorted(places, np.append(starts, sizes.sum()))
             cuts[-1] = len(places)

@@ -37,6 +37,8 @@ from basalt.llm.exchange import buckets_for, cut_by_range, mixed, pack, pack_sor
 from basalt.llm.language_model import frame, unframe, words_of
 
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 60_000
+#: Stands for several documents of a block.
+SEVERAL = 65_535
 TILE_ROWS = 1024
 #: Reps whose ids are broadcast at most; beyond that the join is by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -124,15 +126,22 @@ def classes_that_may_link(docs: DataFrame, words: int, percent: int) -> DataFram
         for number, rows in in_blocks(batches):
             rows = rows.combine_chunks()
             sizes, values = shingle_sets(rows.column("text").combine_chunks(), words)
+            keys = pack(np.frombuffer(b"".join(k.ljust(16, b"\0") for k in set_keys(sizes, values)), np.uint64))
             ids = rows.column("id").combine_chunks()
-            yield asked(kinds, [{"block": number, "bucket": number % buckets, "ids": frame(ids), "sizes": pack(sizes.astype(np.uint32)), "keys": pack(np.frombuffer(b"".join(k.ljust(16, b"\0") for k in set_keys(sizes, values)), np.uint64))}])
             of = np.repeat(np.arange(len(sizes)), sizes)
             known = ids.is_valid().to_numpy(zero_copy_only=False)[of]
             values, of = values[known], of[known]
             order = np.argsort(values, kind="stable")
-            cells, of = values[order] >> np.uint64(64 - bits), of[order]
-            for bucket, s, e in cut_by_range(values[order], buckets):
-                yield asked(kinds, [{"block": number, "bucket": bucket, "cells": pack_sorted(cells[s:e]), "rows": pack(of[s:e].astype(np.uint16))}])
+            values, of = values[order], of[order]
+            first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+            several = np.diff(np.append(first, len(values))) > 1
+            # Shingles of several documents of the block are counted here, and asked for once, so that none is hot.
+            local = np.bincount(of[np.repeat(several, np.diff(np.append(first, len(values))))], minlength=len(sizes))
+            asker = np.where(several, SEVERAL, of[first])
+            values = values[first]
+            yield asked(kinds, [{"block": number, "bucket": number % buckets, "ids": frame(ids), "sizes": pack(sizes.astype(np.uint32)), "keys": keys, "rows": pack(local.astype(np.uint32))}])
+            for bucket, s, e in cut_by_range(values, buckets):
+                yield asked(kinds, [{"block": number, "bucket": bucket, "cells": pack_sorted(values[s:e] >> np.uint64(64 - bits)), "rows": pack(asker[s:e].astype(np.uint16))}])
 
     def answer(rows: pa.Table) -> pa.Table:
         heads = rows.filter(pc.is_valid(rows.column("ids")))
@@ -150,7 +159,7 @@ def classes_that_may_link(docs: DataFrame, words: int, percent: int) -> DataFram
             for r, c in zip(own, cells, strict=True):
                 of = unpack(r["rows"], "u2")[shared[start : start + len(c)]]
                 start += len(c)
-                out.append({"block": r["block"], "bucket": r["bucket"], "rows": pack(of)})
+                out.append({"block": r["block"], "bucket": r["bucket"], "rows": pack(of[of != SEVERAL])})
         tidy()
         return pa.Table.from_pylist(out, schema=kinds)
 
@@ -160,7 +169,7 @@ def classes_that_may_link(docs: DataFrame, words: int, percent: int) -> DataFram
         listed = rows.to_pylist()
         heads = {r["block"]: r for r in listed if r["ids"] is not None}
         for number, head in heads.items():
-            counts[number] = np.zeros(len(unpack(head["sizes"], "u4")), np.int64)
+            counts[number] = unpack(head["rows"], "u4").astype(np.int64)
         for r in listed:
             if r["ids"] is None:
                 counts[r["block"]] += np.bincount(unpack(r["rows"], "u2"), minlength=len(counts[r["block"]]))
