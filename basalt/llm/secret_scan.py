@@ -4,7 +4,7 @@ The patterns (assign, access, hex) are a base that always stays. The method adds
 stand in a sensitive context: an unbroken run of key-like characters, letters and digits, shortly after a
 word that names a credential. A candidate's novelty is its marginal size: the bytes that zstandard needs for it
 once it has seen, as a dictionary, common identifiers of code and the text around the candidate. Words,
-identifiers and repeats of the surroundings cost little; random material costs most of its length.
+identifiers and repeats of the surroundings cost little; random material costs most of what its symbols need.
 
 Texts are scanned whole, row by row: no shuffle, no driver state. Defined results: a null text is the
 empty text; a text without spans gives an empty list; repeated rows give repeated results; ties (spans
@@ -14,6 +14,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,8 +39,11 @@ CONTEXT = re.compile(r"passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Characters after a sensitive word in which a candidate may begin, and those around it that prime the coder.
 REACH, AROUND = 48, 400
-#: Marginal bytes for each character of the candidate, at least.
+#: Marginal bytes for each byte that the candidate costs without a dictionary, at least.
 NOVEL = 0.7
+#: Sets of symbols that keys are drawn from (in lower case), and the share of their entropy that a long candidate costs at least.
+ALPHABETS = ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz234567=", "abcdefghijklmnopqrstuvwxyz0123456789")
+OF_ENTROPY = 0.95
 #: Fixed text of common identifiers and words of code.
 IDENTIFIERS = (
     "abstract account address algorithm application argument array assert async attribute authenticate authorization await "
@@ -78,6 +82,22 @@ def marginal_bytes(candidate: str, before: str, after: str, level: int = 19) ->
     return len(coder.compress(candidate.lower().encode())) - len(coder.compress(b""))
 
 
+def is_novel(candidate: str, before: str, after: str, least: float = NOVEL) -> bool:
+    """Whether priming saves little of the candidate, measured against what its own symbols allow.
+
+    Random keys of few symbols cost less than a byte a character once they are long, so the bound is a share of the size without
+    a dictionary there; what repeats itself is small without one too, and stays below the entropy of its alphabet.
+    """
+    size, length = marginal_bytes(candidate, before, after), len(candidate)
+    if size >= least * length:
+        return True
+    symbols = next((len(a.rstrip("=")) for a in ALPHABETS if set(candidate.lower()) <= set(a)), len(ALPHABETS[-1]))
+    if size < OF_ENTROPY * math.log2(symbols) / 8 * length:
+        return False
+    coder = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
+    return size >= least * (len(coder.compress(candidate.lower().encode())) - len(coder.compress(b"")))
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = NOVEL) -> list[tuple[int, int, str]]:
     """Incompressible key-like strings in a sensitive context that no span of `taken` touches."""
     out, done = [], 0
@@ -91,7 +111,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = NOV
                 continue
             own = m[0]
             digits, letters = sum(c.isdigit() for c in own), sum(c.isalpha() for c in own)
-            if digits >= 2 and letters >= 2 and marginal_bytes(own, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= least * len(own):
+            if digits >= 2 and letters >= 2 and is_novel(own, text[max(0, start - AROUND) : start], text[end : end + AROUND], least):
                 out.append((start, end, "novel"))
     return out
 

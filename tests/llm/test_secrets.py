@@ -47,6 +47,23 @@ def test_novelty_finds_random_keys_only():
     assert secret_scan.novel_spans(f"{KEY} bearer {KEY} x", []) == []  # seen before
 
 
+@pytest.mark.parametrize("length", [32, 64, 96, 128, 400, 800, 1200, 3000, 5000])
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "0123456789abcdefABCDEF", string.ascii_uppercase + "234567", string.ascii_lowercase + "234567", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "+/"])
+def test_random_keys_of_any_length_are_novel(alphabet, length):
+    rng = random.Random(length)
+    for _ in range(10):
+        key = "".join(rng.choice(alphabet) for _ in range(length))
+        assert secret_scan.novel_spans(f"authorization bearer {key} and more", []) == [(21, 21 + length, "novel")]
+
+
+def test_long_repeats_and_words_are_not_novel():
+    words = [w for w in secret_scan.IDENTIFIERS.split() if w.isalpha()]
+    rng = random.Random(5)
+    long = "_".join(rng.choice(words) for _ in range(80)) + "_2024"
+    for clean in (long, "DEADBEEF" * 40, KEY * 20, "A1" * 300):
+        assert secret_scan.novel_spans(f"authorization bearer {clean} and more", []) == []
+
+
 def test_novel_spans_leave_base_ones_alone():
     text = f"token = {KEY} and credential {KEY[::-1]}"
     kinds = [k for _, _, k in secret_scan.find_secrets(text)]
