@@ -1,10 +1,12 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for what they miss.
 
 The patterns (assign, access, hex) are a base that always stays. The method adds candidates that
-stand in a sensitive context: an unbroken run of key-like characters, letters and digits, shortly after a
+stand in a sensitive context: an unbroken run of key-like characters with a letter, shortly after a
 word that names a credential. A candidate's novelty is its marginal size: the bytes that zstandard needs for it
 once it has seen, as a dictionary, common identifiers of code and the text around the candidate. Words,
 identifiers and repeats of the surroundings cost little; random material costs most of what its symbols need.
+A lone word is too short for the coder to save on. So candidates of letters with a digit at most must also be unlike words: their
+letters follow each other as they rarely do in the identifiers and the text around.
 
 Texts are scanned whole, row by row: no shuffle, no driver state. Defined results: a null text is the
 empty text; a text without spans gives an empty list; repeated rows give repeated results; ties (spans
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +47,8 @@ NOVEL = 0.7
 #: Sets of symbols that keys are drawn from (in lower case), and the share of their entropy that a long candidate costs at least.
 ALPHABETS = ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz234567=", "abcdefghijklmnopqrstuvwxyz0123456789")
 OF_ENTROPY = 0.95
+#: Bits for each pair of neighbouring symbols, at least, of candidates with fewer than two digits. Words have 3.4 on average, random letters 6.2.
+UNLIKE = 5.0
 #: Fixed text of common identifiers and words of code.
 IDENTIFIERS = (
     "abstract account address algorithm application argument array assert async attribute authenticate authorization await "
@@ -67,6 +72,15 @@ IDENTIFIERS = (
 )
 
 
+def pair_counts(text: str) -> Counter:
+    """Neighbouring symbols: letters in lower case, # for digits, a blank for runs of anything else."""
+    symbols = re.sub("[^a-z#]+", " ", re.sub("[0-9]", "#", text.lower()))
+    return Counter(zip(symbols, symbols[1:]))
+
+
+IDENTIFIER_PAIRS = pair_counts(IDENTIFIERS.split("0123456789")[0])
+
+
 def base_spans(text: str, kinds: tuple[str, ...] = ("assign", "access", "hex")) -> list[tuple[int, int, str]]:
     out = []
     for kind in kinds:
@@ -98,6 +112,15 @@ def is_novel(candidate: str, before: str, after: str, least: float = NOVEL) -> b
     return size >= least * (len(coder.compress(candidate.lower().encode())) - len(coder.compress(b"")))
 
 
+def pair_bits(candidate: str, before: str, after: str) -> float:
+    """Mean bits of a symbol of the candidate after the one before it, by the pairs of identifiers and the text around."""
+    known, heads = IDENTIFIER_PAIRS + pair_counts(before + " " + after), Counter()
+    for (first, _), n in known.items():
+        heads[first] += n
+    own = pair_counts(candidate)
+    return sum(-n * math.log2((known[p] + 0.3) / (heads[p[0]] + 0.3 * 28)) for p, n in own.items()) / max(1, own.total())
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = NOVEL) -> list[tuple[int, int, str]]:
     """Incompressible key-like strings in a sensitive context that no span of `taken` touches."""
     out, done = [], 0
@@ -109,9 +132,9 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = NOV
             at = done = end
             if start and text[start - 1] in "+/_=-" or any(s < end and start < e for s, e, _ in taken):
                 continue
-            own = m[0]
+            own, around = m[0], (text[max(0, start - AROUND) : start], text[end : end + AROUND])
             digits, letters = sum(c.isdigit() for c in own), sum(c.isalpha() for c in own)
-            if digits >= 2 and letters >= 2 and is_novel(own, text[max(0, start - AROUND) : start], text[end : end + AROUND], least):
+            if letters and is_novel(own, *around, least) and (digits >= 2 or pair_bits(own, *around) >= UNLIKE):
                 out.append((start, end, "novel"))
     return out
 

@@ -64,6 +64,36 @@ def test_long_repeats_and_words_are_not_novel():
         assert secret_scan.novel_spans(f"authorization bearer {clean} and more", []) == []
 
 
+@pytest.mark.parametrize("before", ["bearer ", "authorization header: the quick brown fox jumps over the lazy dog and then the credential "])
+@pytest.mark.parametrize("alphabet", [string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase])
+@pytest.mark.parametrize("digits", [0, 1])
+def test_random_letters_are_novel(alphabet, digits, before):
+    rng = random.Random(11)
+    for length in (16, 20, 32, 64):
+        found = 0
+        for _ in range(200):
+            key = [rng.choice(alphabet) for _ in range(length)]
+            for at in rng.sample(range(length), digits):
+                key[at] = rng.choice(string.digits)
+            found += secret_scan.novel_spans(f"{before}{''.join(key)} x", []) == [(len(before), len(before) + length, "novel")]
+        assert found >= 194
+    assert secret_scan.novel_spans("bearer QmZxKpTvRwLsHdYe", []) == [(7, 23, "novel")]
+
+
+@pytest.mark.parametrize("length", [16, 24])
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_letters + string.digits])
+def test_short_random_keys_are_novel(alphabet, length):
+    rng = random.Random(13)
+    keys = ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(300)]
+    keys = [k for k in keys if not k.isdigit()]
+    assert sum(secret_scan.novel_spans(f"bearer {k} x", []) == [(7, 7 + length, "novel")] for k in keys) >= 0.99 * len(keys)
+
+
+@pytest.mark.parametrize("name", ["getUserPasswordFromRequestBody", "AuthenticationManagerFactoryBean", "your_access_token_goes_here", "SECRET_ACCESS_KEY_PLACEHOLDER", "credentialsProviderConfigurationSource", "internationalization", "application/x-www-form-urlencoded", "TokenAuthenticationFilter2", "responsabilidades", "____________________", "2024-01-15-2024-01-16"])
+def test_identifiers_are_not_novel(name):
+    assert secret_scan.novel_spans(f"the token of {name} x", []) == []
+
+
 def test_novel_spans_leave_base_ones_alone():
     text = f"token = {KEY} and credential {KEY[::-1]}"
     kinds = [k for _, _, k in secret_scan.find_secrets(text)]
