@@ -16,7 +16,7 @@ Anchors with more than `HOT_ROWS` occurrences, which the buckets tell, have thei
 aggregated by their hash, so that no anchor's rows need to meet in a task. All windows of all texts are covered; the result is exact.
 
 Defined results: a null text is the empty text; texts under 50 bytes stay whole; rows with a null id neither lose bytes nor
-take any from others; rows of one id don't take from each other; repeated rows each get a row; empty tables give empty
+take any from others; rows of one id don't take from each other, and each loses what its own text repeats; repeated rows each get a row; empty tables give empty
 tables; extra columns are ignored.
 """
 
@@ -205,7 +205,7 @@ def shared_anchors(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
     return told.groupBy("block").applyInArrow(gather, f"id {id_kind}, n_bytes bigint, key binary, anchors bigint, shared binary"), bits
 
 
-PIECES = "start int, windows int, anchor bigint, place int, kind bigint, bytes binary"
+PIECES = "key binary, start int, windows int, anchor bigint, place int, kind bigint, bytes binary"
 
 
 def pieces_of(texts: list[bytes], shared: list[np.ndarray], least: int) -> tuple[np.ndarray, ...]:
@@ -241,7 +241,7 @@ def pieces_of(texts: list[bytes], shared: list[np.ndarray], least: int) -> tuple
 
 
 def anchor_pieces(texts: DataFrame, least: int) -> DataFrame:
-    """id and the pieces of each text. texts: id, key, text, shared."""
+    """id, key and the pieces of each text; key only where several texts have the id. texts: id, key, several, text, shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 256):
@@ -251,15 +251,16 @@ def anchor_pieces(texts: DataFrame, least: int) -> DataFrame:
             if own:
                 shared = [np.cumsum(unpack(batch.column("shared")[i].as_py(), "u4").astype(np.int64)) for i in own]
                 of, start, windows, anchor, place, bytes_ = pieces_of([data[i] for i in own], shared, least)
-                yield piece_batch(batch.column("id"), np.array(own)[of], start, windows, anchor, place, bytes_)
+                told = pc.if_else(batch.column("several"), batch.column("key"), pa.scalar(None, batch.column("key").type))
+                yield piece_batch(batch.column("id"), told, np.array(own)[of], start, windows, anchor, place, bytes_)
 
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, {PIECES}")
 
 
-def piece_batch(ids: pa.Array, of: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, place: np.ndarray, bytes_: list[bytes]) -> pa.RecordBatch:
+def piece_batch(ids: pa.Array, keys: pa.Array, of: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, place: np.ndarray, bytes_: list[bytes]) -> pa.RecordBatch:
     kind = np.fromiter(map(xxhash.xxh3_64_intdigest, bytes_), np.uint64, len(bytes_)).view(np.int64)
-    arrays = [ids.take(pa.array(of, pa.int64())), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(anchor, pa.int64()), pa.array(place, pa.int32()), pa.array(kind), pa.array(bytes_, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["id", "start", "windows", "anchor", "place", "kind", "bytes"])
+    arrays = [*(c.take(pa.array(of, pa.int64())) for c in (ids, keys)), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(anchor, pa.int64()), pa.array(place, pa.int32()), pa.array(kind), pa.array(bytes_, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["id", "key", "start", "windows", "anchor", "place", "kind", "bytes"])
 
 
 def single_windows(pieces: DataFrame, least: int) -> DataFrame:
@@ -272,7 +273,7 @@ def single_windows(pieces: DataFrame, least: int) -> DataFrame:
             inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             data = batch.column("bytes").to_pylist()
             own = [data[i][k : k + least] for i, k in zip(of.tolist(), inner.tolist(), strict=True)]
-            yield piece_batch(batch.column("id"), of, starts[of] + inner, np.ones(len(of), np.int64), batch.column("anchor").to_numpy()[of], inner, own)
+            yield piece_batch(batch.column("id"), batch.column("key"), of, starts[of] + inner, np.ones(len(of), np.int64), batch.column("anchor").to_numpy()[of], inner, own)
 
     return pieces.mapInArrow(run, f"id {pieces.schema['id'].dataType.simpleString()}, {PIECES}")
 
@@ -284,16 +285,17 @@ def with_least(pieces: DataFrame) -> DataFrame:
 
 
 def gone(pieces: DataFrame, least: int) -> DataFrame:
-    return pieces.select("id", "start", (F.col("start") + F.col("windows") + (least - 1)).cast("int").alias("end"))
+    return pieces.select("id", "key", "start", (F.col("start") + F.col("windows") + (least - 1)).cast("int").alias("end"))
 
 
 def indexed_repeats(pieces: DataFrame, least: int, buckets: int) -> DataFrame:
-    """id, start, end of repeats among pieces, by buckets of anchors."""
+    """id, key, start, end of repeats among pieces, by buckets of anchors."""
     id_kind = pieces.schema["id"].dataType.simpleString()
 
     def run(rows: pa.Table) -> pa.Table:
         ids_column = rows.column("id").combine_chunks()
-        schema = pa.schema([("id", ids_column.type), ("start", pa.int32()), ("end", pa.int32())])
+        keys_column = rows.column("key").combine_chunks()
+        schema = pa.schema([("id", ids_column.type), ("key", keys_column.type), ("start", pa.int32()), ("end", pa.int32())])
         ages = pc.rank(ids_column, tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
         anchors, kinds = rows.column("anchor").to_numpy(), rows.column("kind").to_numpy()
         starts, counts = (rows.column(c).to_numpy().astype(np.int64) for c in ("start", "windows"))
@@ -312,10 +314,10 @@ def indexed_repeats(pieces: DataFrame, least: int, buckets: int) -> DataFrame:
         found.append(self_repeats(rows.take(pa.array(left)), left, ages[left], least))
         at = np.concatenate(found, axis=1)
         tidy()
-        return pa.table([ids_column.take(pa.array(at[0], pa.int64())), pa.array(at[1], pa.int32()), pa.array(at[2], pa.int32())], schema=schema)
+        return pa.table([*(c.take(pa.array(at[0], pa.int64())) for c in (ids_column, keys_column)), pa.array(at[1], pa.int32()), pa.array(at[2], pa.int32())], schema=schema)
 
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(run, f"id {id_kind}, start int, end int")
+    return dealt.groupBy("bucket").applyInArrow(run, f"id {id_kind}, key binary, start int, end int")
 
 
 def self_repeats(rows: pa.Table, names: np.ndarray, ages: np.ndarray, least: int) -> np.ndarray:
@@ -387,7 +389,7 @@ def broadcast_if_small(df: DataFrame, size: Column) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(id, key, start, end) of bytes that repeat those of smaller ids, and (id, key) of the rows that are whole copies."""
+    """(id, key, start, end) of bytes that repeat those of smaller ids, where key is null unless several texts have the id, and (id, key) of the rows that are whole copies."""
     spark = docs.sparkSession
     found, bits = shared_anchors(docs, least)
     found = cut(found)
@@ -396,9 +398,11 @@ def repeated_ranges(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     first = known.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("first_id"))
     copies = known.join(first, (F.col("key") == F.col("k")) & (F.col("id") > F.col("first_id"))).select("id", "key").distinct()
     reps = known.where("anchors > 0").join(first, (F.col("key") == F.col("k")) & (F.col("id") == F.col("first_id")), "left_semi").dropDuplicates(["id", "key"])
-    wanted = cut(reps.select(F.col("id").alias("i"), "key", "shared", "anchors"))
+    unlike = cut(known.groupBy(F.col("id").alias("u")).agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("u"))
+    reps = reps.join(broadcast_if_small(unlike, F.lit(0)), F.col("id") == F.col("u"), "left")
+    wanted = cut(reps.select(F.col("id").alias("i"), "key", F.col("u").isNotNull().alias("several"), "shared", "anchors"))
     total = wanted.agg(F.coalesce(F.sum("anchors"), F.lit(0))).first()[0]
-    texts = docs.join(broadcast_if_small(wanted.drop("anchors"), F.octet_length("shared")), F.col("id") == F.col("i")).select("id", "key", "text", "shared")
+    texts = docs.join(broadcast_if_small(wanted.drop("anchors"), F.octet_length("shared")), F.col("id") == F.col("i")).select("id", "key", "several", "text", "shared")
     pieces = anchor_pieces(texts, least)
     buckets = max(1, -(-total // BUCKET_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 500)))
     if hot.limit(1).count():
@@ -418,37 +422,51 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_bytes, removed array<struct<start, end>> (maximal runs), kept (binary): one row for each row of df."""
     docs = pick(df, id=id_col, text=text_col)
     repeats, copies = repeated_ranges(docs, least)
-    ranges = repeats.groupBy(F.col("id").alias("i")).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    ranges = repeats.groupBy(F.col("id").alias("i")).agg(F.collect_list(F.struct("start", "end", "key")).alias("ranges"))
     kind = docs.schema["id"].dataType.simpleString()
 
+    def joined_runs(pairs: np.ndarray) -> bytes:
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(pairs[:, 1])
+        new = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
+        return np.stack([pairs[new, 0], reach[np.append(new[1:] - 1, len(pairs) - 1)]], axis=1).astype(np.int32).tobytes()
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            out = []
+            only, several = [], []
             for own in batch.column("ranges"):
                 pairs = np.stack([own.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end")], axis=1).astype(np.int64)
-                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-                reach = np.maximum.accumulate(pairs[:, 1])
-                new = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
-                out.append(np.stack([pairs[new, 0], reach[np.append(new[1:] - 1, len(pairs) - 1)]], axis=1).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(out, pa.binary())], names=["i", "ranges"])
-
-    merged_ranges = ranges.mapInArrow(merge, f"i {kind}, ranges binary")
+                keys = own.values.field("key")
+                if keys.null_count:  # one text has this id
+                    only.append(joined_runs(pairs))
+                    several.append(None)
+                else:
+                    coded = keys.dictionary_encode()
+                    of = coded.indices.to_numpy(zero_copy_only=False)
+                    only.append(None)
+                    several.append([{"key": k, "ranges": joined_runs(pairs[of == n])} for n, k in enumerate(coded.dictionary.to_pylist())])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(only, pa.binary()), pa.array(several, pa.list_(pa.struct([("key", pa.binary()), ("ranges", pa.binary())])))], names=["i", "ranges", "by_key"])
+
+    merged_ranges = ranges.mapInArrow(merge, f"i {kind}, ranges binary, by_key array<struct<key:binary,ranges:binary>>")
     whole = copies.groupBy(F.col("id").alias("c")).agg(F.collect_set("key").alias("copy_keys"))
-    both = cut(merged_ranges.join(whole, F.col("i") == F.col("c"), "full").select(F.coalesce("i", "c").alias("i"), "ranges", "copy_keys"))
+    both = cut(merged_ranges.join(whole, F.col("i") == F.col("c"), "full").select(F.coalesce("i", "c").alias("i"), "ranges", "by_key", "copy_keys"))
     size = F.coalesce(F.octet_length("ranges"), F.lit(0)) + 32 * F.coalesce(F.size("copy_keys"), F.lit(0))
-    joined = docs.join(broadcast_if_small(both, size), F.col("id") == F.col("i"), "left").select("id", "text", "ranges", "copy_keys")
+    size += F.coalesce(F.aggregate("by_key", F.lit(0), lambda a, r: a + 32 + F.octet_length(r["ranges"])), F.lit(0))
+    joined = docs.join(broadcast_if_small(both, size), F.col("id") == F.col("i"), "left").select("id", "text", "ranges", "by_key", "copy_keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in sliced(batches):
             sizes, runs, kept = [], [], []
-            columns = (batch.column(c) for c in ("ranges", "copy_keys"))
-            for data, ranges, keys in zip(as_binary(batch.column("text")).to_pylist(), *columns, strict=True):
+            columns = (batch.column(c) for c in ("ranges", "by_key", "copy_keys"))
+            for data, ranges, by_key, keys in zip(as_binary(batch.column("text")).to_pylist(), *columns, strict=True):
                 merged: list = []
                 if keys.is_valid and len(data) >= least and digest(data) in keys.as_py():
                     merged = [[0, len(data)]]
                 elif ranges.is_valid:
                     merged = np.frombuffer(ranges.as_py(), np.int32).reshape(-1, 2).tolist()
+                elif by_key.is_valid and (own := {r["key"]: r["ranges"] for r in by_key.as_py()}.get(digest(data))):
+                    merged = np.frombuffer(own, np.int32).reshape(-1, 2).tolist()
                 sizes.append(len(data))
                 runs.append([{"start": s, "end": e} for s, e in merged])
                 at, parts = 0, []

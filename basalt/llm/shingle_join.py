@@ -30,8 +30,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from basalt.llm.common import cut, pick, sliced, table, text_bytes, tidy
+from basalt.llm.common import as_binary, cut, pick, sliced, table, text_bytes, tidy
 from basalt.llm.components import connected_components, join_labels
 from basalt.llm.exchange import buckets_for, cut_by_range, mixed, pack, pack_sorted, unpack, unpack_sorted
 from basalt.llm.language_model import frame, unframe, words_of
@@ -262,8 +263,9 @@ def join_tasks(sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS) -> Dat
     return dealt.groupBy("task").applyInArrow(compare, "a binary, b binary").where("a != b")
 
 
-def shingle_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
-    """id, n_shingles, component_id: one row for each row of df."""
+def shingle_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+    """id, n_shingles, component_id, key, component: one row for each row of df; key is of the row's set and component that of one of its
+    component's sets, both null for empty sets."""
     docs = pick(df, id=id_col, text=text_col)
     rows = cut(classes_that_may_link(docs, words, percent))
     classes = rows.where("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("may").alias("may"))
@@ -271,9 +273,26 @@ def shingle_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = connected_components(join_tasks(sets, percent))
     known = classes.join(nodes, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("component", "key").alias("component"))
     least = known.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("component_id"))
-    known = known.join(least, F.col("component") == F.col("c")).select(F.col("key").alias("k"), "component_id")
+    known = known.join(least, F.col("component") == F.col("c")).select(F.col("key").alias("k"), "component_id", "component")
     out = rows.join(known, F.col("key") == F.col("k"), "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), "key", "component")
+
+
+def shingle_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+    """id, n_shingles, component_id: one row for each row of df."""
+    return shingle_labels(df, id_col, text_col, words, percent).select("id", "n_shingles", "component_id")
+
+
+def with_set_key(df: DataFrame, text_col: str = "text", words: int = 4) -> DataFrame:
+    """df and set_key, the key of the text's shingle set; empty for empty sets."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            keys = set_keys(*shingle_sets(as_binary(batch.column(at)), words))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "set_key"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("set_key", BinaryType())]))
 
 
 def op5_shingle_jaccard_join(spark, sf_dir: str) -> DataFrame:

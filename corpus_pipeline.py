@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir), keeps the columns of documents (the last one gives token ids) and works on all
 that its predecessor kept. Ids identify documents. Defined results: documents with a null id are scored and encoded as others are and never taken as
-duplicates; null texts count as empty; of rows that repeat an id the deduplication keeps one; empty tables give empty tables.
+duplicates; null texts count as empty; of rows that repeat an id the deduplication keeps one of each group of near duplicates; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -26,14 +26,18 @@ def drop_low_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates."""
-    found = shingle_join.shingle_components(docs, words=WORDS, percent=PERCENT)
-    stay = cut(found.where("id = component_id").groupBy(F.col("id").alias("k")).agg(F.count(F.lit(1)).alias("rows")))
+    """The document with the least id of each group of near duplicates; where rows of that id are in the group, that with the least set key."""
+    found = shingle_join.shingle_labels(docs, words=WORDS, percent=PERCENT).where("id is not null")
+    groups = found.groupBy("id", "component").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("key"), F.min("component_id").alias("least"))
+    sets = F.collect_list(F.when(F.col("id") == F.col("least"), F.coalesce("key", F.lit(b""))))
+    of = groups.groupBy(F.col("id").alias("k")).agg(F.sum("rows").alias("rows"), sets.alias("sets")).where(F.size("sets") > 0)
+    stay = cut(of.select("k", "rows", F.when(F.col("rows") > 1, F.col("sets")).alias("sets")))
     small = stay.count() <= BROADCAST_IDS
     kept = docs.join(F.broadcast(stay) if small else stay, F.col("doc_id") == F.col("k"))
     once = kept.where("rows = 1").select(docs.columns)
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    repeated = kept.where("rows > 1").withColumn("nth", nth).where("nth = 1").select(docs.columns)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "set_key").orderBy(F.xxhash64("text")))
+    several = shingle_join.with_set_key(kept.where("rows > 1"), words=WORDS).where(F.array_contains("sets", F.col("set_key")))
+    repeated = several.withColumn("nth", nth).where("nth = 1").select(docs.columns)
     return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))
 
 

@@ -77,6 +77,15 @@ def test_stages(spark, sf_dir, tmp_path):
     assert all(r.n_tokens == len(r.ids) for r in coded)
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    x, y, z, w = (" ".join(RNG.choices(WORDS, k=40)) for _ in range(4))
+    rows = [(3, x), (7, x), (7, y), (7, z), (8, w), (8, w), (8, w + " more"), (9, y), (11, ""), (11, None), (11, z)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id not in (8, 11)) == sorted([(3, x), (7, y), (7, z)])
+    assert len([r for r in got if r.doc_id == 8]) == 1 and [r.text or "" for r in got if r.doc_id == 11] == [""]
+
+
 def test_run_is_the_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.count() > 100 and got.columns == ["doc_id", "n_tokens", "ids"]

@@ -66,6 +66,18 @@ def test_same_as_brute_force(spark, tmp_path, monkeypatch, hot, block, small):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize(("hot", "small"), [(50_000, True), (3, False)])
+def test_unlike_texts_of_one_id_lose_their_own_repeats(spark, tmp_path, monkeypatch, hot, small):
+    monkeypatch.setattr(repeats, "HOT_ROWS", hot)
+    if not small:
+        monkeypatch.setattr(repeats, "BROADCAST_BYTES", 0)
+    first, other = noise(300), noise(200)
+    rows = [(1, first), (2, other), (7, noise(100) + first + noise(100)), (7, noise(400) + other + noise(50)), (7, noise(600)), (7, first), (9, noise(80) + first[:120])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, repeats.op10_remove_repeats(spark, str(tmp_path)).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert repeats.remove_repeats(df).count() == 0
