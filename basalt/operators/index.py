@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,9 +12,7 @@ from basalt.errors import SchemaError
 from basalt.functions.predicates import compare
 from basalt.functions.types import literal
 from basalt.operators.query import quoted
-
-#: Rows of a rank bucket, and sampled keys that lay out the buckets.
-RANK_ROWS, SAMPLE = 500_000, 10_000
+from basalt.sources.scratch import cut
 
 
 def require_unique(df: DataFrame, key: str) -> None:
@@ -57,25 +55,20 @@ def sorted_scan_from(df: DataFrame, column: str, start: object) -> DataFrame:
 
 
 def ranked(df: DataFrame, key: str) -> DataFrame:
-    """df with `rank`, 1 for the least key. Keys are dealt to ranges of about RANK_ROWS rows that are ranked apart.
+    """df with `rank`, 1 for the least key (nulls first); rows of equal keys rank in any order.
 
-    Range bounds come from a bounded sample of keys (the least by hash); any bounds give the same ranks.
+    A global sort deals rows to ranges; within a key rows are ordered by their hash, so the range partitioner can split a key that many rows share.
+    The sorted rows are held once, so a row's rank is its place in its partition and the rows of the partitions before, one number for each partition.
     """
-    column = quoted(key)
-    rows = df.count()
-    buckets = max(1, math.ceil(rows / RANK_ROWS))
-    bucket: Column = F.lit(0)
-    if buckets > 1:
-        keys = sorted(r[0] for r in df.select(column).where(column.isNotNull()).orderBy(F.xxhash64(column)).limit(SAMPLE).collect())
-        bounds = sorted({keys[i * len(keys) // buckets] for i in range(1, buckets)})
-        bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= column))
-    placed = df.withColumn("__bucket", F.coalesce(bucket, F.lit(-1)))
-    sizes = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col("__bucket").alias("__b"), before.alias("__before"))  # one row for each bucket
-    own = placed.withColumn("__nth", F.row_number().over(Window.partitionBy("__bucket").orderBy(column)))
-    joined = own.join(offsets, F.col("__bucket") == F.col("__b"))
-    return joined.select(*[quoted(c) for c in df.columns], (F.col("__before") + F.col("__nth")).alias("rank"))
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    own = F.col(f"c{names.index(key)}")
+    placed = cut(plain.orderBy(own, F.xxhash64(*plain.columns))).withColumn("row", F.monotonically_increasing_id())
+    part, nth = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    joined = placed.join(F.broadcast(sizes.select("part", before.alias("before"))), part == F.col("part"))
+    return joined.select(*plain.columns, (F.col("before") + nth + 1).alias("rank")).toDF(*names, "rank")
 
 
 def bulk_load_layout(df: DataFrame, key: str, order: int, fill: float) -> DataFrame:
@@ -83,10 +76,3 @@ def bulk_load_layout(df: DataFrame, key: str, order: int, fill: float) -> DataFr
     per_leaf = math.ceil(2 * order * fill)
     at = F.col("rank") - 1
     return ranked(df.select(quoted(key)), key).select(quoted(key), F.floor(at / per_leaf).alias("leaf"), (at % per_leaf).alias("slot"))
-
-
-def max_order(page_bytes: int, key_bytes: int, record_id_bytes: int = 6) -> int:
-    """The largest order whose leaves and inner nodes fit a page: leaves hold 2d keys with record ids behind 9 bytes, inner nodes 2d keys and 2d + 1 page numbers behind 5."""
-    leaf = (page_bytes - 9) // (key_bytes + record_id_bytes) // 2
-    inner = (page_bytes - 5 - 4) // (key_bytes + 4) // 2
-    return min(leaf, inner)

@@ -102,7 +102,7 @@ class Query:
         return replace(self, aggregates={**self.aggregates, "averageAgg": column})
 
     def sort(self, *columns: str) -> Query:
-        """The result in ascending order of columns."""
+        """The result in ascending order of columns; rows of a group without aggregates stay together, in that order within it."""
         return replace(self, order=columns)
 
     def _joined(self) -> DataFrame:
@@ -168,8 +168,10 @@ class Query:
                 key = resolve(df.columns, self.group)
                 if any(resolve(df.columns, c) != key for c in self.columns or ()):
                     raise QueryError("a grouped query projects its group's column only")
-                df = df.repartition(quoted(key)).sortWithinPartitions(quoted(key))
-            if self.order and not self.group:
+                inner = [quoted(resolve(df.columns, c)) for c in self.order]
+                # Groups come in the group's order where rows are sorted, else wherever their key is dealt to.
+                df = df.orderBy(quoted(key), *inner) if inner else df.repartition(quoted(key)).sortWithinPartitions(quoted(key))
+            elif self.order:
                 df = df.orderBy(*[quoted(resolve(df.columns, c)) for c in self.order])
             if self.columns:
                 df = df.select([quoted(resolve(df.columns, c)).alias(c) for c in self.columns])

@@ -1,191 +1,35 @@
-"""Locks on the driver: modes and their conflicts, a blocking lock, and a table lock manager that avoids deadlock.
-
-Nothing in the DataFrame engine needs them, since its tables are immutable versions.
-"""
+"""Conflicts between lock requests that a table holds, as joins. Tables are immutable versions, so the engine itself locks nothing."""
 
 from __future__ import annotations
 
-import threading
-from collections import deque
-from collections.abc import Callable, Hashable
-from dataclasses import dataclass, field
-from enum import Enum
-
-
-class Mode(Enum):
-    S = "S"
-    X = "X"
-    IS = "IS"
-    IX = "IX"
-
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The modes that conflict with each.
 CONFLICTS = {
-    Mode.S: {Mode.X, Mode.IX},
-    Mode.X: {Mode.S, Mode.X, Mode.IS, Mode.IX},
-    Mode.IS: {Mode.X},
-    Mode.IX: {Mode.S, Mode.X},
+    "S": ("X", "IX"),
+    "X": ("S", "X", "IS", "IX"),
+    "IS": ("X",),
+    "IX": ("S", "X"),
 }
 
 
-def conflict_rows() -> list[tuple[str, str, bool]]:
-    return [(a.value, b.value, b in CONFLICTS[a]) for a in Mode for b in Mode]
-
-
-class Lock:
-    """A lock that many may hold in modes that don't conflict; others wait."""
-
-    def __init__(self) -> None:
-        self.held: dict[Hashable, Mode] = {}
-        self.changed = threading.Condition()
-
-    def _against(self, who: Hashable, mode: Mode, own: bool) -> set[Hashable]:
-        return {t for t, m in self.held.items() if m in CONFLICTS[mode] and (own or t != who)}
-
-    def lock(self, who: Hashable, mode: Mode, on_block: Callable[[set], None] = lambda _: None, timeout: float | None = None) -> None:
-        with self.changed:
-            while found := self._against(who, mode, own=True):
-                on_block(found)
-                if not self.changed.wait(timeout):
-                    raise TimeoutError(f"{who} waits for {found}")
-            self.held[who] = mode
-
-    def promote(self, who: Hashable, mode: Mode, on_block: Callable[[set], None] = lambda _: None, timeout: float | None = None) -> None:
-        with self.changed:
-            if who not in self.held:
-                raise ValueError(f"{who} holds nothing to promote")
-            while found := self._against(who, mode, own=False):
-                on_block(found)
-                if not self.changed.wait(timeout):
-                    raise TimeoutError(f"{who} waits for {found}")
-            self.held[who] = mode
-
-    def unlock(self, who: Hashable) -> None:
-        with self.changed:
-            self.held.pop(who, None)
-            self.changed.notify_all()
-
-
-def deadlocked(waits: dict[Hashable, set[Hashable]]) -> bool:
-    """Has a waits-for graph a cycle?"""
-    done: set = set()
-    for start in waits:
-        path, stack = {start}, [(start, iter(waits.get(start, ())))]
-        while stack and start not in done:
-            node, more = stack[-1]
-            to = next(more, None)
-            if to is None:
-                stack.pop()
-                path.discard(node)
-                done.add(node)
-            elif to in path:
-                return True
-            elif to not in done:
-                path.add(to)
-                stack.append((to, iter(waits.get(to, ()))))
-    return False
-
-
-class Status(Enum):
-    RUNNING = "running"
-    WAITING = "waiting"
-    ABORTING = "aborting"
-
-
-class Policy(Enum):
-    NONE = "none"
-    WAIT_DIE = "wait-die"
-    WOUND_WAIT = "wound-wait"
-
-
-@dataclass(eq=False)
-class Transaction:
-    """An earlier timestamp has the higher priority."""
-
-    name: str
-    timestamp: int
-    status: Status = Status.RUNNING
-
-
-@dataclass
-class _TableLock:
-    mode: Mode
-    owners: set[Transaction] = field(default_factory=set)
-    queue: deque = field(default_factory=deque)
-
-
-class LockManager:
-    """Shared and exclusive table locks with a first-in-first-out queue, promotion, and wait-die or wound-wait."""
-
-    def __init__(self, policy: Policy = Policy.NONE) -> None:
-        self.policy = policy
-        self.locks: dict[str, _TableLock] = {}
-
-    def holds(self, who: Transaction, table: str, mode: Mode) -> bool:
-        lock = self.locks.get(table)
-        return lock is not None and who in lock.owners and lock.mode is mode
-
-    def acquire(self, who: Transaction, table: str, mode: Mode) -> None:
-        if who.status is not Status.RUNNING:
-            raise ValueError(f"{who.name} is {who.status.value}")
-        lock = self.locks.get(table)
-        if lock is None or not lock.owners:
-            lock = self.locks.setdefault(table, _TableLock(mode))
-            lock.mode, lock.owners = mode, {who}
-            return
-        own = who in lock.owners
-        if own and (lock.mode is mode or lock.mode is Mode.X):
-            raise ValueError(f"{who.name} holds {lock.mode.value} on {table}")
-        if lock.mode is Mode.S and mode is Mode.S:
-            lock.owners.add(who)
-        elif own and lock.owners == {who}:
-            lock.mode = Mode.X
-        else:
-            self._denied(who, lock, mode, own)
-
-    def _denied(self, who: Transaction, lock: _TableLock, mode: Mode, promotion: bool) -> None:
-        others = lock.owners - {who}
-        older = all(who.timestamp < t.timestamp for t in others)
-        if self.policy is Policy.WAIT_DIE and not older:
-            who.status = Status.ABORTING
-        elif self.policy is Policy.WOUND_WAIT and older:
-            for t in others:
-                t.status = Status.ABORTING
-            lock.owners, lock.mode = {who}, mode
-        else:
-            who.status = Status.WAITING
-            (lock.queue.appendleft if promotion else lock.queue.append)((who, mode))
+def conflict_matrix(spark: SparkSession) -> DataFrame:
+    """held, asked, conflict: a row for each pair of modes."""
+    return spark.createDataFrame([(a, b, b in CONFLICTS[a]) for a in CONFLICTS for b in CONFLICTS], "held string, asked string, conflict boolean")
 
-    def release(self, who: Transaction, table: str) -> None:
-        lock = self.locks.get(table)
-        if who.status is Status.WAITING or lock is None or who not in lock.owners:
-            raise ValueError(f"{who.name} can't release {table}")
-        lock.owners.discard(who)
-        self._grant(table, lock)
 
-    def _wake(self, lock: _TableLock, request: tuple[Transaction, Mode]) -> None:
-        lock.queue.remove(request)
-        lock.owners.add(request[0])
-        request[0].status = Status.RUNNING
+def waits_for(requests: DataFrame, resource: str, holder: str, mode: str, order: str) -> DataFrame:
+    """resource, waiter, blocker, requests: which holders' requests stand behind conflicting earlier ones of others on the same resource.
 
-    def _grant(self, table: str, lock: _TableLock) -> None:
-        waiting = [r for r in lock.queue if r[0].status is Status.WAITING]
-        if len(lock.owners) == 1:
-            promotion = next((r for r in waiting if r[0] in lock.owners and r[1] is Mode.X), None)
-            if promotion:
-                lock.mode = Mode.X
-                self._wake(lock, promotion)
-                return
-        if not lock.owners:
-            if not waiting:
-                del self.locks[table]
-                return
-            if waiting[0][1] is Mode.X:
-                lock.mode = Mode.X
-                self._wake(lock, waiting[0])
-                return
-            lock.mode = Mode.S
-        if lock.mode is Mode.S:
-            for r in waiting:
-                if r[1] is Mode.S:
-                    self._wake(lock, r)
+    A resource's requests are summed up by (holder, mode) first, to their earliest and latest place, so a resource that most requests name is
+    at most one row for each of its holders and modes; what a waiter asks after a blocker's earliest conflicting request waits.
+    """
+    asked = requests.select(F.col(resource).alias("resource"), F.col(holder).alias("who"), F.col(mode).alias("mode"), F.col(order).alias("at")).dropna()
+    asked = asked.groupBy("resource", "who", "mode").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    against = F.create_map(*[x for m, others in CONFLICTS.items() for x in (F.lit(m), F.array(*[F.lit(o) for o in others]))])
+    earlier = asked.select("resource", F.col("who").alias("blocker"), "first", F.explode(against[F.col("mode")]).alias("mode"))
+    earlier = earlier.groupBy("resource", "blocker", "mode").agg(F.min("first").alias("first"))
+    later = asked.select("resource", F.col("who").alias("waiter"), "mode", "last")
+    met = later.join(earlier, ["resource", "mode"]).where((F.col("waiter") != F.col("blocker")) & (F.col("last") > F.col("first")))
+    return met.groupBy("resource", "waiter", "blocker").agg(F.count(F.lit(1)).alias("modes"))

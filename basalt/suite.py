@@ -11,8 +11,10 @@ from basalt.functions.hashing import string_number
 from basalt.functions.types import fixed
 from basalt.operators import dml, index
 from basalt.operators.query import Query
-from basalt.plans import cost, locks, stats
-from basalt.sources.text import string_rule
+from basalt.plans import locks, stats
+from basalt.sources import text
+from basalt.sources.catalog import Catalog
+from basalt.sources.scratch import new_path
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -185,6 +187,40 @@ register(
     bucket_sql("part", "p_size", f'SELECT bucket, round({_GT} * count)::BIGINT AS count, round({_GT} * "distinct")::BIGINT AS "distinct" FROM h, m'),
     lambda s, d: stats.after_predicate(stats.histogram(table(s, d, "part"), "p_size"), ">", 25.0).select("bucket", "count", "distinct"),
 )
+_PART = ("p_partkey", "p_size", "p_retailprice")
+
+
+def each_column(columns: tuple[str, ...], table_: str, then: str) -> str:
+    """SQL over h, the histograms of all columns."""
+    parts = [f"(WITH {BUCKET_SQL.format(table=table_, value=c)} SELECT '{c}' AS \"column\", * FROM h)" for c in columns]
+    return f"WITH a AS ({' UNION ALL '.join(parts)}) {then}"
+
+
+def all_histograms(s: SparkSession, d: str) -> DataFrame:
+    return stats.table_histograms(table(s, d, "part").select(*_PART))
+
+
+register("table_histograms", each_column(_PART, "part", 'SELECT "column", bucket, round(low, 4) AS low, round(high, 4) AS high, count, "distinct" FROM a'), lambda s, d: all_histograms(s, d).select("column", "bucket", *[F.round(c, 4).alias(c) for c in ("low", "high")], "count", "distinct"))
+_SIZE_MASK = "(CASE WHEN low >= 25 THEN 1.0::DOUBLE WHEN high <= 25 THEN 0 ELSE (high - 25) / (high - low) END)"
+register(
+    "stats_after_predicate",
+    each_column(
+        _PART,
+        "part",
+        f"""SELECT "column", bucket, round(m * count)::BIGINT AS count, round(m * "distinct")::BIGINT AS "distinct" FROM
+        (SELECT *, CASE WHEN "column" = 'p_size' THEN {_SIZE_MASK} ELSE (SELECT sum({_SIZE_MASK} * "distinct") / sum("distinct") FROM a WHERE "column" = 'p_size') END AS m FROM a)""",
+    ),
+    lambda s, d: stats.stats_after_predicate(all_histograms(s, d), "p_size", ">", 25.0).select("column", "bucket", "count", "distinct"),
+)
+_SIDES = "l AS (SELECT 'left' AS side, \"column\", bucket, count, \"distinct\" FROM lh), r AS (SELECT 'right' AS side, \"column\", bucket, count, \"distinct\" FROM rh), k AS (SELECT (SELECT sum(\"distinct\") FROM l WHERE \"column\" = 'o_custkey') + 1 AS ld, (SELECT sum(\"distinct\") FROM r WHERE \"column\" = 'c_custkey') + 1 AS rd)"
+register(
+    "stats_after_join",
+    f"""WITH lh AS (FROM ({each_column(("o_orderkey", "o_custkey"), "orders", "SELECT * FROM a")})), rh AS (FROM ({each_column(("c_custkey", "c_acctbal"), "customer", "SELECT * FROM a")})), {_SIDES}
+    SELECT side, "column", bucket, round(count * (CASE side WHEN 'left' THEN ld ELSE rd END / greatest(ld, rd)))::BIGINT AS count, round("distinct" * (CASE side WHEN 'left' THEN ld ELSE rd END / greatest(ld, rd)))::BIGINT AS "distinct"
+    FROM (FROM l UNION ALL FROM r), k""",
+    lambda s, d: stats.stats_after_join(stats.table_histograms(table(s, d, "orders").select("o_orderkey", "o_custkey")), "o_custkey", stats.table_histograms(table(s, d, "customer").select("c_custkey", "c_acctbal")), "c_custkey")[0].select("side", "column", "bucket", "count", "distinct"),
+)
+register("ranked_hot_key", "SELECT l_returnflag, count(*) AS n, min(r) AS first, max(r) AS last FROM (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) AS r FROM lineitem) GROUP BY l_returnflag", lambda s, d: index.ranked(table(s, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber"), "l_returnflag").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"), F.max("rank").alias("last")))
 register(
     "table_stats",
     "SELECT count(*) AS num_rows, 56 AS record_bytes, 72 AS records_per_page, ceil(count(*) / 72)::BIGINT AS num_pages FROM orders",
@@ -198,7 +234,7 @@ register(
 register(
     "join_cost",
     "WITH p AS (SELECT (SELECT count(*) FROM orders) AS lr, ceil((SELECT count(*) FROM orders) / 72)::BIGINT AS lp, ceil((SELECT count(*) FROM customer) / 72)::BIGINT AS rp) SELECT lp AS left_pages, rp AS right_pages, (lr * rp + lp)::BIGINT AS simple_cost, (ceil(lp / 3) * rp + lp)::BIGINT AS block_cost FROM p",
-    lambda s, d: cost.join_cost(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.lit(1).alias("o_date")), table(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_name", "c_mktsegment", F.lit(1).alias("c_one"))),
+    lambda s, d: stats.join_cost(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.lit(1).alias("o_date")), table(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_name", "c_mktsegment", F.lit(1).alias("c_one"))),
 )
 
 # Edits and ingest
@@ -212,9 +248,71 @@ register(
     f"SELECT n_nationkey, n_name, CASE WHEN n_regionkey = 1 THEN 4 ELSE n_regionkey END AS n_regionkey FROM (SELECT {_NATION} FROM nation WHERE n_nationkey <> 3 UNION ALL VALUES (100, 'ATLANTIS', 1))",
     lambda s, d: dml.Batch().delete_where("n_nationkey", 3).insert([(100, "ATLANTIS", 1)]).update_where("n_regionkey", 4, "n_regionkey", 1).apply(table(s, d, "nation")),
 )
-register("csv_ingest_string_rules", "SELECT event_id, substr(trim('  ' || props || '  '), 1, 128) AS props FROM events", lambda s, d: table(s, d, "events").select("event_id", string_rule(F.concat(F.lit("  "), "props", F.lit("  "))).alias("props")))
+register(
+    "update_record_post",
+    "SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey = 7 THEN 1.5 ELSE o_totalprice END AS o_totalprice FROM orders",
+    lambda s, d: dml.update_record(table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderkey", 7, {"o_orderstatus": "X", "o_totalprice": 1.5}),
+)
+
+
+def indexed_table_edits(s: SparkSession, d: str) -> DataFrame:
+    """A table with a unique index, edited in four versions, then read by its index."""
+    db = Catalog(s, new_path(s, "edited"))
+    db.create("c", table(s, d, "customer").select("c_custkey", "c_name", "c_acctbal"), indices=("c_custkey",))
+    with db.begin() as t:
+        t.insert("c", [(10_000_001, "New", 1.0), (10_000_002, "Newer", 2.0)])
+        t.delete_where("c", "c_custkey", 5)
+        t.update_record("c", "c_custkey", 6, {"c_name": "Six", "c_acctbal": 6.0})
+        t.update_where("c", "c_name", "Last", "c_custkey", 10_000_002)
+    return index.range_scan(db.table("c"), "c_custkey", ">=", 3, ordered=True)
+
+
+register(
+    "indexed_table_edits",
+    "SELECT c_custkey, CASE WHEN c_custkey = 6 THEN 'Six' ELSE c_name END AS c_name, CASE WHEN c_custkey = 6 THEN 6 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey >= 3 AND c_custkey <> 5 UNION ALL VALUES (10000001, 'New', 1), (10000002, 'Last', 2)",
+    indexed_table_edits,
+)
+
+
+def ingested(s: SparkSession, rows: DataFrame, sep: str) -> DataFrame:
+    """rows after a way through a delimited text file."""
+    path = new_path(s, "text")
+    rows.write.options(sep=sep, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return text.read_text(s, path, rows.schema, sep)
+
+
+register(
+    "csv_ingest_string_rules",
+    "SELECT event_id, substr(trim('  ' || props || '  '), 1, 128) AS props FROM events",
+    lambda s, d: ingested(s, table(s, d, "events").select("event_id", F.concat(F.lit("  "), "props", F.lit("  ")).alias("props")), "\t").select("event_id", text.string_rule(F.col("props")).alias("props")),
+)
+register("csv_ingest_types", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part", lambda s, d: ingested(s, table(s, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), ","))
+register(
+    "csv_ingest_join",
+    "SELECT c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    lambda s, d: Query(ingested(s, table(s, d, "customer").select("c_name", "c_nationkey"), ","), "c").join(ingested(s, table(s, d, "nation").select("n_nationkey", "n_name"), ","), "c_nationkey", "n_nationkey", name="n").project(["c_name", "n_name"]).frame(),
+)
+
+
+def converted(s: SparkSession, d: str) -> DataFrame:
+    """Integers from a text file by the converter, and what it wrote."""
+    at, out = new_path(s, "text"), new_path(s, "converted")
+    table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").write.option("sep", "|").csv(at)
+    text.convert(s, at, out, 3, sep="|")
+    return s.read.parquet(out)
+
+
+register("text_convert", "SELECT l_orderkey::INT AS c0, l_partkey::INT AS c1, l_linenumber AS c2 FROM lineitem", converted)
 register(
     "lock_conflict_matrix",
     "SELECT a.m AS held, b.m AS asked, (a.m || b.m) IN ('SX', 'SIX', 'XS', 'XX', 'XIS', 'XIX', 'ISX', 'IXS', 'IXX') AS conflict FROM (VALUES ('S'), ('X'), ('IS'), ('IX')) a(m), (VALUES ('S'), ('X'), ('IS'), ('IX')) b(m)",
-    lambda s, d: s.createDataFrame(locks.conflict_rows(), "held string, asked string, conflict boolean"),
+    lambda s, d: locks.conflict_matrix(s),
+)
+register(
+    "lock_waits",
+    """WITH r AS (SELECT event_type AS res, user_id % 20 AS who, ['S', 'X', 'IS', 'IX'][event_id % 4 + 1] AS m, event_id AS "at" FROM events),
+    s AS (SELECT res, who, m, min("at") AS f, max("at") AS l FROM r GROUP BY ALL)
+    SELECT a.res AS resource, a.who AS waiter, b.who AS blocker, count(DISTINCT a.m) AS modes FROM s a JOIN s b ON a.res = b.res AND a.who <> b.who AND a.l > b.f
+    AND (a.m || b.m) IN ('SX', 'SIX', 'XS', 'XX', 'XIS', 'XIX', 'ISX', 'IXS', 'IXX') GROUP BY ALL""",
+    lambda s, d: locks.waits_for(table(s, d, "events").select("event_type", F.pmod("user_id", F.lit(20)).alias("who"), F.expr("element_at(array('S', 'X', 'IS', 'IX'), cast(pmod(event_id, 4) as int) + 1)").alias("mode"), "event_id"), "event_type", "who", "mode", "event_id"),
 )

@@ -155,19 +155,34 @@ def test_refusals(spark):
             q.select("int", "=", value).frame()
 
 
-def test_ranks_are_the_same_however_cut(spark, monkeypatch):
-    df = spark.createDataFrame([(i * 7 % 1000,) for i in range(1000)], "k int")
-    monkeypatch.setattr(index, "RANK_ROWS", 64)
+def test_ranks_of_any_keys(spark):
+    df = spark.createDataFrame([(i * 7 % 1000,) for i in range(1000)], "k int").repartition(7)
     assert sorted(map(tuple, index.ranked(df, "k").collect())) == [(i, i + 1) for i in range(1000)]
     words = df.select(F.format_string("w%05d", "k").alias("k"))
     assert index.ranked(words, "k").where("k != format_string('w%05d', cast(rank - 1 as int))").count() == 0
+    assert index.ranked(df.where("k < 0"), "k").count() == 0
+
+
+def test_ranks_of_a_key_that_half_of_all_rows_share(spark, uncoalesced):
+    df = spark.createDataFrame([(None if i % 100 == 0 else 5 if i % 2 else i, i) for i in range(1000)], "rank int, row int").repartition(5)
+    got = index.ranked(df, "rank").toDF("k", "row", "rank")
+    rows = got.orderBy("rank").collect()
+    assert [r.rank for r in rows] == list(range(1, 1001)) and sorted(r.row for r in rows) == list(range(1000))
+    assert [r.k for r in rows] == sorted((r.k for r in rows), key=lambda k: (k is not None, k or 0))
+    parts = index.cut(df.orderBy("rank", F.xxhash64("rank", "row"))).where("rank = 5").select(F.spark_partition_id()).distinct().count()
+    assert parts > 1  # the key is dealt to several tasks
+
+
+def test_sort_of_groups_without_aggregates(spark):
+    df = spark.createDataFrame([(i % 3, i * 7 % 10, i) for i in range(30)], "g int, v int, n int")
+    rows = [tuple(r) for r in Query(df, "t").group_by("g").sort("v", "n").frame().collect()]
+    assert rows == sorted(rows)
 
 
 def test_bulk_load_and_orders(spark):
     df = spark.createDataFrame([(i,) for i in range(100)], "k int")
     leaves = index.bulk_load_layout(df, "k", order=2, fill=0.75).groupBy("leaf").count().collect()
     assert sorted(map(tuple, leaves)) == [*((i, 3) for i in range(33)), (33, 1)]
-    assert index.max_order(100, 4) == 4
 
 
 def test_type_rules():

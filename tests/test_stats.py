@@ -1,8 +1,8 @@
-"""Histograms, masks, estimates and costs with known values."""
+"""Histograms, masks, estimates and lock conflicts with known values."""
 
 import pytest
 
-from basalt.plans import cost, stats
+from basalt.plans import locks, stats
 
 
 def ints(spark, n):
@@ -67,20 +67,35 @@ def test_reductions(spark):
 
 def test_pages_and_costs(spark):
     assert stats.records_per_page(14) == 288 and stats.records_per_page(4) == 992
-    assert cost.simple_nested_loop_cost(1000, 4, 4) == 4004 and cost.block_nested_loop_cost(4, 4) == 12
-    assert cost.access_path(10, {"k": (1, 3)}) == ("k", 4) and cost.access_path(2, {"k": (1, 3)}) == ("scan", 2)
     assert stats.join_estimate(ints(spark, 100), "v", ints(spark, 50), "v").first() == (100, 50, 49)
 
 
-def test_join_order():
-    sides = {"a": cost.Side(1000, 4, {"k": 1000}), "b": cost.Side(1000, 4, {"k": 1000, "m": 10}), "c": cost.Side(10, 1, {"m": 10})}
-    steps = cost.join_order(sides, [("a", "k", "b", "k"), ("b", "m", "c", "m")], {"a": 14, "b": 14, "c": 14})
-    assert {s[0] for s in steps} == {"a", "b", "c"} and all(s[1] == "block nested loop" for s in steps[1:])
-    with pytest.raises(ValueError, match="connected"):
-        cost.join_order(sides, [("a", "k", "b", "k")], {"a": 14, "b": 14, "c": 14})
-
-
-def test_interesting_orders():
-    indexed = {"a": {"k", "g", "z"}, "b": {"k"}, "c": set()}
-    got = cost.interesting_orders(indexed, [("a", "k", "b", "k"), ("b", "m", "c", "m")], group=("a", "g"), scanned={"b": "k"})
-    assert got == {"a": ["g", "k"], "b": [], "c": []}
+def test_all_histograms_at_once(spark):
+    df = spark.createDataFrame([(i, i % 2 == 0, f"s{i % 7}", None) for i in range(101)], "v int, b boolean, s string, n int")
+    got = stats.table_histograms(df)
+    assert {r[0] for r in got.select("column").distinct().collect()} == {"v", "b", "s"}
+    for c in ("v", "b", "s"):
+        one = stats.histogram(df, c)
+        own = got.where(f"column = '{c}'").drop("column")
+        rounded = lambda rows: sorted(tuple(round(v, 6) for v in r) for r in rows.collect())
+        assert rounded(own) == rounded(one)
+    assert stats.table_histograms(df.where("v < 0")).count() == 0
+
+
+def test_statistics_after_predicate_and_join(spark):
+    df = spark.createDataFrame([(i, i % 10) for i in range(100)], "x int, y int")
+    h = stats.table_histograms(df)
+    after = stats.stats_after_predicate(h, "x", "<", 49.5)
+    assert sum(r["count"] for r in after.where("column = 'x'").collect()) == 50
+    assert [r["count"] for r in after.where("column = 'y'").orderBy("bucket").collect()] == [5] * 10
+    sides, estimate = stats.stats_after_join(h, "x", stats.table_histograms(ints(spark, 49)), "v")
+    assert estimate.first() == (100, 49, 48)
+    assert sides.where("side = 'right'").agg({"count": "sum"}).first()[0] == sum(round(n * 50 / 101) for n in [5] * 9 + [4])
+    assert sides.where("side = 'left'").exceptAll(h.selectExpr("'left' AS side", "*")).count() == 0
+
+
+def test_lock_requests_that_wait(spark):
+    rows = [("t", "a", "S", 1), ("t", "b", "S", 2), ("t", "c", "X", 3), ("t", "a", "IS", 4), ("u", "a", "X", 5), ("u", "a", "X", 6), (None, "a", "X", 7)]
+    got = locks.waits_for(spark.createDataFrame(rows, "r string, who string, mode string, at int"), "r", "who", "mode", "at")
+    assert sorted(map(tuple, got.collect())) == [("t", "a", "c", 1), ("t", "c", "a", 1), ("t", "c", "b", 1)]
+    assert locks.conflict_matrix(spark).where("conflict").count() == 9

@@ -44,6 +44,71 @@ def test_indices(catalog):
         catalog.create("U", [(1, "a"), (1, "b")], PAIR, indices=("id",))
 
 
+def test_indices_are_kept_through_edits(spark, catalog, uncoalesced):
+    catalog.create("T", spark.range(4000).selectExpr("cast(id as int) AS id", "repeat('x', 6) AS name"), indices=("id",))
+    again = Catalog(spark, catalog.path)
+    assert again.indices("T") == ("id",) == (again.primary_key("T"),)
+    with again.begin() as x:
+        for bad in ([(5, "twice")], [(9000, "a"), (9000, "b")]):
+            with pytest.raises(SchemaError):
+                x.insert("T", bad)
+        with pytest.raises(SchemaError):
+            x.update_where("T", "id", 7, "id", 8)
+        with pytest.raises(SchemaError):
+            x.update_record("T", "id", 8, {"id": 7, "name": "y"})
+        with pytest.raises(SchemaError):
+            x.run_batch("T", dml.Batch().insert([(5, "twice")]))
+        assert again.version("T") == 1
+        x.insert("T", [(9000, "new")])
+        x.update_record("T", "id", 7, {"id": 9001, "name": "moved"})
+        x.delete_where("T", "id", 3)
+        x.run_batch("T", dml.Batch().delete_where("id", 4).insert([(3, "back")]).update_record("id", 3, {"name": "again"}))
+        assert again.version("T") == 5 and x.count("T") == 4000 and x.lookup("T", "id", 9001).first().name == "moved"
+    files = again.table("T").selectExpr("input_file_name() AS f", "id").groupBy("f").agg({"id": "min"}).collect()
+    spans = again.table("T").selectExpr("input_file_name() AS f", "id").groupBy("f").agg({"id": "max"}).collect()
+    low, high = dict(map(tuple, files)), dict(map(tuple, spans))
+    order = sorted(low, key=low.get)
+    assert len(order) > 1 and all(high[a] < low[b] for a, b in zip(order, order[1:]))  # the last version's files are ranges
+
+
+def test_of_two_writers_the_later_fails(catalog):
+    catalog.create("T", [(1, "one")], PAIR)
+    base = catalog.version("T")
+    catalog.write("T", dml.insert(catalog.table("T"), [(2, "two")]), base)
+    with pytest.raises(CatalogError):
+        catalog.write("T", dml.insert(catalog.table("T"), [(3, "three")]), base)
+    assert catalog.table("T").count() == 2 and catalog.table("T", 1).count() == 1
+    catalog._claim("T/_claims/v3")  # a writer that died
+    with pytest.raises(CatalogError), catalog.begin() as x:
+        x.insert("T", [(3, "three")])
+    catalog.release("T")
+    with catalog.begin() as x:
+        x.insert("T", [(3, "three")])
+        assert x.count("T") == 3
+
+
+def test_histograms_are_kept_with_a_version(catalog):
+    catalog.create("T", [(i, "x") for i in range(100)], PAIR)
+    with catalog.begin() as x:
+        assert x.histograms("T").where("column = 'id'").agg({"count": "sum"}).first()[0] == 100
+        kept = catalog.analyze("T")
+        assert kept.inputFiles() == catalog.analyze("T").inputFiles()
+        x.insert("T", [(100, "x")])
+        assert x.histograms("T").where("column = 'id'").agg({"count": "sum"}).first()[0] == 101
+        x.alias("T", "t2")
+        assert x.histograms("t2").count() == 20
+
+
+def test_lookups_by_name_and_number(spark, catalog):
+    catalog.create("T", [(1, "one")], PAIR)
+    catalog.add("U", spark.range(3), key="id")
+    assert catalog.table_name(catalog.table_id("U")) == "U" and catalog.primary_key("U") == "id" and catalog.primary_key("T") is None
+    assert catalog.schema("U").names == ["id"]
+    for bad in (lambda: catalog.table_id("V"), lambda: catalog.table_name(1), lambda: catalog.primary_key("V"), lambda: catalog.schema("V"), lambda: catalog.table("T", 9)):
+        with pytest.raises(CatalogError):
+            bad()
+
+
 def test_aliases_and_temporary_tables(catalog):
     catalog.create("T", [(1, "one")], PAIR)
     with catalog.begin() as x:
@@ -131,7 +196,7 @@ def test_catalog_file(spark, tmp_path):
             parse_catalog([bad])
     spark.createDataFrame([(1, "x")], T.StructType(tables["users"][0])).write.parquet(str(tmp_path / "users.parquet"))
     c = Catalog(spark, str(tmp_path))
-    assert c.load_catalog(["users (id int pk, name string)"]) == {"users": "id"} and c.table("users").count() == 1
+    assert c.load_catalog(["users (id int pk, name string)"]) == {"users": "id"} and c.table("users").count() == 1 and c.primary_key("users") == "id"
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):
