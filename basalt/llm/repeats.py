@@ -6,11 +6,10 @@ A byte goes when a 50-byte string over it also starts in a document with a small
 2. Anchors: of the hashes of all 32-byte strings the least of each 50-byte window is an anchor; equal windows have equal
    anchors. Blocks of documents ask buckets which of their anchors occur in other documents too (see exchange.py). A window
    whose anchor, its leftmost least hash, no other document has is no repeat. What is left is short.
-3. Pieces: the windows of one shared anchor are a piece, and pieces go to buckets by the anchor. A piece that an older
-   document has, too, is a repeat as a whole; of equal pieces only those of the oldest document go on.
-4. Index: where an anchor has different pieces, those that agree around it for nearly 50 bytes enter the bucket's run-length index
-   (run-compressed Burrows-Wheeler transform). The matching statistics of each piece are streamed through it, and
-   matches of 50 bytes whose rows hold an older document are repeats.
+3. Pieces: the windows of one shared anchor are a piece, and pieces go to buckets by the anchor.
+4. Index: all pieces of a bucket enter its run-length index (run-compressed Burrows-Wheeler transform with sampled run ends), equal ones as one string of
+   their oldest document. The matching statistics of each string are streamed through it, and matches of 50 bytes
+   of whose runs a sample belongs to an older document are repeats.
 
 Anchors with more than `HOT_ROWS` occurrences, which the buckets tell, have their different pieces cut on into single windows, which are
 aggregated by their hash, so that no anchor's rows need to meet in a task. All windows of all texts are covered; the result is exact.
@@ -35,15 +34,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from basalt.llm.common import as_binary, cut, pick, sliced, table, text_bytes, tidy
 from basalt.llm.exchange import buckets_for, cut_by_range, mixed, pack, pack_sorted, unpack, unpack_sorted
 from basalt.llm.language_model import frame, unframe
-from basalt.llm.run_index import RunIndex
+from basalt.llm.run_index import RunIndex, places_of
 from basalt.llm.shingle_join import SEVERAL, asked, in_blocks
 
 GRAM = 32
 #: Stands for the places of several documents of a block.
 SEVERAL_PLACES = (1 << 32) - 1
 BLOCK_BYTES = 1 << 20
-#: Windows of so many neighbouring offsets are tried together before a piece is indexed.
-CORE = 5
+#: Bytes of pieces, repeated ones included, that one index is built for.
+INDEX_BYTES = 1 << 20
 #: A bucket's task holds all rows of an anchor up to so many, some 300 bytes each.
 HOT_ROWS = 200_000
 #: Rows that an index bucket holds on average at most.
@@ -293,93 +292,64 @@ def indexed_repeats(pieces: DataFrame, least: int, buckets: int) -> DataFrame:
     id_kind = pieces.schema["id"].dataType.simpleString()
 
     def run(rows: pa.Table) -> pa.Table:
-        ids_column = rows.column("id").combine_chunks()
-        keys_column = rows.column("key").combine_chunks()
-        schema = pa.schema([("id", ids_column.type), ("key", keys_column.type), ("start", pa.int32()), ("end", pa.int32())])
-        ages = pc.rank(ids_column, tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
-        anchors, kinds = rows.column("anchor").to_numpy(), rows.column("kind").to_numpy()
+        ids, keys = (rows.column(c).combine_chunks() for c in ("id", "key"))
+        schema = pa.schema([("id", ids.type), ("key", keys.type), ("start", pa.int32()), ("end", pa.int32())])
+        ages = pc.rank(ids, tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+        anchors = rows.column("anchor").to_numpy()
         starts, counts = (rows.column(c).to_numpy().astype(np.int64) for c in ("start", "windows"))
-        order = np.lexsort((ages, kinds, anchors))
-        new_anchor = np.append(True, anchors[order[1:]] != anchors[order[:-1]])
-        new_kind = new_anchor | np.append(True, kinds[order[1:]] != kinds[order[:-1]])
-        least_age = np.empty(len(order), np.int64)
-        least_age[order] = ages[order][np.flatnonzero(new_kind)][np.cumsum(new_kind) - 1]
-        whole = np.flatnonzero(ages > least_age)  # equal to a piece of an older document
-        heads = np.flatnonzero(new_anchor)
-        low, high = np.minimum.reduceat(least_age[order], heads), np.maximum.reduceat(least_age[order], heads)
-        several = np.empty(len(order), bool)
-        several[order] = (low < high)[np.cumsum(new_anchor) - 1]
-        left = np.flatnonzero(several & (ages == least_age))
-        found = [np.stack([whole, starts[whole], starts[whole] + counts[whole] + least - 1])]
-        found.append(self_repeats(rows.take(pa.array(left)), left, ages[left], least))
+        order = np.argsort(anchors, kind="stable")
+        heads = np.flatnonzero(np.append(True, anchors[order[1:]] != anchors[order[:-1]]))
+        low, high = np.minimum.reduceat(ages[order], heads), np.maximum.reduceat(ages[order], heads)
+        ends = np.append(heads[1:], len(order))
+        held = rows.column("bytes").combine_chunks()
+        size = np.cumsum(pc.binary_length(held).to_numpy()[order])
+        found, part, reached = [np.zeros((3, 0), np.int64)], [], 0
+        # Anchors don't meet each other, so indices are built for some of them at a time.
+        for s, e in zip(heads[low < high].tolist(), ends[low < high].tolist(), strict=True):
+            part.append(order[s:e])
+            reached += int(size[e - 1] - (size[s - 1] if s else 0))
+            if reached >= INDEX_BYTES:
+                found.append(repeats_of(held, np.concatenate(part), ages, starts, counts, least))
+                part, reached = [], 0
+        if part:
+            found.append(repeats_of(held, np.concatenate(part), ages, starts, counts, least))
         at = np.concatenate(found, axis=1)
         tidy()
-        return pa.table([*(c.take(pa.array(at[0], pa.int64())) for c in (ids_column, keys_column)), pa.array(at[1], pa.int32()), pa.array(at[2], pa.int32())], schema=schema)
+        return pa.table([*(c.take(pa.array(at[0], pa.int64())) for c in (ids, keys)), pa.array(at[1], pa.int32()), pa.array(at[2], pa.int32())], schema=schema)
 
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     return dealt.groupBy("bucket").applyInArrow(run, f"id {id_kind}, key binary, start int, end int")
 
 
-def self_repeats(rows: pa.Table, names: np.ndarray, ages: np.ndarray, least: int) -> np.ndarray:
-    """(3, n): name, start and end of repeats between different pieces of an anchor, found by a run-length index."""
-    age = ages.tolist()
-    listed = list(zip(*(rows.column(c).to_pylist() for c in ("anchor", "start", "windows", "place", "bytes")), strict=True))
-    none = np.zeros((3, 0), np.int64)
-    # What all windows of a few offsets from the anchor share must be in pieces of two documents.
-    seen: dict[tuple, int] = {}
-    cores = []
-    for who, (anchor, _, n, place, data) in zip(age, listed, strict=True):
-        own = []
-        for g in range(max(0, place - n + 1) // CORE, place // CORE + 1):
-            begin = place - CORE * g
-            key = (anchor, g, data[begin : begin - CORE + 1 + least])
-            own.append((g, key))
-            held = seen.setdefault(key, who)
-            if held != who:
-                seen[key] = 0
-        cores.append(own)
-    texts, origin = [], []
-    for i, ((_, _, n, place, data), own) in enumerate(zip(listed, cores, strict=True)):
-        hit = [g for g, key in own if seen[key] == 0]
-        if hit:
-            low, high = max(0, place - CORE * max(hit) - CORE + 1), min(n - 1, place - CORE * min(hit))
-            if low <= high:
-                texts.append(data[low : high + least])
-                origin.append((i, low))
-    del seen, cores
-    if not texts:
-        return none
-    distinct: dict[bytes, int] = {}
-    text_of = np.array([distinct.setdefault(d, len(distinct)) for d in texts])
-    who = np.array([age[i] for i, _ in origin])
-    owner = np.full(len(distinct), 1 << 62)
-    np.minimum.at(owner, text_of, who)
-    index = RunIndex(list(distinct))
-    sizes = np.array([len(d) for d in distinct])
-    flat = np.frombuffer(b"".join(distinct), np.uint8)
+def repeats_of(held: pa.Array, rows: np.ndarray, ages: np.ndarray, starts: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
+    """(3, n): row, start and end of what pieces repeat of older documents, by a run-length index over their distinct strings."""
+    coded = held.take(pa.array(rows)).dictionary_encode()
+    of = coded.indices.to_numpy()
+    distinct = coded.dictionary
+    mine, starts, counts = ages[rows], starts[rows], counts[rows]
+    oldest = np.full(len(distinct), 1 << 31, np.int64)
+    np.minimum.at(oldest, of, mine)
+    sizes = pc.binary_length(distinct).to_numpy().astype(np.int64)
     begin = np.cumsum(sizes) - sizes
-    count = sizes - least + 1
-    of = np.repeat(np.arange(len(sizes)), count)
-    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    length, first, last = index.match(flat, begin[of] + inner + least, least, alone=True)
-    text_at = np.searchsorted(index.starts, index.order, side="right") - 1
-    owner_at = np.append(owner[text_at], 1 << 62)
-    spans, which = np.unique(first * (index.size + 1) + last, return_inverse=True)
-    a, b = np.divmod(spans, index.size + 1)
-    smallest = np.minimum.reduceat(owner_at, np.stack([a, b], axis=1).reshape(-1))[::2]
-    # A window that stands in no other text is as old as its own text's first document.
-    smallest = np.minimum(np.where(length == least, smallest[which], 1 << 62), owner[of])
-    at = np.cumsum(count) - count
-    out_row, out_start, out_end = [], [], []
-    for (row, low), text, mine in zip(origin, text_of.tolist(), who.tolist(), strict=True):
-        hit = np.flatnonzero(smallest[at[text] : at[text] + count[text]] < mine)
-        if len(hit):
-            cuts = np.flatnonzero(np.diff(hit) > 1)
-            for s, e in zip(hit[np.append(0, cuts + 1)].tolist(), hit[np.append(cuts, len(hit) - 1)].tolist(), strict=True):
-                out_row.append(int(names[row]))
-                out_start.append(listed[row][1] + low + s)
-                out_end.append(listed[row][1] + low + e + least)
-    return np.array([out_row, out_start, out_end], np.int64).reshape(3, -1)
+    flat = np.frombuffer(b"".join(distinct.to_pylist()), np.uint8)
+    index = RunIndex(flat, begin, sizes, oldest, least)
+    windows = sizes - least + 1
+    first = np.cumsum(windows) - windows
+    by_window = index.oldest_matches(flat, begin, sizes, 1 << 31)[places_of(begin, windows)]
+    lowest, highest = np.minimum.reduceat(by_window, first)[of], np.maximum.reduceat(by_window, first)[of]
+    whole = np.flatnonzero(highest < mine)
+    out = [np.stack([rows[whole], starts[whole], starts[whole] + counts[whole] + least - 1])]
+    mixed_ = np.flatnonzero((lowest < mine) & (highest >= mine))
+    if len(mixed_):
+        n = windows[of[mixed_]]
+        row = np.repeat(mixed_, n)
+        inner = places_of(np.zeros(len(n), np.int64), n)
+        hit = by_window[first[of[row]] + inner] < mine[row]
+        row, inner = row[hit], inner[hit]
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (inner[1:] != inner[:-1] + 1)))
+        last = np.append(new[1:], len(row)) - 1
+        out.append(np.stack([rows[row[new]], starts[row[new]] + inner[new], starts[row[new]] + inner[last] + least]))
+    return np.concatenate(out, axis=1)
 
 
 def broadcast_if_small(df: DataFrame, size: Column) -> DataFrame:

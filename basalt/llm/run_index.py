@@ -1,110 +1,84 @@
-"""A run-length index over short byte strings: run-compressed Burrows-Wheeler transform with sampled run ends."""
+"""A run-length index over byte strings: a run-compressed Burrows-Wheeler transform of bounded context with sampled run ends.
+
+The rows of the transform are the strings' places with at least `depth` - 1 bytes to come, their context, ordered by context; those that agree in it by the byte before
+them and then from the youngest owner to the oldest. So every (context, byte before) is one run, however many strings repeat it, and the
+row at a run's end, whose text position is sampled, belongs to the run's oldest owner. Rows themselves are dropped once the runs are built.
+
+A backward step goes from a context to the run of the byte before it, which is a match of `depth` bytes; the run's sample says whose it is at the
+oldest, and its first depth - 1 bytes are the next context. Matching statistics are streamed so from right to left; where a step finds
+no run, the next context is searched for among the sorted ones.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The suffix array of bytes + 1 in strings that each end with a 0, at `ends`; equal suffixes are ordered by their string.
+def strings_at(data: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """The strings of so many bytes at places, as an array that compares and sorts them."""
+    held = np.lib.stride_tricks.sliding_window_view(data, size)[places]
+    return np.ascontiguousarray(held).view(f"S{size}").reshape(-1)
 
-    Suffixes are ranked by their first eight symbols, then by doubling among those that are still alike.
-    """
-    n = len(symbols)
-    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # symbols before the own string's end
-    string = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
-    key = np.zeros(n, np.uint64)
-    padded = np.concatenate((symbols.astype(np.uint64), np.zeros(8, np.uint64)))
-    inside = np.ones(n, bool)
-    for k in range(7):
-        inside &= left >= k
-        key = key * np.uint64(257) + np.where(inside, padded[k : n + k], np.uint64(0))
-    done = 7
-    order = np.lexsort((string, key)) if n else np.zeros(0, np.int64)
-    apart = np.ones(n, bool)
-    apart[1:] = key[order[1:]] != key[order[:-1]]
-    closed = left[order] < done  # whole suffixes: their strings tell them apart
-    apart[1:] |= closed[1:] | closed[:-1]
-    rank = np.empty(n, np.int64)
-    group = np.maximum.accumulate(np.where(apart, np.arange(n), 0))
-    rank[order] = group
-    open_ = np.flatnonzero(~apart | np.append(~apart[1:], False)) if n else order
-    while len(open_):
-        members = order[open_]
-        after = members + done
-        second = np.where(left[members] >= done, rank[np.minimum(after, n - 1)], string[members] - len(ends))
-        by = np.lexsort((second, rank[members]))
-        members, second, old = members[by], second[by], rank[members][by]
-        order[open_] = members
-        new = np.ones(len(members), bool)
-        new[1:] = (old[1:] != old[:-1]) | (second[1:] != second[:-1])
-        rank[members] = open_[np.maximum.accumulate(np.where(new, np.arange(len(members)), 0))]
-        alike = ~new | np.append(~new[1:], False)
-        open_ = open_[alike]
-        done *= 2
-    return order
 
+def places_of(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... of each i, counts[i] of them."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
-class RunIndex:
-    """Strings are joined, each with an end of its own that no pattern holds."""
 
-    def __init__(self, texts: list[bytes]) -> None:
-        sizes = np.array([len(t) for t in texts], np.int64)
-        self.starts = np.cumsum(sizes + 1) - (sizes + 1)
-        n = int((sizes + 1).sum())
-        m = len(texts)
-        symbols = np.zeros(n, np.int64)
-        inner = np.ones(n, bool)
-        ends = self.starts + sizes
-        inner[ends] = False
-        symbols[inner] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-        self.order = suffix_order(symbols, ends)
-        transform = symbols[self.order - 1]  # 0: some string's end
-        first = np.flatnonzero(np.diff(transform, prepend=-1) != 0)
-        self.size = n
-        self.heads = transform[first]
-        self.run_starts = first
-        lengths = np.diff(np.append(first, n))
-        self.run_ends = first + lengths - 1
-        #: Sampled text positions at the ends of runs.
-        self.sampled = self.order[self.run_ends]
-        by = np.lexsort((first, self.heads))
-        self.key = self.heads[by] * (n + 1) + first[by]
-        self.length = lengths[by]
-        self.upto = np.cumsum(self.length) - self.length
-        self.of_symbol = np.searchsorted(self.heads[by], np.arange(258))
-        self.before = np.append(self.upto, self.length.sum())[self.of_symbol]  # rows of the transform with lesser symbols
-        self.first_row = m + self.before - self.before[1]  # ends sort first, one row for each string
+class RunIndex:
+    """data: distinct strings end to end, at starts and of sizes; ages: the age of each one's oldest owner, the least being the oldest."""
 
-    def rank(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """How often each symbol (byte + 1) stands in the transform before a row."""
-        at = np.searchsorted(self.key, symbol * (self.size + 1) + row, side="left") - 1
-        none = at < self.of_symbol[symbol]
-        at = np.maximum(at, 0)
-        inside = np.minimum(self.length[at], row - (self.key[at] - symbol * (self.size + 1)))
-        return np.where(none, 0, self.upto[at] - self.before[symbol] + inside)
+    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ages: np.ndarray, depth: int = 50) -> None:
+        self.depth = depth
+        counts = np.maximum(sizes - depth + 2, 0)
+        rows = places_of(starts, counts)
+        text = np.repeat(np.arange(len(starts)), counts)
+        if not len(rows):
+            self.contexts, self.keys, self.sampled, self.oldest, self.next = np.zeros(0, f"S{depth - 1}"), *(np.zeros(0, np.int64),) * 4
+            return
+        #: All contexts, sorted.
+        self.contexts, context = np.unique(strings_at(data, rows, depth - 1), return_inverse=True)
+        inner = np.flatnonzero(rows > starts[text])  # rows with a byte before them
+        symbol = data[rows[inner] - 1].astype(np.uint64)
+        run = context[inner].astype(np.uint64) << np.uint64(8) | symbol
+        order = np.argsort(run << np.uint64(32) | (np.uint64((1 << 32) - 1) - ages[text[inner]].astype(np.uint64)))
+        run = run[order]
+        ends = np.flatnonzero(np.append(run[1:] != run[:-1], True)[: len(run)])
+        by = np.argsort(symbol[order[ends]].astype(np.int64) * len(self.contexts) + context[inner[order[ends]]])
+        ends = order[ends[by]]
+        #: Runs by their byte and then their context, as a backward step asks for them.
+        self.keys = symbol[ends].astype(np.int64) * len(self.contexts) + context[inner[ends]]
+        #: Text positions of the matches at the ends of runs, the age of their owners, and the contexts that they begin with.
+        self.sampled = rows[inner[ends]] - 1
+        self.oldest = ages[text[inner[ends]]]
+        self.next = context[inner[ends] - 1]
 
-    def extend(self, low: np.ndarray, high: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows whose suffixes begin with the byte followed by what [low, high) begin with."""
-        symbol = byte.astype(np.int64) + 1
-        base = self.first_row[symbol]
-        return base + self.rank(symbol, low), base + self.rank(symbol, high)
+    def step(self, context: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The run of the byte before each context; -1 where there is none."""
+        key = byte.astype(np.int64) * len(self.contexts) + context
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((context >= 0) & (self.keys[at] == key), at, -1)
 
-    def match(self, data: np.ndarray, ends: np.ndarray, most: int, alone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics of data streamed from each end to the left: the length matched, at most `most`, and its rows.
+    def find(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The number of the context at each place; -1 where there is none."""
+        asked = strings_at(data, places, self.depth - 1)
+        at = np.minimum(np.searchsorted(self.contexts, asked), len(self.contexts) - 1)
+        return np.where(self.contexts[at] == asked, at, -1)
 
-        With `alone`, streaming also ends where one row is left, as of data that is in the index itself and matches nothing else.
-        """
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
-        length = np.zeros(len(ends), np.int64)
-        going = np.arange(len(ends))
-        for k in range(most):
-            going = going[ends[going] - k - 1 >= 0]
-            a, b = self.extend(low[going], high[going], data[ends[going] - k - 1])
-            alive = a < b
-            going = going[alive]
-            low[going], high[going] = a[alive], b[alive]
-            length[going] = k + 1
-            if alone:
-                going = going[high[going] - low[going] > 1]
-        return length, low, high
+    def oldest_matches(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, none: int) -> np.ndarray:
+        """For each place of data the age of the oldest owner of the `depth` bytes there, else `none`; strings of data are streamed from their ends."""
+        out = np.full(len(data), none, np.int64)
+        if not len(self.keys):
+            return out
+        context = np.full(len(starts), -1)
+        going = np.flatnonzero(sizes >= self.depth)
+        for k in range(self.depth, int(sizes.max(initial=0)) + 1):
+            going = going[sizes[going] >= k]
+            at = starts[going] + sizes[going] - k
+            lost = np.flatnonzero(context[going] < 0)
+            if len(lost):
+                context[going[lost]] = self.find(data, at[lost] + 1)
+            run = self.step(context[going], data[at])
+            out[at] = np.where(run >= 0, self.oldest[run], none)
+            context[going] = np.where(run >= 0, self.next[run], -1)
+        return out

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from basalt.llm import repeats
-from basalt.llm.run_index import RunIndex, suffix_order
+from basalt.llm.run_index import RunIndex
 
 RNG = random.Random(6)
 
@@ -85,32 +85,52 @@ def test_nothing(spark):
     assert (one.n_bytes, one.removed, bytes(one.kept)) == (200, [], b"a" * 200)
 
 
-def test_suffix_order():
-    for _ in range(40):
-        texts = [bytes(RNG.randrange(3) for _ in range(RNG.randint(0, 40))) for _ in range(RNG.randint(1, 9))]
-        symbols, ends, keys = [], [], []
-        for k, s in enumerate(texts):
-            keys += [([c + 1 for c in s[i:]] + [0], k) for i in range(len(s) + 1)]
-            symbols += [*(c + 1 for c in s), 0]
-            ends.append(len(symbols) - 1)
-        want = sorted(range(len(symbols)), key=lambda i: keys[i])
-        assert suffix_order(np.array(symbols), np.array(ends)).tolist() == want
-
-
-def test_index_counts_and_runs():
-    texts = list(dict.fromkeys(noise(RNG.randint(5, 40), "ab").encode() for _ in range(12)))
-    index = RunIndex(texts)
-    assert len(index.heads) < index.size and index.sampled.tolist() == index.order[index.run_ends].tolist()
-    data = np.frombuffer(b"".join(texts) + b"bbbbbbbbbbbbbbbbbbbbbbbbbbbbbzq", np.uint8)
-    ends = np.arange(8, len(data) + 1)
-    length, low, high = index.match(data, ends, 8)
-    count = lambda p: sum(t[k : k + len(p)] == p for t in texts for k in range(len(t) - len(p) + 1))
-    for e, n, a, b in zip(ends.tolist(), length.tolist(), low.tolist(), high.tolist(), strict=True):
-        p = data[e - n : e].tobytes()
-        if n:
-            assert b - a == count(p) > 0
-        if n < 8:
-            assert count(data[e - n - 1 : e].tobytes()) == 0
+def indexed(texts, ages, depth):
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return RunIndex(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes, np.array(ages), depth)
+
+
+@pytest.mark.parametrize(("letters", "depth"), [("ab", 8), ("abc", 5), ("ab", 12), ("a", 4), ("\0a", 6)])
+def test_index_finds_the_oldest_owner_of_every_match(letters, depth):
+    for _ in range(10):
+        texts = list(dict.fromkeys(noise(RNG.randint(1, 40), letters).encode() for _ in range(RNG.randint(1, 25))))
+        ages = [RNG.randrange(50) for _ in texts]
+        index = indexed(texts, ages, depth)
+        asked = [noise(RNG.randint(1, 50), letters + "z").encode() for _ in range(12)] + texts
+        sizes = np.array([len(t) for t in asked])
+        oldest = index.oldest_matches(np.frombuffer(b"".join(asked), np.uint8), np.cumsum(sizes) - sizes, sizes, 99).tolist()
+        want = [min((a for s, a in zip(texts, ages, strict=True) if len(t) - k >= depth and t[k : k + depth] in s), default=99) for t in asked for k in range(len(t))]
+        assert oldest == want
+
+
+def test_samples_are_the_oldest_rows_of_their_runs():
+    texts = [noise(40, "ab").encode() for _ in range(20)]
+    index = indexed(texts, list(range(20)), 6)
+    flat, matches = b"".join(texts), {t[k : k + 6] for t in texts for k in range(35)}
+    assert {flat[p : p + 6] for p in index.sampled.tolist()} == matches and len(index.sampled) == len(matches)
+    assert all(a == min(i for i, t in enumerate(texts) if flat[p : p + 6] in t) == p // 40 for p, a in zip(index.sampled.tolist(), index.oldest.tolist(), strict=True))
+
+
+def test_runs_of_repetitive_strings_are_few():
+    base = noise(60, "abcdefgh").encode()
+    texts = [base[:30] + bytes([65 + i]) + base[30:] for i in range(26)]
+    index = indexed(texts, list(range(26)), 10)
+    assert len(index.keys) == len({t[k : k + 10] for t in texts for k in range(52)}) < 26 * 52 / 3
+
+
+def test_repeats_are_found_by_the_index_alone(spark, tmp_path, monkeypatch):
+    """Of texts that are no copies as a whole, no repeat is found where the index finds nothing."""
+    passage = noise(400)
+    rows = [(i, noise(200) + passage[i : 300 + i] + noise(100)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ask = lambda: repeats.remove_repeats(df).selectExpr("sum(aggregate(removed, 0, (a, r) -> a + r.end - r.start)) AS n").first().n
+    assert ask() == sum(r[2] for r in brute(rows))
+    monkeypatch.setattr(repeats, "repeats_of", blind)
+    assert ask() == 0
+
+
+def blind(held, rows, *_):
+    return np.zeros((3, 0), np.int64)
 
 
 def test_every_window_has_an_owner():
