@@ -5,14 +5,15 @@
    bits more than their number needs, to buckets that tell which occur more than once; a document with too few such shingles links
    with nothing. (Cut hashes that meet by chance only let a document stay.)
 3. The classes that stay are partitioned into groups of similar documents: those whose shared shingles have the same least
-   hash, dealt to tiles of about `TILE_ROWS` where a group is large. The token-group matrix tells which groups' unions hold a token. Of
-   a query only its prefix is looked up, its rarest tokens, so many that any partner shares one of them; in the matrix stand the prefixes
-   of the members for the same reason.
-4. A group is opened for a query only when the query's overlap with the group's whole token union reaches what the threshold needs. Members
-   are then compared exactly, by counting common tokens along the group's inverted lists. Tasks see about one tile of members and one of
+   hash, dealt to tiles of about `TILE_ROWS` where a group is large. A group's members are compared with each other, all tiles of a group with its first class as well, and
+   the group's token union is stored once.
+4. The token-group matrix tells which groups hold a token. Of a query only its prefix is looked up, its rarest tokens, so many that any partner
+   shares one of them; in the matrix stand the prefixes of the members for the same reason. Groups that are connected with the query as a whole already aren't asked.
+5. The query's tokens meet the stored unions of the groups that it asks. A group is opened only when the overlap reaches what the threshold needs; only then its members are shipped,
+   and compared exactly by counting common tokens along inverted lists. Tasks see about one tile of members and one of
    queries, and give out a spanning forest of the links they find; connected components join the forests.
 
-Nothing is capped: every pair of classes at the threshold lies within a task, and all pairs of a task are compared.
+Nothing is capped: classes at the threshold share a task unless a path of links between them is known.
 
 Defined results: null and empty texts, and rows with a null id, have no set and link with nothing (n_shingles 0 for texts
 without words); repeated rows and copies are of one class; pairs just at the threshold link; empty tables give empty tables; extra
@@ -205,62 +206,143 @@ def sets_of(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "key binary, n bigint, tokens array<bigint>").dropDuplicates(["key"])
 
 
-def join_tasks(sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """a, b: a spanning forest of the links between classes. sets: key, n, tokens."""
+def links_within(lists: pa.ListArray, members: np.ndarray, queries: np.ndarray, node: np.ndarray, label: np.ndarray, percent: int) -> None:
+    """Joins the labels of nodes that link, of each query with the members, exactly: common tokens are counted along the members' inverted lists."""
+    flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    sizes = np.diff(ends)
+    of = np.repeat(np.arange(len(members)), sizes[members])
+    held = np.concatenate([flat[ends[i] : ends[i + 1]] for i in members]) if len(members) else np.zeros(0, np.int64)
+    order = np.argsort(held, kind="stable")
+    tokens, first = np.unique(held[order], return_index=True)
+    lists_of, starts = of[order], np.append(first, len(held))
+    for q in queries.tolist():
+        own = flat[ends[q] : ends[q + 1]]
+        at = np.searchsorted(tokens, own)
+        at = at[(at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == own)] if len(tokens) else at[:0]
+        spans = starts[at + 1] - starts[at]
+        where = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(spans)[:-1])), spans) + np.arange(spans.sum())
+        common = np.bincount(lists_of[where], minlength=len(members))
+        hit = np.flatnonzero(common * 100 >= percent * (len(own) + sizes[members] - common))
+        if len(hit):
+            join_labels(label, np.full(len(hit), node[q]), node[members[hit]])
+
+
+def grouped_sets(sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """key, prefix, group, guest: the classes that may link, in groups of similar sets: those whose shared tokens have the same least hash.
+
+    prefix: a class's rarest shared tokens, so many that any partner has one of them. A group of more than tile_rows classes is dealt to tiles, each a group of its
+    own that sees the class with the least key as a guest. sets: key, n, tokens.
+    """
     tokens = sets.select("key", "n", F.explode("tokens").alias("t"))
     often = tokens.groupBy(F.col("t").alias("token")).agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = tokens.join(often, F.col("t") == F.col("token")).groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("shared"))
     least = needed(F.col("n"), percent)
     prefix = F.slice("shared", F.lit(1), (F.size("shared") - least + 1))
-    open_ = shared.where(F.size("shared") >= least).select("key", "n", prefix["t"].alias("prefix"), F.array_min(F.transform("shared", lambda s: F.xxhash64(s["t"]))).alias("g"))
-    open_ = cut(open_)
-    tiles = open_.groupBy(F.col("g").alias("k")).agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("tiles"))
-    placed = open_.join(tiles, F.col("g") == F.col("k")).select("key", "prefix", F.struct("g", F.pmod(F.xxhash64("key"), F.col("tiles")).alias("tile")).alias("group"))
-    looked = placed.select("key", "group", F.explode("prefix").alias("t"))
-    matrix = looked.select(F.col("t").alias("token"), F.col("group").alias("at")).distinct()
-    met = looked.join(matrix, (F.col("t") == F.col("token")) & (F.col("at") <= F.col("group"))).select("key", "group", "at").distinct()
-    chunks = met.groupBy(F.col("at").alias("k")).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("chunks"), F.count(F.lit(1)).alias("queries"))
-    met = met.join(chunks, F.col("at") == F.col("k")).select("key", "at", (F.col("at") != F.col("group")).alias("guest"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"))
-    members = placed.join(chunks, F.col("group") == F.col("k")).select("key", F.col("group").alias("at"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("query"))
-    queries = met.select("key", "at", "chunk", F.lit(True).alias("query"))
-    # A group of one member that only asks for itself has nothing to open.
-    alone = members.unionByName(queries).groupBy("at", "chunk").agg(F.count_distinct("key").alias("own")).where("own > 1").select(F.col("at").alias("a1"), F.col("chunk").alias("c1"))
-    both = members.unionByName(queries).join(alone, (F.col("at") == F.col("a1")) & (F.col("chunk") == F.col("c1")), "left_semi")
-    dealt = both.join(sets.select(F.col("key").alias("k"), "tokens"), F.col("key") == F.col("k")).select(F.concat_ws("/", "at.g", "at.tile", "chunk").alias("task"), "query", "key", "tokens")
+    open_ = cut(shared.where(F.size("shared") >= least).select("key", prefix["t"].alias("prefix"), F.array_min(F.transform("shared", lambda s: F.xxhash64(s["t"]))).alias("g")))
+    tiles = open_.groupBy(F.col("g").alias("k")).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("tiles"), F.min("key").alias("head"))
+    name = lambda tile: F.concat_ws("/", "g", tile)
+    tile = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
+    placed = open_.join(tiles, F.col("g") == F.col("k")).select("key", "prefix", name(tile).alias("group"), F.lit(False).alias("guest"))
+    others = tiles.where("tiles > 1").withColumnRenamed("k", "g").select("g", "head", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.pmod(F.xxhash64("head"), F.col("tiles")).cast("int").alias("own"))
+    guests = others.where("tile != own").select(F.col("head").alias("key"), F.lit(None).cast("array<bigint>").alias("prefix"), name(F.col("tile")).alias("group"), F.lit(True).alias("guest"))
+    return cut(placed.unionByName(guests))
+
+
+def compared_groups(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members of each group compared with each other: (group, key, label) of each member, where label is the least key that its links in the group lead to,
+    and of each group (group, sole, union): its token union, stored once, and the label of all its members where they have one."""
+    dealt = placed.join(sets.select(F.col("key").alias("k"), "tokens"), F.col("key") == F.col("k")).select("group", "key", "guest", "tokens")
 
     def compare(rows: pa.Table) -> pa.Table:
-        query = rows.column("query").to_numpy(zero_copy_only=False)
         keys = rows.column("key").to_pylist()
+        own = np.flatnonzero(~rows.column("guest").to_numpy(zero_copy_only=False))
         lists = rows.column("tokens").combine_chunks()
-        flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        sizes = np.diff(ends)
-        inner = np.flatnonzero(~query)
-        name = {k: i for i, k in enumerate(keys)}  # a member that also asks is one node
-        node = np.array([name[k] for k in keys])
-        of = np.repeat(np.arange(len(inner)), sizes[inner])
-        held = np.concatenate([flat[ends[i] : ends[i + 1]] for i in inner]) if len(inner) else np.zeros(0, np.int64)
-        order = np.argsort(held, kind="stable")
-        union, first = np.unique(held[order], return_index=True)
-        lists_of, starts = of[order], np.append(first, len(held))
+        everyone = np.argsort(np.array(keys, object), kind="stable")  # so that the least index of a label is its least key
+        node = np.empty(len(keys), np.int64)
+        node[everyone] = np.arange(len(keys))
         label = np.arange(len(keys))
-        member_sizes = sizes[inner]
-        for q in np.flatnonzero(query):
-            own = flat[ends[q] : ends[q + 1]]
-            at = np.searchsorted(union, own)
-            at = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == own)] if len(union) else at[:0]
-            if len(at) * 100 < percent * len(own):
-                continue  # the group's union has too little of the query: it stays closed
-            spans = starts[at + 1] - starts[at]
-            where = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(spans)[:-1])), spans) + np.arange(spans.sum())
-            common = np.bincount(lists_of[where], minlength=len(inner))
-            hit = np.flatnonzero(common * 100 >= percent * (len(own) + member_sizes - common))
-            if len(hit):
-                join_labels(label, np.full(len(hit), node[q]), node[inner[hit]])
+        if len(keys) > 1:
+            links_within(lists, np.arange(len(keys)), np.arange(len(keys)), node, label, percent)
+        labels = [keys[everyone[label[node[i]]]] for i in own.tolist()]
+        union = np.unique(np.concatenate([lists[i].values.to_numpy() for i in own.tolist()])).view(np.uint64) if len(own) else np.zeros(0, np.uint64)
+        group, n = rows.column("group")[0].as_py(), len(own)
+        tidy()
+        return pa.table({
+            "group": [group] * (n + 1),
+            "key": pa.array([*(keys[i] for i in own.tolist()), None], pa.binary()),
+            "label": pa.array([*labels, None], pa.binary()),
+            "sole": pa.array([None] * n + [labels[0] if len(set(labels)) == 1 else None], pa.binary()),
+            "union": pa.array([None] * n + [pack_sorted(np.sort(union))], pa.binary()),
+        })
+
+    return dealt.groupBy("group").applyInArrow(compare, "group string, key binary, label binary, sole binary, union binary")
+
+
+def asked_groups(placed: DataFrame, homes: DataFrame) -> DataFrame:
+    """key, at: the other groups of which a query's prefix meets a token in the token-group matrix. Groups that a query is known to be connected with as a whole aren't asked."""
+    own = homes.where("key is not null").select("key", "label")
+    sole = homes.where("key is null").select(F.col("group").alias("g"), "sole")
+    looked = placed.where(~F.col("guest")).join(own.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "group", "label", F.explode("prefix").alias("t"))
+    matrix = looked.select(F.col("t").alias("token"), F.col("group").alias("at")).distinct().join(sole, F.col("at") == F.col("g")).select("token", "at", "sole")
+    met = looked.join(matrix, (F.col("t") == F.col("token")) & (F.col("at") < F.col("group")) & (F.col("sole").isNull() | (F.col("sole") != F.col("label"))))
+    return met.select("key", "at").distinct()
+
+
+def in_chunks(met: DataFrame, tile_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(key, at, chunk) of met and (at, chunk), where a chunk has about tile_rows of a group's queries."""
+    chunks = met.groupBy(F.col("at").alias("k")).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("chunks"))
+    dealt = met.join(chunks, F.col("at") == F.col("k")).select("key", "at", F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"))
+    return dealt, chunks.select(F.col("k").alias("at"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+
+
+def opened_groups(met: DataFrame, homes: DataFrame, sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """The rows of met whose query has enough tokens in the group's union to link with any of its members; the other groups stay closed and ship nothing."""
+    queries, chunks = in_chunks(met, tile_rows)
+    tokens = sets.select(F.col("key").alias("k"), "tokens")
+    task = F.concat_ws("/", "at", "chunk").alias("task")
+    asked_ = queries.join(tokens, F.col("key") == F.col("k")).select(task, "at", "key", "tokens", F.lit(None).cast("binary").alias("union"))
+    unions = chunks.join(homes.where("key is null").select("group", "union"), F.col("at") == F.col("group")).select(task, "at", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("array<bigint>").alias("tokens"), "union")
+
+    def bound(rows: pa.Table) -> pa.Table:
+        held = unpack_sorted(next(u for u in rows.column("union").to_pylist() if u is not None))
+        own = rows.filter(pc.is_valid(rows.column("key")))
+        lists = own.column("tokens").combine_chunks()
+        flat, ends = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+        at = np.minimum(np.searchsorted(held, flat), max(0, len(held) - 1))
+        common = np.append(0, np.cumsum(held[at] == flat if len(held) else np.zeros(len(flat), bool)))
+        keep = (common[ends[1:]] - common[ends[:-1]]) * 100 >= percent * np.diff(ends)
+        tidy()
+        return own.select(["key", "at"]).filter(pa.array(keep))
+
+    return asked_.unionByName(unions).groupBy("task").applyInArrow(bound, "key binary, at string")
+
+
+def open_groups(opened: DataFrame, placed: DataFrame, sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """a, b: a spanning forest of the links between queries and the members of the groups that they open."""
+    queries, chunks = in_chunks(opened, tile_rows)
+    members = chunks.join(placed.where(~F.col("guest")).select("key", "group"), F.col("at") == F.col("group")).select("key", "at", "chunk", F.lit(False).alias("query"))
+    both = members.unionByName(queries.select("key", "at", "chunk", F.lit(True).alias("query")))
+    dealt = both.join(sets.select(F.col("key").alias("k"), "tokens"), F.col("key") == F.col("k")).select(F.concat_ws("/", "at", "chunk").alias("task"), "query", "key", "tokens")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        query = rows.column("query").to_numpy(zero_copy_only=False)
+        keys = rows.column("key").to_pylist()
+        label = np.arange(len(keys))
+        links_within(rows.column("tokens").combine_chunks(), np.flatnonzero(~query), np.flatnonzero(query), np.arange(len(keys)), label, percent)
         moved = np.flatnonzero(label != np.arange(len(keys)))
         tidy()
         return pa.table({"a": pa.array([keys[i] for i in moved], pa.binary()), "b": pa.array([keys[i] for i in label[moved]], pa.binary())})
 
-    return dealt.groupBy("task").applyInArrow(compare, "a binary, b binary").where("a != b")
+    return dealt.groupBy("task").applyInArrow(compare, "a binary, b binary")
+
+
+def class_links(sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """a, b: a spanning forest of the links between classes. sets: key, n, tokens."""
+    placed = grouped_sets(sets, percent, tile_rows)
+    homes = cut(compared_groups(placed, sets, percent))
+    opened = cut(opened_groups(asked_groups(placed, homes), homes, sets, percent, tile_rows))
+    inner = homes.where("key is not null").select(F.col("key").alias("a"), F.col("label").alias("b"))
+    return inner.unionByName(open_groups(opened, placed, sets, percent, tile_rows)).where("a != b")
 
 
 def shingle_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -270,7 +352,7 @@ def shingle_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = cut(classes_that_may_link(docs, words, percent))
     classes = rows.where("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("may").alias("may"))
     sets = cut(sets_of(docs, classes.where("may").select("id", "key"), words))
-    nodes = connected_components(join_tasks(sets, percent))
+    nodes = connected_components(class_links(sets, percent))
     known = classes.join(nodes, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("component", "key").alias("component"))
     least = known.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("component_id"))
     known = known.join(least, F.col("component") == F.col("c")).select(F.col("key").alias("k"), "component_id", "component")

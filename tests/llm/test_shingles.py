@@ -58,7 +58,7 @@ def corpus():
 
 @pytest.mark.parametrize(("words", "percent", "tile"), [(4, 85, 1024), (5, 80, 7), (1, 50, 16)])
 def test_same_as_all_pairs(spark, monkeypatch, words, percent, tile):
-    monkeypatch.setattr(shingle_join.join_tasks, "__defaults__", (tile,))
+    monkeypatch.setattr(shingle_join.class_links, "__defaults__", (tile,))
     monkeypatch.setattr(shingle_join, "BROADCAST_IDS", 0 if tile == 7 else 10**6)
     texts = corpus()
     ids = list(range(len(texts)))
@@ -71,6 +71,40 @@ def test_same_as_all_pairs(spark, monkeypatch, words, percent, tile):
     assert [g[2] for g in got if g[0] is None] == [None]
 
 
+def steps(spark, texts, tile, words=4, percent=85):
+    """Candidates and opened ones of the join, and its links."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    rows = shingle_join.classes_that_may_link(docs, words, percent)
+    sets = shingle_join.cut(shingle_join.sets_of(docs, rows.where("may").groupBy("key").agg({"id": "min"}).toDF("key", "id"), words))
+    placed = shingle_join.grouped_sets(sets, percent, tile)
+    homes = shingle_join.cut(shingle_join.compared_groups(placed, sets, percent))
+    asked = shingle_join.asked_groups(placed, homes)
+    opened = shingle_join.cut(shingle_join.opened_groups(asked, homes, sets, percent, tile))
+    return placed, homes, asked.count(), opened.count(), shingle_join.open_groups(opened, placed, sets, percent, tile).count()
+
+
+def test_groups_open_and_stay_closed(spark):
+    """Neighbouring families share a rare passage, which makes candidates, but too few tokens to link."""
+    texts, rare = [], [" ".join(RNG.choices(WORDS, k=9)) for _ in range(31)]
+    for k in range(30):
+        base = RNG.choices(WORDS, k=160)
+        texts += [edited(base, 1) for _ in range(5)] + [f"{' '.join(base)} {rare[k]}", f"{' '.join(base)} {rare[k + 1]}"]
+    _, _, asked, opened, links = steps(spark, texts, 1024)
+    assert 0 < links and 0 < opened < asked
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(map(tuple, shingle_join.shingle_components(df).collect()), key=str)
+    assert got == brute(list(enumerate(texts)), 4, 85)
+
+
+def test_tiles_of_a_large_group_of_near_copies_are_not_asked(spark):
+    base = RNG.choices(WORDS, k=300)
+    texts = list(dict.fromkeys(edited(base, RNG.randint(0, 3)) for _ in range(150)))
+    placed, homes, asked, _, _ = steps(spark, texts, 10)
+    groups, classes = homes.where("key is null").count(), homes.where("key is not null").count()
+    assert groups > 5 and asked < classes  # not the square of the tiles
+    assert placed.where("guest").count() > 0
+
+
 def test_threshold_is_met_exactly(spark):
     base = [f"w{i}" for i in range(40)]
     a, b = " ".join(base), " ".join([*base[:37], "x", "y", "z"])
