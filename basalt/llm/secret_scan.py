@@ -1,13 +1,16 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for what they miss.
 
 The patterns (assign, access, hex) are a base that always stays. The method adds candidates that
-stand in a sensitive context: an unbroken run of key-like characters with a letter, shortly after a
-word that names a credential. A candidate's novelty is its marginal size: the bytes that zstandard needs for it
+stand in a sensitive context: an unbroken run of key-like characters with a letter, after a word that names a credential on
+its own line or the line before. A candidate's novelty is its marginal size: the bytes that zstandard needs for it
 once it has seen, as a dictionary, common identifiers of code and the text around the candidate. Words,
 identifiers and repeats of the surroundings cost little; random material costs most of what its symbols need.
 A lone word is too short for the coder to save on. So candidates of letters with a digit at most must also be unlike words: their
 letters follow each other as they rarely do in the identifiers and the text around.
 
+A run that base spans cover in part is measured as a whole, and so is what they leave of it; where either is novel the whole run is a span. What
+surrounds a candidate is `around` characters on each side, which a caller may set.
+
 Texts are scanned whole, row by row: no shuffle, no driver state. Defined results: a null text is the
 empty text; a text without spans gives an empty list; repeated rows give repeated results; ties (spans
 that begin together) are ordered by kind as in KINDS; an empty table gives an empty table; extra columns
@@ -40,8 +43,10 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 SIEVE = {"assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}", "novel": r"(?i)(passw|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer|signature)"}
 CONTEXT = re.compile(r"passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer|signature", re.ASCII | re.IGNORECASE)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Characters after a sensitive word in which a candidate may begin, and those around it that prime the coder.
-REACH, AROUND = 48, 400
+#: Where the context of a sensitive word ends: at the end of the line after its own.
+CONTEXT_END = re.compile(r"\n[^\n]*(?=\n)|\Z")
+#: Characters on each side of a candidate that are its surroundings.
+AROUND = 400
 #: Marginal bytes for each byte that the candidate costs without a dictionary, at least.
 NOVEL = 0.7
 #: Sets of symbols that keys are drawn from (in lower case), and the share of their entropy that a long candidate costs at least.
@@ -121,31 +126,51 @@ def pair_bits(candidate: str, before: str, after: str) -> float:
     return sum(-n * math.log2((known[p] + 0.3) / (heads[p[0]] + 0.3 * 28)) for p, n in own.items()) / max(1, own.total())
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = NOVEL) -> list[tuple[int, int, str]]:
-    """Incompressible key-like strings in a sensitive context that no span of `taken` touches."""
-    out, done = [], 0
+def in_context(text: str) -> Iterator[tuple[int, int]]:
+    """Key-like runs after sensitive words, up to the end of the next line, each once."""
+    stretches: list[list[int]] = []
     for word in CONTEXT.finditer(text):
-        at = max(word.end(), done)
-        while (m := CANDIDATE.search(text, at, min(len(text), word.end() + REACH + 16))) and m.start() <= word.end() + REACH:
-            m = CANDIDATE.match(text, m.start())  # the whole run, beyond the reach
-            start, end = m.span()
-            at = done = end
-            if start and text[start - 1] in "+/_=-" or any(s < end and start < e for s, e, _ in taken):
-                continue
-            own, around = m[0], (text[max(0, start - AROUND) : start], text[end : end + AROUND])
-            digits, letters = sum(c.isdigit() for c in own), sum(c.isalpha() for c in own)
-            if letters and is_novel(own, *around, least) and (digits >= 2 or pair_bits(own, *around) >= UNLIKE):
-                out.append((start, end, "novel"))
+        if stretches and word.start() <= stretches[-1][1]:
+            if word.end() > text.rfind("\n", 0, stretches[-1][1]):  # on the stretch's last line
+                stretches[-1][1] = CONTEXT_END.search(text, word.end()).end()
+        else:
+            stretches.append([word.end(), CONTEXT_END.search(text, word.end()).end()])
+    for at, end in stretches:
+        for m in CANDIDATE.finditer(text, at, end):
+            yield m.span()
+
+
+def is_secret(own: str, before: str, after: str, least: float) -> bool:
+    digits, letters = sum(c.isdigit() for c in own), sum(c.isalpha() for c in own)
+    return letters > 0 and is_novel(own, before, after, least) and (digits >= 2 or pair_bits(own, before, after) >= UNLIKE)
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = NOVEL, around: int = AROUND) -> list[tuple[int, int, str]]:
+    """Incompressible key-like strings in a sensitive context that no span of `taken` covers."""
+    out = []
+    for start, end in in_context(text):
+        if start and text[start - 1] in "+/_=-":
+            continue
+        covered, left, at = False, [], start
+        for s, e, _ in taken:  # by start
+            if s < end and start < e:
+                covered |= s <= start and end <= e
+                left.append((at, s))
+                at = max(at, e)
+        left += [(at, end), *((w.end(), end) for w in CONTEXT.finditer(text, start, end))]  # what base spans leave, and what follows a sensitive word
+        parts = [(start, end), *((s, e) for s, e in left if 16 <= e - s < end - start)]
+        if not covered and any(is_secret(text[s:e], text[max(0, s - around) : s], text[e : e + around], least) for s, e in parts):
+            out.append((start, end, "novel"))
     return out
 
 
-def find_secrets(text: str, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int, str]]:
+def find_secrets(text: str, kinds: tuple[str, ...] = KINDS, around: int = AROUND) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans, code points with the end exclusive, by start and then kind."""
     base = base_spans(text, tuple(k for k in kinds if k != "novel"))
-    return sorted(base + (novel_spans(text, base) if "novel" in kinds else []), key=lambda s: (s[0], KINDS.index(s[2])))
+    return sorted(base + (novel_spans(text, base, around=around) if "novel" in kinds else []), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = AROUND) -> DataFrame:
     """id, spans array<struct<start, end, kind>> for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +181,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             hits = {k: pc.match_substring_regex(texts, p).to_numpy(zero_copy_only=False) for k, p in SIEVE.items()}
             for i in (hits["assign"] | hits["access"] | hits["hex"] | hits["novel"]).nonzero()[0]:
                 kinds = tuple(k for k in KINDS if hits[k][i])
-                spans[i] = [{"start": s, "end": e, "kind": k} for s, e, k in find_secrets(texts[i].as_py().decode(), kinds)]
+                spans[i] = [{"start": s, "end": e, "kind": k} for s, e, k in find_secrets(texts[i].as_py().decode(), kinds, around)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(spans, kind_type)], names=["id", "spans"])
 
     source = pick(df, id=id_col, text=text_col)

@@ -47,6 +47,69 @@ def test_novelty_finds_random_keys_only():
     assert secret_scan.novel_spans(f"{KEY} bearer {KEY} x", []) == []  # seen before
 
 
+def test_a_secret_that_base_spans_touch_is_found_whole():
+    run = "Xy9+Kq3ZpLmN8vT2deadbeefdeadbeef00QwErTy77UiOpAsDf"
+    text = f"authorization: bearer {run} and more"
+    assert secret_scan.find_secrets(text) == [(22, 22 + len(run), "novel"), (37, 56, "hex")]
+    assert secret_scan.redact(text, [{"start": s, "end": e} for s, e, _ in secret_scan.find_secrets(text)]) == "authorization: bearer [secret] and more"
+    for text in (f"token {KEY[:12]}AKIA{'A1' * 8}/{KEY[12:]}", f"bearer 0123456789abcdef{KEY}"):
+        at = text.index(" ") + 1
+        assert (at, len(text), "novel") in secret_scan.find_secrets(text)
+    assert secret_scan.find_secrets(f"password={KEY}") == [(0, 9 + len(KEY), "assign")]  # covered by a base span
+    assert secret_scan.find_secrets("bearer 0123456789abcdef") == [(7, 23, "hex")]
+
+
+@pytest.mark.parametrize("gap", [1, 48, 49, 400, 5000])
+def test_keys_at_any_distance_on_a_line_or_the_next(gap):
+    between = " ".join(["words"] * (gap // 6 + 1))
+    for text in (f"the credential {between} {KEY}", f"bearer {between}\n{between} {KEY}\nmore", f"token\nsecret\n{KEY}"):
+        assert (text.index(KEY), text.index(KEY) + len(KEY), "novel") in secret_scan.find_secrets(text)
+    assert secret_scan.find_secrets(f"bearer {between}\n{between}\n{KEY}") == []  # two lines on
+
+
+def test_words_inside_a_run(spark):
+    assert [s for s in secret_scan.find_secrets(f"bearer x secret_{KEY[:16]} y") if s[2] == "novel"] == [(9, 32, "novel")]
+
+
+def independent(text, around=400):
+    """What the method says, restated: every run after a sensitive word on its line or the next that zstandard can't shorten."""
+    import zstandard
+
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        lines = text[: m.start()].split("\n")[-2:]
+        if not re.search(secret_scan.CONTEXT.pattern, "\n".join(lines), re.I) or sum(c.isdigit() for c in m[0]) < 2 or not re.search("[A-Za-z]", m[0]):
+            continue
+        primer = (secret_scan.IDENTIFIERS + "\n" + text[m.end() : m.end() + around] + "\n" + text[max(0, m.start() - around) : m.start()]).lower().encode()
+        coder = zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(primer, zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        if len(coder.compress(m[0].lower().encode())) - len(coder.compress(b"")) >= 0.7 * len(m[0]):
+            out.append(m.span())
+    return out
+
+
+def test_novel_spans_of_a_table(spark):
+    rng = random.Random(21)
+    words = [w for w in secret_scan.IDENTIFIERS.split() if w.isalpha()]
+    texts = []
+    for _ in range(150):
+        parts = rng.choices(words, k=30)
+        for _ in range(rng.randint(0, 3)):
+            kind = rng.randrange(4)
+            key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.choice([16, 20, 32])))
+            parts.insert(rng.randrange(len(parts)), (f"bearer {key}", key, f"credential\n{key}", "_".join(rng.choices(words, k=4)))[kind])
+        texts.append(" ".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = {r.id: [(s.start, s.end) for s in r.spans if s.kind == "novel"] for r in secret_scan.scan_secrets(df).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        base = [(s, e) for s, e, _ in secret_scan.base_spans(t)]
+        many = lambda s: sum(c.isdigit() for c in t[s[0] : s[1]]) >= 2  # noqa: B023, E731
+        want = [s for s in independent(t) if not any(a <= s[0] and s[1] <= e for a, e in base) and (s[0] == 0 or t[s[0] - 1] not in "+/_=-")]
+        assert [s for s in got[i] if many(s)] == want
+        found += len(want)
+    assert found > 50
+
+
 @pytest.mark.parametrize("length", [32, 64, 96, 128, 400, 800, 1200, 3000, 5000])
 @pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "0123456789abcdefABCDEF", string.ascii_uppercase + "234567", string.ascii_lowercase + "234567", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "+/"])
 def test_random_keys_of_any_length_are_novel(alphabet, length):
