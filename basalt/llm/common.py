@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -49,6 +50,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 #: Rows in a batch that goes to Python: texts are long, and the JVM and the worker hold a batch or two each.
 BATCH_ROWS = "1000"
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import as_binary, pick, sliced, table
+from basalt.llm.common import as_binary, new_path, pick, sliced, table
 
 STRIDE = 64
 TILE = 32
@@ -52,31 +52,42 @@ def encode_bmp(samples: np.ndarray) -> bytes:
 
 def decode_netpbm(data: bytes) -> np.ndarray:
     kind = data[:2]
+    if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
+        raise ValueError("not Netpbm")
     fields, at = [], 2
     for _ in range(2 if kind in (b"P1", b"P4") else 3):
-        m = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*(\d+)").match(data, at)
+        m = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*(\d{1,9})(?!\d)").match(data, at)
         if not m:
             raise ValueError("broken Netpbm header")
         fields.append(int(m[1]))
         at = m.end()
     w, h = fields[:2]
     top = fields[2] if len(fields) > 2 else 1
+    if not 0 < top < 65536:
+        raise ValueError("maxval out of range")
     depth = 3 if kind in (b"P3", b"P6") else 1
     n = w * h * depth
+    row = -(-w // 8)
+    wide = 1 if top < 256 else 2
+    if kind in (b"P4", b"P5", b"P6"):
+        if not data[at : at + 1].isspace():
+            raise ValueError("broken Netpbm header")
+        at += 1
+    if len(data) - at < (row * h if kind == b"P4" else n * wide if kind in (b"P5", b"P6") else n):
+        raise ValueError("short Netpbm image")
     if kind in (b"P1", b"P2", b"P3"):
         body = re.sub(rb"#[^\n\r]*", b"", data[at:])
         digits = re.findall(rb"[01]" if kind == b"P1" else rb"\d+", body)[:n]
-        flat = np.array(digits, dtype=object).astype(np.int64)
+        if len(digits) < n or any(len(d) > 9 for d in digits):
+            raise ValueError("short or broken Netpbm image")
+        flat = np.array([int(d) for d in digits], np.int64)
     elif kind == b"P4":
-        row = -(-w // 8)
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, row * h, at + 1).reshape(h, row), axis=1)
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, row * h, at).reshape(h, row), axis=1)
         flat = bits[:, :w].reshape(-1).astype(np.int64)
-    elif kind in (b"P5", b"P6"):
-        flat = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, at + 1)
     else:
-        raise ValueError("not Netpbm")
-    if len(flat) != n:
-        raise ValueError("short Netpbm image")
+        flat = np.frombuffer(data, np.uint8 if wide == 1 else ">u2", n, at)
+    if n and int(flat.max()) > top:
+        raise ValueError("sample above maxval")
     if kind in (b"P1", b"P4"):
         flat = 1 - flat  # 1 is black
     if top != 255:
@@ -86,15 +97,23 @@ def decode_netpbm(data: bytes) -> np.ndarray:
 
 def decode_bmp(data: bytes) -> np.ndarray:
     start, head, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed not in (0, 3) or bits not in (8, 24, 32) or packed == 3 and bits != 32:
+    if packed not in (0, 3) or bits not in (8, 24, 32) or packed == 3 and bits != 32 or head < 40 or w < 0:
         raise ValueError("unsupported BMP")
+    if packed == 3 and struct.unpack_from("<III", data, 54) != (0xFF0000, 0xFF00, 0xFF):
+        raise ValueError("unsupported BMP masks")
     rows, row = abs(h), -(-w * bits // 32) * 4
+    if start < 14 + head or len(data) - start < row * rows:
+        raise ValueError("short BMP")
     body = np.frombuffer(data, np.uint8, row * rows, start).reshape(rows, row)
     if h > 0:
         body = body[::-1]
     if bits == 8:
         n = struct.unpack_from("<I", data, 46)[0] or 256
+        if n > 256 or 14 + head + 4 * n > len(data):
+            raise ValueError("broken BMP palette")
         palette = np.frombuffer(data, np.uint8, n * 4, 14 + head).reshape(n, 4)[:, 2::-1]
+        if body[:, :w].size and int(body[:, :w].max()) >= n:
+            raise ValueError("sample beyond the BMP palette")
         return palette[body[:, :w]]
     return np.ascontiguousarray(body[:, : w * bits // 8].reshape(rows, w, bits // 8)[:, :, 2::-1])
 
@@ -202,8 +221,10 @@ def write_tiles(columns: DataFrame, path: str) -> None:
 
 
 def op1_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Every whole text stored as an image, read back from the stored bytes and described."""
-    stored = store_texts(table(spark, sf_dir, "documents"))
+    """Every whole text stored as an image in a table of the shared folder, read back from there and described."""
+    path = new_path(spark, "media")
+    store_texts(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.parquet(path)
     keyed = stored.select(F.struct("id", "n_bytes", F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")).alias("key"), "media")
     seen = media_columns(keyed, "key", "media")
     return seen.select(

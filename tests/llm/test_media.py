@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from struct import error as struct_error
 
 import numpy as np
 import pytest
@@ -77,3 +78,32 @@ def test_columns_and_tiles(spark, tmp_path):
     media.write_tiles(df, str(tmp_path / "tiles"))
     assert [tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "tiles")).collect()] == [(1, "1.npy")]
     assert media.media_columns(spark.createDataFrame([], "id int, media binary")).count() == 0
+
+
+def test_broken_images_are_nulls(spark):
+    import struct
+
+    head = struct.pack("<2sIHHI", b"BM", 0, 0, 0, 62) + struct.pack("<IiiHHIIiiII", 40, 2, -1, 1, 8, 0, 0, 0, 0, 2, 0)
+    palette = head + bytes([1, 2, 3, 0, 4, 5, 6, 0]) + bytes([0, 7, 0, 0])
+    huge = [b"P%d\n%s %s\n255\n1 2 3" % (k, n, n) for k in range(1, 7) for n in (b"99999999999999999999", b"999999999", b"4000000000")]
+    top = [b"P2 1 1 255 300", b"P2 1 1 0 0", b"P5 1 1 0\n\0", b"P5 1 1 70000\n\0\0", b"P2 1 1 255 99999999999999999999", b"P5 1 1 10\n\xff", b"P5 1 1 300\n\xff\xff"]
+    rows = list(enumerate([palette, *huge, *top, b"BM", b"P5", b"P5 1 1 255"]))
+    got = media.media_columns(spark.createDataFrame(rows, "id int, media binary")).where("tile is not null").collect()
+    assert got == []
+
+
+def test_damaged_images_never_fail():
+    rng = np.random.default_rng(8)
+    rgb, dot = rng.integers(0, 256, (5, 7, 3), np.uint8), rng.integers(0, 256, (6, 5), np.uint8)
+    whole = [media.encode_bmp(rgb), media.encode_ppm(rgb), media.encode_pgm(dot), b"P1 3 2 1 0 1 0 1 0", b"P2\n2 2\n10\n0 10 3 4", b"P3 1 1 255 1 2 3", b"P4\n3 1\n\xa0"]
+    for data in whole:
+        for _ in range(1500):
+            bad = bytearray(data)
+            for at in rng.integers(0, len(bad), rng.integers(1, 4)):
+                bad[at] ^= 1 << int(rng.integers(0, 8))
+            bad = bytes(bad[: rng.integers(0, len(bad) + 1)]) if rng.random() < 0.5 else bytes(bad)
+            try:
+                image = media.decode_image(bad)
+                assert image.dtype == np.uint8
+            except (ValueError, struct_error):
+                pass
