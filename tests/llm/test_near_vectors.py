@@ -50,16 +50,53 @@ def clusters(n, dim, seed, decay=1.0):
 @pytest.mark.parametrize(("dim", "decay", "tile"), [(16, 1.0, 8192), (16, 1.0, 40), (12, 0.6, 30), (1, 1.0, 50), (3, 1.0, 25)])
 def test_same_as_all_pairs(spark, monkeypatch, dim, decay, tile):
     monkeypatch.setattr(near_vectors, "TILE_ROWS", tile)
-    monkeypatch.setattr(near_vectors.near_links, "__defaults__", (near_vectors.BLOCKS, tile))
+    monkeypatch.setattr(near_vectors.near_links, "__defaults__", (near_vectors.AXES, tile))
     rows = [(i * 3 % 1000, v.tolist()) for i, v in enumerate(clusters(240, dim, dim, decay))]
     assert run(spark, rows) == brute(rows)
 
 
-def test_grids_part_vectors():
-    rng = np.random.default_rng(0)
-    sample = rng.normal(size=(2000, 8)) * np.array([1, 1, 0.05, 0.05, 0.05, 0.05, 0.05, 0.05])
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    assert any(grid for _, grid, _ in near_vectors.Plan(sample, 0.02).units)
+def uneven(n, seed=0, dim=8):
+    """Vectors that spread along two axes mostly, with near pairs planted at all distances around the threshold."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, dim)) * np.array([1, 1] + [0.02] * (dim - 2))
+    near = base + rng.normal(size=base.shape) * rng.uniform(0, 0.2, (n, 1)) * np.array([1, 1] + [0.02] * (dim - 2))
+    return np.vstack([base, near]).astype(np.float32)
+
+
+def test_grids_part_vectors(spark, monkeypatch):
+    """Every block is joined by its own grid, guests of neighbouring cells included, and pairs that several blocks find count once."""
+    monkeypatch.setattr(near_vectors, "GRIDDED", (4,))
+    vectors = uneven(200)
+    plan = near_vectors.Plan(near_vectors.units_of([v.tobytes() for v in vectors], 8), 0.002)
+    assert len(plan.grids) == len(plan.blocks) > 1
+    units = near_vectors.units_of([v.tobytes() for v in vectors], 8)
+    a = plan.rotated(units)
+    seen = {}
+    for block in range(len(plan.blocks)):
+        cells = plan._cells(a, block, plan.grids[block])
+        for i, j in plan.near(block, units, units, True, 0.999):
+            for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                seen[p, q] = seen.get((p, q), 0) + 1
+                assert np.abs(cells[p] - cells[q]).max() <= 1
+    want = {(p, q) for p in range(400) for q in range(p + 1, 400) if units[p] @ units[q] >= 0.999}
+    assert set(seen) == want and set(seen.values()) == {1} and len(want) > 50
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    assert run(spark, rows, cosine=0.999) == brute(rows, 0.999)
+
+
+def test_blocks_decide(monkeypatch):
+    """Pairs that no block has within its share are never verified, and few others are."""
+    rng = np.random.default_rng(2)
+    units = rng.normal(size=(1500, 64))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    plan = near_vectors.Plan(units, 0.2)
+    assert not plan.grids and max(map(len, plan.blocks)) <= near_vectors.AXES
+    a = plan.rotated(units)
+    for block, own in enumerate(plan.blocks):
+        got = np.concatenate([i * 1500 + j for i, j in plan.candidates(block, a, a)])
+        gap = ((a[:, None, own] - a[None, :, own]) ** 2).sum(axis=2)
+        assert set(np.flatnonzero(gap.reshape(-1) <= plan.shares[block])) <= set(got.tolist())
+        assert len(got) < 0.02 * 1500 * 1500
 
 
 def test_odd_rows(spark):
