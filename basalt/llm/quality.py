@@ -10,18 +10,18 @@ vector of 2^BITS numbers.
 
 Defined results: null and empty texts have no features and get the score of the model's offset; without labels all
 scores are 0.5, with labels of one class all are that class; repeated rows get equal scores; a doc_id labelled twice counts
-with its smallest label; null labels are ignored; a score of just 0.5 is predicted 1; empty tables give empty tables; extra columns are
+with its smallest label, and of several texts of a labelled id one is learned; null labels are ignored; a score of just 0.5 is predicted 1; empty tables give empty tables; extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +30,8 @@ from basalt.llm.common import as_binary, crc32_mod, pick, sliced, table, tidy
 BITS = 18
 ORDERS = (2, 3, 4)
 FIT_ROWS = 4000
-#: Word n-grams count by their repetition: how many words in a row equal the one `back` words before, up to these.
-BACK, MOST_RUN = 3, 16
+#: Of word n-grams up to this order, those that repeat at once count by how often in a row they do, in powers of two.
+BACK = 3
 ROUNDS = 15
 COST = 1.0
 
@@ -63,7 +63,7 @@ class Features:
                 alike = ids[back:] == ids[:-back]
                 if alike.any():
                     run = np.diff(np.flatnonzero(np.concatenate(([False], alike, [False])) != np.concatenate(([False], [False], alike))))[::2].max()
-                    found.append((np.arange(1, min(int(run), MOST_RUN) + 1, dtype=np.uint32) * np.uint32(64) + np.uint32(back)) * np.uint32(2246822519) >> np.uint32(self.shift))
+                    found.append((np.arange(1, int(run).bit_length() + 1, dtype=np.uint32) * np.uint32(64) + np.uint32(back)) * np.uint32(2246822519) >> np.uint32(self.shift))
         if not found:
             return np.zeros(0, np.int32)
         for f in found:
@@ -184,11 +184,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_docs: DataFrame | Non
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
         for batch in sliced(batches, 512):
-            found = [make.of(t) for t in as_binary(batch.column("text")).to_pylist()]
-            order = [zlib.crc32(str(i).encode()) for i in batch.column("id").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["order", "label", "at"])
-
-    rows = picked.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(features, "order bigint, label int, at array<int>").toArrow().sort_by("order")
+            texts = as_binary(batch.column("text")).to_pylist()
+            hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(hashes), pa.array([make.of(t) for t in texts], pa.list_(pa.int32()))], names=["id", "label", "h", "at"])
+
+    kind = picked.schema["id"].dataType.simpleString()
+    made = picked.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(features, f"id {kind}, label int, h bigint, at array<int>")
+    order = F.crc32(F.col("id").cast("string").cast("binary")).alias("order")
+    rows = made.groupBy("id").agg(F.min("label").alias("label"), F.min_by("at", "h").alias("at")).select(order, "label", "at").toArrow().sort_by("order")  # of rows of one id, one
     found = [own.values.to_numpy(zero_copy_only=False) for own in rows.column("at")]
     model, scale = fit(found, rows.column("label").to_pylist())
     del rows, found
