@@ -37,24 +37,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def ranked_sources(per: DataFrame) -> DataFrame:
+    """per with `rank`, a source's place by code point from 0, null last: its place in its partition of one global sort, and the rows of the partitions before."""
+    held = cut(per.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    sizes = held.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("k"))
+    # One row for each partition of the sort, however many sources there are.
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("p", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    ranked = held.join(F.broadcast(starts), part == F.col("p"))
+    return ranked.withColumn("rank", F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "p", "start")
+
+
 def source_targets(counts: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """source, source_size, rows, target from counts of (source, size, n).
 
-    Targets fill like water: level * weight, but never above cap * source_size. The windows without a key run over one row for each source.
+    Targets fill like water: level * weight, but never above cap * source_size. Each round finds the sources that the level fills and shares what they leave among
+    the others, until no more are full; a round is one aggregation to one row. No task sees all sources.
     """
     per = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((rank - 1) % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(cap))
-    order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(whole) * F.lit(share) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    over = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    per = per.withColumn("level", left / over)
-    first = F.min(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.struct(F.col("most") / F.col("weight"), F.col("level").alias("level")))).over(whole)
-    target = F.coalesce(F.least(F.col("most"), first["level"] * F.col("weight")), F.col("most"))
-    return per.select("source", "source_size", "rows", target.alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    per = cut(ranked_sources(per).withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(cap)))
+    level, full = 0.0, -1
+    while True:
+        filled = F.col("most") < F.lit(level) * F.col("weight")
+        of = lambda column, rows: F.coalesce(F.sum(F.when(rows, F.col(column))), F.lit(0.0))
+        total, held, over, now = per.agg(of("source_size", F.lit(True)), of("most", filled), of("weight", ~filled), F.count(F.when(filled, 1))).first()
+        if now <= full or not over:
+            break
+        level, full = (total * share - held) / over, now
+    return per.select("source", "source_size", "rows", F.least(F.col("most"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def tilts(counts: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:

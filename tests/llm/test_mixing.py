@@ -60,6 +60,31 @@ def test_query(spark, tmp_path, monkeypatch, broadcast):
         assert abs(taken[s] - target[s]) <= 0.02 * target[s] + 5, s
 
 
+def test_targets_of_many_sources_are_filled_in_no_single_task(spark):
+    """300 sources, of which many fill up in several rounds; ranks go on over the partitions of the sort."""
+    sizes: dict = {f"{'é' if i % 7 == 0 else 'host'}{i}": 3 ** (i % 13) + i for i in range(300)} | {None: 5, "": 0}
+    counts = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, size bigint, n bigint").repartition(5)
+    made = mixing.source_targets(counts)
+    got = {r.source: r.target for r in made.collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that the sort has several partitions
+    try:
+        ranks = mixing.ranked_sources(counts.select("source")).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.part for r in ranks}) > 1
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    assert [(r.source, r["rank"]) for r in sorted(ranks, key=lambda r: r["rank"])] == [(s, i) for i, s in enumerate(order)]
+
+
+def test_all_sources_full_or_none(spark):
+    counts = spark.createDataFrame([("a", 10, 1), ("b", 20, 2)], "source string, size bigint, n bigint")
+    assert {r.source: r.target for r in mixing.source_targets(counts, share=2.0).collect()} == {"a": 20.0, "b": 80.0}
+    assert {r.source: r.target for r in mixing.source_targets(counts, (1.0, 3.0), share=1.0).collect()} == {"a": 12.5, "b": 37.5}
+    assert mixing.source_targets(counts.limit(0)).count() == 0
+
+
 def test_rates_solve_the_dual(spark):
     rows = [("a", n, 1 + n % 3) for n in range(1, 40)]
     counts = spark.createDataFrame(rows, "source string, size bigint, n bigint")
