@@ -90,11 +90,6 @@ def crc32_mod(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of df: for a file scan, the bytes of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many rows, so that a worker holds few results at once."""
     for batch in batches:
@@ -117,6 +112,5 @@ def as_texts(column: pa.Array) -> list[str]:
 
 
 def text_bytes(df: DataFrame, text: str) -> int:
-    """About how many bytes of text df holds: the optimizer's figure, or counted where it has none."""
-    known = input_bytes(df)
-    return known if known < 1 << 50 else int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
+    """How many bytes of text df holds, counted: files are compressed, so their size says little."""
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])

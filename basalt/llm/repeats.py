@@ -41,6 +41,8 @@ GRAM = 32
 #: Stands for the places of several documents of a block.
 SEVERAL_PLACES = (1 << 32) - 1
 BLOCK_BYTES = 1 << 20
+#: Bytes of text for an anchor, at least: the least hash of 19 changes once in ten bytes.
+ANCHOR_BYTES = 8
 #: Bytes of pieces, repeated ones included, that one index is built for.
 INDEX_BYTES = 1 << 20
 #: A bucket's task holds all rows of an anchor up to so many, some 300 bytes each.
@@ -118,7 +120,7 @@ def shared_anchors(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     size = max(1, text_bytes(docs, "text"))
     bits = min(64, size.bit_length() + 5)
-    buckets = buckets_for(spark, size // 4)
+    buckets = buckets_for(spark, size // ANCHOR_BYTES)
     kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "sizes", "keys", "cells", "places"))])
     id_kind = docs.schema["id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["id"].dataType)
@@ -150,9 +152,12 @@ def shared_anchors(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
             count[first] = np.where(several, often, 1)
             places, of = np.where(shared, SEVERAL_PLACES, places)[asks], np.where(shared, SEVERAL, of)[asks]
             hashes, count = hashes[asks], count[asks]
-            yield asked(kinds, [{"block": number, "bucket": number % buckets, "ids": frame(ids), "sizes": pack(sizes.astype(np.uint64)), "keys": pack(np.frombuffer(keys, np.uint64)), "places": pack(local.astype(np.uint32))}])
-            for bucket, s, e in cut_by_range(hashes, buckets):
-                yield asked(kinds, [{"block": number, "bucket": bucket, "cells": pack_sorted(hashes[s:e] >> np.uint64(64 - bits)), "places": pack(places[s:e].astype(np.uint32)), "sizes": pack(of[s:e].astype(np.uint16)), "keys": pack(count[s:e].astype(np.uint32))}])
+            head = {"block": number, "bucket": number % buckets, "ids": frame(ids), "sizes": pack(sizes.astype(np.uint64)), "keys": pack(np.frombuffer(keys, np.uint64)), "places": pack(local.astype(np.uint32))}
+            parts = [
+                {"block": number, "bucket": bucket, "cells": pack_sorted(hashes[s:e] >> np.uint64(64 - bits)), "places": pack(places[s:e].astype(np.uint32)), "sizes": pack(of[s:e].astype(np.uint16)), "keys": pack(count[s:e].astype(np.uint32))}
+                for bucket, s, e in cut_by_range(hashes, buckets)
+            ]
+            yield asked(kinds, [head, *parts])
 
     def answer(rows: pa.Table) -> pa.Table:
         out = rows.filter(pc.is_valid(rows.column("ids"))).to_pylist()

@@ -39,6 +39,8 @@ from basalt.llm.exchange import buckets_for, cut_by_range, mixed, pack, pack_sor
 from basalt.llm.language_model import frame, unframe, words_of
 
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 60_000
+#: Bytes of text for a shingle, that is for a word, on average at least.
+SHINGLE_BYTES = 5
 #: Stands for several documents of a block.
 SEVERAL = 65_535
 TILE_ROWS = 1024
@@ -120,7 +122,7 @@ def classes_that_may_link(docs: DataFrame, words: int, percent: int) -> DataFram
     spark = docs.sparkSession
     size = max(1, text_bytes(docs, "text"))
     bits = min(64, size.bit_length() + 6)
-    buckets = buckets_for(spark, size // 3)
+    buckets = buckets_for(spark, size // SHINGLE_BYTES)
     kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "sizes", "keys", "cells", "rows"))])
     id_kind = docs.schema["id"].dataType.simpleString()
 
@@ -141,9 +143,9 @@ def classes_that_may_link(docs: DataFrame, words: int, percent: int) -> DataFram
             local = np.bincount(of[np.repeat(several, np.diff(np.append(first, len(values))))], minlength=len(sizes))
             asker = np.where(several, SEVERAL, of[first])
             values = values[first]
-            yield asked(kinds, [{"block": number, "bucket": number % buckets, "ids": frame(ids), "sizes": pack(sizes.astype(np.uint32)), "keys": keys, "rows": pack(local.astype(np.uint32))}])
-            for bucket, s, e in cut_by_range(values, buckets):
-                yield asked(kinds, [{"block": number, "bucket": bucket, "cells": pack_sorted(values[s:e] >> np.uint64(64 - bits)), "rows": pack(asker[s:e].astype(np.uint16))}])
+            head = {"block": number, "bucket": number % buckets, "ids": frame(ids), "sizes": pack(sizes.astype(np.uint32)), "keys": keys, "rows": pack(local.astype(np.uint32))}
+            parts = [{"block": number, "bucket": bucket, "cells": pack_sorted(values[s:e] >> np.uint64(64 - bits)), "rows": pack(asker[s:e].astype(np.uint16))} for bucket, s, e in cut_by_range(values, buckets)]
+            yield asked(kinds, [head, *parts])
 
     def answer(rows: pa.Table) -> pa.Table:
         heads = rows.filter(pc.is_valid(rows.column("ids")))
