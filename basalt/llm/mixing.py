@@ -117,7 +117,7 @@ def tilts(counts: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
 
 
 def with_copies(df: DataFrame, id_col: str, source_col: str, size: Column, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """row (df's row as a struct), size, source_size, target, rate, copies. df is read twice."""
+    """row (df's row as a struct), size, source_size, target, rate, copies. df is read three times."""
     names = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
     at = lambda c: F.col(f"c{names.index(c)}")
