@@ -72,6 +72,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def exchanges_let_go(spark: SparkSession) -> Iterator[None]:
+    """Queries made in here delete the files of their exchanges when they end, not when the driver's garbage happens to be collected. The session's own setting comes back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: What a Python worker holds between the tasks of one operator. Other operators' tasks drop it.
 HELD: dict[str, tuple[int, object]] = {}
 

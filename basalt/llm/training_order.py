@@ -5,9 +5,10 @@ permutation over the least even number of bits that holds their number, walked o
 a bijection that needs no table, can be inverted, and is the same at every rerun. Slots are dealt to partitions by range, and each partition
 holds whole shards of `per_shard` records in their order.
 
-`write_records` keeps them as a compressed table, of which a reader that starts at a slot skips the row groups before it. `write_shards` makes a file
-of fixed stride of each shard, on any store that Spark writes to: a record is 4 bytes for the number of ids, the ids, zero-filled, and a line end. Record r of
-shard s is slot s * per_shard + r, at byte r * stride of its file, whose name follows from s; `ShardReader` seeks there.
+`write_shards` makes a file of fixed stride of each shard, on any store that Spark writes to: a record is 4 bytes for the number of ids, the ids, zero-filled, and a line end.
+Record r of shard s is slot s * per_shard + r, at byte r * stride of its file, whose name follows from s; `ShardReader` seeks there, `read_shards` reads all files on the
+executors. Shards are held compressed, a row for each, until files and index are written; exchanges are let go before. `write_records` keeps records as a compressed table
+instead, of which a reader that starts at a slot skips the row groups before it.
 
 The only aggregate that is gathered is the number of sequences; offsets of the dense numbers come from buckets of documents
 by the hash of their id and ids, of about `BUCKET_ROWS` rows each. Ids travel compressed.
@@ -19,6 +20,7 @@ are ordered by their ids' digest; null document ids are kept; an empty table giv
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.common import as_binary, new_path, pick, sliced, table
+from basalt.llm.common import as_binary, cut, exchanges_let_go, new_path, pick, sliced, table
 from basalt.llm.exchange import mixed
 
 LENGTH = 1024
@@ -100,8 +102,8 @@ def dealt_by_slot(records: DataFrame, total: int, per_shard: int) -> tuple[DataF
     return records.repartitionById(max(1, -(-count // each)), F.floor(F.col("slot") / (per_shard * each)).cast("int")).sortWithinPartitions("slot"), each
 
 
-def sequences(df: DataFrame, id_col: str, ids_col: str, width: int, key: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
-    """id, part, slot, shard, n_tokens, tokens: df's sequences in training order. ids_col: little-endian ids of `width` bytes."""
+def slotted(df: DataFrame, id_col: str, ids_col: str, width: int, key: int = 0, length: int = LENGTH) -> tuple[DataFrame, int]:
+    """id, part, slot, n_tokens, tokens: df's sequences, wherever they are; and how many there are. ids_col: little-endian ids of `width` bytes."""
     source, total = numbered(pick(df, id=id_col, ids=ids_col), length, width)
     kind = source.schema["id"].dataType.simpleString()
     order = Feistel(max(1, total), key)
@@ -121,8 +123,14 @@ def sequences(df: DataFrame, id_col: str, ids_col: str, width: int, key: int = 0
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of, pa.int64())), pa.array(parts, pa.int32()), pa.array(slots, pa.int64()), pa.array(records, pa.binary())], names=["id", "part", "slot", "tokens"])
 
     made = source.mapInArrow(cut_up, f"id {kind}, part int, slot bigint, tokens binary")
+    return made.select("id", "part", "slot", (F.octet_length("tokens") / width).cast("bigint").alias("n_tokens"), "tokens"), total
+
+
+def sequences(df: DataFrame, id_col: str, ids_col: str, width: int, key: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """id, part, slot, shard, n_tokens, tokens: df's sequences in training order. ids_col: little-endian ids of `width` bytes."""
+    made, total = slotted(df, id_col, ids_col, width, key, length)
     dealt, _ = dealt_by_slot(made, total, per_shard)
-    return dealt.select("id", "part", "slot", F.floor(F.col("slot") / per_shard).alias("shard"), (F.octet_length("tokens") / width).cast("bigint").alias("n_tokens"), "tokens")
+    return dealt.select("id", "part", "slot", F.floor(F.col("slot") / per_shard).alias("shard"), "n_tokens", "tokens")
 
 
 def write_records(made: DataFrame, path: str) -> None:
@@ -143,17 +151,57 @@ def _put(spark: SparkSession, path: str, content: str) -> None:
     out.close()
 
 
-def write_shards(made: DataFrame, path: str, width: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> None:
+def packed(dealt: DataFrame, size: int, per_shard: int) -> DataFrame:
+    """shard, the ids and parts of its records, and the records as its file holds them, compressed: a row for each shard. dealt: by dealt_by_slot; size: bytes of a record's ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdCompressor(level=5)
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            while batch.num_rows:
+                own = batch.slice(0, per_shard - sum(x.num_rows for x in held))
+                batch = batch.slice(own.num_rows)
+                held.append(own)
+                if sum(x.num_rows for x in held) == per_shard:
+                    yield whole(held, coder)
+                    held = []
+        if held:
+            yield whole(held, coder)
+
+    def whole(held: list[pa.RecordBatch], coder: zstandard.ZstdCompressor) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        first = t["slot"][0].as_py()
+        if first % per_shard or not np.array_equal(t["slot"].to_numpy(), np.arange(first, first + t.num_rows)):
+            raise ValueError(f"slots from {first} on are not a shard: each must be there once")
+        lines = [n.to_bytes(4, "little") + ids.ljust(size, b"\0") for n, ids in zip(t["n_tokens"].to_pylist(), t["tokens"].to_pylist(), strict=True)]
+        if any(len(x) != 4 + size for x in lines):
+            raise ValueError(f"a sequence has more than {size} bytes of ids")
+        lists = [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t[c].combine_chunks()) for c in ("id", "part")]
+        return pa.RecordBatch.from_arrays([pa.array([first // per_shard], pa.int64()), *lists, pa.array([coder.compress(b"\n".join(lines))], pa.binary())], names=["shard", "ids", "parts", "records"])
+
+    kind = dealt.schema["id"].dataType.simpleString()
+    return dealt.select("id", "part", "slot", "n_tokens", "tokens").mapInArrow(run, f"shard bigint, ids array<{kind}>, parts array<int>, records binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    coder = zstandard.ZstdDecompressor()
+    for batch in sliced(batches, 1):
+        yield pa.RecordBatch.from_arrays([pa.array([coder.decompress(x) for x in batch.column("records").to_pylist()], pa.binary())], names=["records"])
+
+
+def write_shards(made: DataFrame, path: str, width: int, length: int = LENGTH, per_shard: int = PER_SHARD, total: int | None = None) -> None:
     """A file of fixed stride for each shard of sequences, under path/records, what record holds which part of which document in path/index, and the
-    figures that a reader needs in path/meta.json. Spark's committer makes each of the two whole or not at all. made is read three times."""
+    figures that a reader needs in path/meta.json, written last. Spark's committer makes each of the two whole or not at all.
+    made: slotted's or sequences' rows, computed once; total: how many there are, without which made is computed once more to count them."""
     spark = made.sparkSession
-    total = made.count()
-    dealt, each = dealt_by_slot(made, total, per_shard)
-    size = F.col("n_tokens").cast("int")
-    head = F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(size, 8 * k).bitwiseAND(F.lit(255))), 2, "0")) for k in range(4)])
-    record = F.rpad(F.concat(head, "tokens"), F.lit(4 + length * width), F.lit(b"\0"))
-    dealt.select(record.cast("string").alias("record")).write.option("lineSep", "\n").option("maxRecordsPerFile", per_shard).mode("errorifexists").text(f"{path}/records")
-    made.select("slot", "id", "part").write.mode("errorifexists").parquet(f"{path}/index")
+    total = made.count() if total is None else total
+    with exchanges_let_go(spark):
+        dealt, each = dealt_by_slot(made, total, per_shard)
+        held = cut(packed(dealt, length * width, per_shard))
+    index = held.select("shard", F.posexplode(F.arrays_zip("ids", "parts")).alias("record", "of"))
+    index.select((F.col("shard") * per_shard + F.col("record")).alias("slot"), F.col("of.ids").alias("id"), F.col("of.parts").alias("part")).write.mode("errorifexists").parquet(f"{path}/index")
+    shards = held.select("records").mapInArrow(unpacked, "records binary").select(F.col("records").cast("string"))
+    shards.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).mode("errorifexists").text(f"{path}/records")
     _put(spark, f"{path}/meta.json", json.dumps({"total": total, "width": width, "length": length, "per_shard": per_shard, "shards_each": each, "stride": 5 + length * width}))
 
 
@@ -196,11 +244,37 @@ class ShardReader:
             slot += n
 
 
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """slot, shard, byte_offset, n_tokens, tokens of all records, from the shards' files, each read whole by a task."""
+    meta = ShardReader(spark, path).meta
+    total, width, per_shard, each, stride = (meta[k] for k in ("total", "width", "per_shard", "shards_each", "stride"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            (name,), (data,) = batch.column("path").to_pylist(), batch.column("content").to_pylist()
+            part, nth = map(int, re.search(r"part-(\d+)-[^/]*-c(\d+)\.txt$", name).groups())
+            shard = part * each + nth
+            n = max(0, min(per_shard, total - shard * per_shard))
+            if len(data) != n * stride:
+                raise ValueError(f"{name} has {len(data)} bytes, its {n} records have {n * stride}")
+            starts = np.arange(n, dtype=np.int64) * stride
+            counts = [int.from_bytes(data[s : s + 4], "little") for s in starts.tolist()]
+            tokens = [data[s + 4 : s + 4 + c * width] for s, c in zip(starts.tolist(), counts, strict=True)]
+            slots = np.arange(n, dtype=np.int64) + shard * per_shard
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.full(n, shard, np.int64)), pa.array(starts), pa.array(counts, pa.int64()), pa.array(tokens, pa.binary())], names=["slot", "shard", "byte_offset", "n_tokens", "tokens"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.txt").load(f"{path}/records").select("path", "content")
+    if (there := len(files._jdf.inputFiles())) < (count := -(-total // per_shard)):
+        raise ValueError(f"{path}/records has {there} of {count} shards")
+    return files.mapInArrow(run, "slot bigint, shard bigint, byte_offset bigint, n_tokens bigint, tokens binary")
+
+
 def op4_training_order(spark, sf_dir: str) -> DataFrame:
-    """Every whole text's bytes, as ids of a byte vocabulary, in records by slot in the shared folder, each read back from there."""
+    """Every whole text's bytes, as ids of a byte vocabulary, in shards of fixed stride in the shared folder, each record read back from its byte there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("ids"))
-    path = new_path(spark, "records")
-    write_records(sequences(docs, "doc_id", "ids", width=1, key=20240607), path)
-    back = read_records(spark, path)
-    offset = (F.col("slot") % PER_SHARD * (5 + LENGTH)).alias("byte_offset")
-    return back.select(F.col("id").alias("doc_id"), "part", "slot", "shard", offset, "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
+    path = new_path(spark, "shards")
+    made, total = slotted(docs, "doc_id", "ids", width=1, key=20240607)
+    write_shards(made, path, width=1, total=total)
+    back = read_shards(spark, path).select("slot", "shard", "byte_offset", "n_tokens", F.unhex(F.sha2("tokens", 256)).alias("digest"))
+    index = spark.read.parquet(f"{path}/index")
+    return back.join(index, "slot").select(F.col("id").alias("doc_id"), "part", "slot", "shard", "byte_offset", "n_tokens", F.lower(F.hex("digest")).alias("tokens_sha256"))

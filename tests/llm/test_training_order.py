@@ -102,3 +102,53 @@ def test_query(spark):
             assert (r.n_tokens, r.tokens_sha256, r.shard, r.byte_offset) == (len(own), hashlib.sha256(own).hexdigest(), r.slot // 2048, r.slot % 2048 * 1029)
             want += 1
     assert want == len(got)
+
+
+def test_query_reads_the_files_of_fixed_stride_that_it_writes(spark, monkeypatch):
+    paths = []
+    made_path = to.new_path
+    monkeypatch.setattr(to, "new_path", lambda *a: paths.append(made_path(*a)) or paths[-1])
+    got = {r.slot: r for r in to.op4_training_order(spark, "/root/testdata/sf0.01").collect()}
+    reader = to.ShardReader(spark, paths[0])
+    assert reader.meta["total"] == len(got) > 2048 and reader.meta["stride"] == 1029
+    for slot, ids in reader.read(0, 10**6):
+        assert (got[slot].n_tokens, got[slot].tokens_sha256) == (len(ids), hashlib.sha256(ids).hexdigest())
+    assert all(reader.place(s)[1] == got[s].byte_offset for s in (0, 5, 2047, 2048, len(got) - 1))
+
+
+def test_shards_are_read_on_the_executors(spark, tmp_path):
+    """Also from a table whose rows lie anywhere; it is computed once."""
+    df = spark.createDataFrame(rows(), "doc_id bigint, ids binary").repartition(3)
+    made, total = to.slotted(df, "doc_id", "ids", width=1, key=5, length=64)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    path = str(tmp_path / "shards")
+    to.write_shards(made.mapInArrow(count, made.schema), path, width=1, length=64, per_shard=50, total=total)
+    assert seen.value == total
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    back = to.read_shards(spark, path).join(spark.read.parquet(path + "/index"), "slot").collect()
+    assert sorted(((r.id, r.part, bytes(r.tokens)) for r in back), key=str) == brute(1, 64)
+    assert sorted((r.slot, r.shard, r.byte_offset) for r in back) == [(s, s // 50, s % 50 * 69) for s in range(total)]
+    lost = to.ShardReader(spark, path).place(120)[0].removeprefix("file:")
+    with open(lost, "r+b") as f:
+        f.truncate(69)
+    (tmp_path / "shards/records" / ("." + lost.rsplit("/", 1)[1] + ".crc")).unlink()
+    with pytest.raises(Exception, match="has 69 bytes"):
+        to.read_shards(spark, path).collect()
+    (tmp_path / "shards/records" / lost.rsplit("/", 1)[1]).unlink()
+    with pytest.raises(ValueError, match="shards"):
+        to.read_shards(spark, path)
+    with pytest.raises(Exception, match="each must be there once"):
+        to.write_shards(made.where("slot <> 60"), str(tmp_path / "gap"), width=1, length=64, per_shard=50, total=total)
+
+
+def test_shards_of_nothing(spark, tmp_path):
+    df = spark.createDataFrame([], "doc_id string, ids binary")
+    made, total = to.slotted(df, "doc_id", "ids", width=1)
+    to.write_shards(made, str(tmp_path / "shards"), width=1, total=total)
+    assert to.read_shards(spark, str(tmp_path / "shards")).count() == 0 == spark.read.parquet(str(tmp_path / "shards/index")).count()
