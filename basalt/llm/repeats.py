@@ -6,7 +6,8 @@ A byte goes when a 50-byte string over it also starts in a document with a small
 2. Anchors: of the hashes of all 32-byte strings the least of each 50-byte window is an anchor; equal windows have equal
    anchors. Blocks of documents ask buckets which of their anchors occur in other documents too (see exchange.py). A window
    whose anchor, its leftmost least hash, no other document has is no repeat. What is left is short.
-3. Pieces: the windows of one shared anchor are a piece, and pieces go to buckets by the anchor.
+3. Pieces: the windows of one shared anchor are a piece, and pieces go to buckets by the anchor, packed: a task's pieces for a bucket are one message,
+   sorted by anchor, with equal ones stored once.
 4. Index: all pieces of a bucket enter its run-length index (run-compressed Burrows-Wheeler transform with sampled run ends), equal ones as one string of
    their oldest document. The matching statistics of each string are streamed through it, and matches of 50 bytes
    of whose runs a sample belongs to an older document are repeats.
@@ -30,8 +31,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from basalt.llm.common import as_binary, cut, pick, sliced, table, text_bytes, tidy
+from basalt.llm.common import as_binary, cut, exchanges_let_go, pick, sliced, table, text_bytes, tidy
 from basalt.llm.exchange import buckets_for, cut_by_range, mixed, pack, pack_sorted, unpack, unpack_sorted
 from basalt.llm.language_model import frame, unframe
 from basalt.llm.run_index import RunIndex, places_of
@@ -48,10 +50,13 @@ INDEX_BYTES = 1 << 20
 #: A bucket's task holds all rows of an anchor up to so many, some 300 bytes each.
 HOT_ROWS = 200_000
 #: Rows that an index bucket holds on average at most.
-BUCKET_ROWS = 40_000
+BUCKET_ROWS = 200_000
+#: Bytes of pieces that a task packs at once; of hot anchors' pieces, which come back as rows, fewer.
+PACK_BYTES, HOT_PACK_BYTES = 16 << 20, 4 << 20
 #: A table is broadcast up to this size.
 BROADCAST_BYTES = 64 << 20
 ASKED = "block bigint, bucket int, ids binary, sizes binary, keys binary, cells binary, places binary"
+PACKED = "bucket int, ids binary, keys binary, anchors binary, starts binary, new binary, windows binary, bytes binary"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -244,21 +249,87 @@ def pieces_of(texts: list[bytes], shared: list[np.ndarray], least: int) -> tuple
     return text[segment], windows + shift[segment] - starts[text[segment]], counts, found.hashes[owner].view(np.int64), found.places[owner] - windows, bytes_
 
 
-def anchor_pieces(texts: DataFrame, least: int) -> DataFrame:
-    """id, key and the pieces of each text; key only where several texts have the id. texts: id, key, several, text, shared."""
+def piece_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """id, key and the pieces of each text; key only where several texts have the id. batches: id, key, several, text, shared."""
+    for batch in sliced(batches, 256):
+        data = as_binary(batch.column("text")).to_pylist()
+        keys = batch.column("key").to_pylist()
+        own = [i for i, (d, k) in enumerate(zip(data, keys, strict=True)) if digest(d) == k]  # else another text of this id
+        if own:
+            shared = [np.cumsum(unpack(batch.column("shared")[i].as_py(), "u4").astype(np.int64)) for i in own]
+            of, start, windows, anchor, place, bytes_ = pieces_of([data[i] for i in own], shared, least)
+            told = pc.if_else(batch.column("several"), batch.column("key"), pa.scalar(None, batch.column("key").type))
+            yield piece_batch(batch.column("id"), told, np.array(own)[of], start, windows, anchor, place, bytes_)
+
+
+def pack_column(values: pa.Array) -> bytes:
+    """An Arrow column, whole numbers without nulls by byte plane."""
+    if pa.types.is_signed_integer(values.type) and not values.null_count:
+        return b"n" + pack(values.cast(pa.int64()).to_numpy())
+    return b"f" + pack(np.frombuffer(frame(values), np.uint8))
+
+
+def unpack_column(data: bytes, kind: pa.DataType) -> pa.Array:
+    return pa.array(unpack(data[1:], "i8")).cast(kind) if data[:1] == b"n" else unframe(unpack(data[1:], "u1").tobytes())
+
+
+def packed(batches: Iterator[pa.RecordBatch], buckets: int, bits: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Pieces in messages to the buckets of their anchors, of which so many bits are kept; equal pieces of a message are stored once."""
+    kinds = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "keys", "anchors", "starts", "new", "windows", "bytes"))])
+
+    def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        ids, keys, bytes_ = (rows.column(c).combine_chunks() for c in ("id", "key", "bytes"))
+        starts, windows = (rows.column(c).to_numpy().astype(np.uint32) for c in ("start", "windows"))
+        anchors = rows.column("anchor").to_numpy().view(np.uint64)
+        coded = bytes_.dictionary_encode()
+        code = coded.indices.to_numpy()
+        order = np.lexsort((code, anchors))
+        out = []
+        for bucket, s, e in cut_by_range(anchors[order], buckets):
+            at = order[s:e]
+            new = np.append(True, code[at[1:]] != code[at[:-1]])
+            own = keys.take(pa.array(at))
+            text = b"".join(coded.dictionary.take(pa.array(code[at[new]])).to_pylist())
+            message = {"ids": pack_column(ids.take(pa.array(at))), "keys": pack_column(own) if own.null_count < len(own) else None, "anchors": pack_sorted(anchors[at] >> np.uint64(64 - bits))}
+            out.append(message | {"bucket": bucket, "starts": pack(starts[at]), "new": pack(new), "windows": pack(windows[at[new]]), "bytes": pack(np.frombuffer(text, np.uint8), level=3)})
+        return asked(kinds, out)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            full, held, size = [told(held)], [], 0
+            yield from sliced(full, 128)
+    if held:
+        yield from sliced([told(held)], 128)
+
+
+def opened(rows: list[dict], id_type: pa.DataType, least: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """ids, keys, anchors, starts, windows and bytes of the pieces in messages."""
+    ids = [unpack_column(r["ids"], id_type) for r in rows]
+    keys = [unpack_column(r["keys"], pa.binary()) if r["keys"] else pa.nulls(len(i), pa.binary()) for r, i in zip(rows, ids, strict=True)]
+    anchors = np.concatenate([unpack_sorted(r["anchors"]) for r in rows])
+    starts = np.concatenate([unpack(r["starts"], "u4") for r in rows]).astype(np.int64)
+    of = np.cumsum(np.concatenate([unpack(r["new"], "u1") for r in rows]), dtype=np.int64) - 1
+    windows = np.concatenate([unpack(r["windows"], "u4") for r in rows]).astype(np.int64)
+    cuts = np.append(0, np.cumsum(windows + (least - 1))).astype(np.int32)
+    text = b"".join(unpack(r["bytes"], "u1") for r in rows)
+    distinct = pa.Array.from_buffers(pa.binary(), len(windows), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(text)])
+    return pa.concat_arrays(ids), pa.concat_arrays(keys), anchors, starts, windows[of], distinct.take(pa.array(of))
+
+
+def piece_rows(messages: DataFrame, id_kind: DataType, least: int) -> DataFrame:
+    """The pieces in messages, a row for each."""
+    id_type = to_arrow_type(id_kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 256):
-            data = as_binary(batch.column("text")).to_pylist()
-            keys = batch.column("key").to_pylist()
-            own = [i for i, (d, k) in enumerate(zip(data, keys, strict=True)) if digest(d) == k]  # else another text of this id
-            if own:
-                shared = [np.cumsum(unpack(batch.column("shared")[i].as_py(), "u4").astype(np.int64)) for i in own]
-                of, start, windows, anchor, place, bytes_ = pieces_of([data[i] for i in own], shared, least)
-                told = pc.if_else(batch.column("several"), batch.column("key"), pa.scalar(None, batch.column("key").type))
-                yield piece_batch(batch.column("id"), told, np.array(own)[of], start, windows, anchor, place, bytes_)
+        for batch in sliced(batches, 1):
+            ids, keys, anchors, starts, windows, bytes_ = opened(batch.to_pylist(), id_type, least)
+            yield piece_batch(ids, keys, np.arange(len(ids)), starts, windows, anchors.view(np.int64), np.zeros(len(ids), np.int64), bytes_.to_pylist())
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, {PIECES}")
+    return messages.mapInArrow(run, f"id {id_kind.simpleString()}, {PIECES}")
 
 
 def piece_batch(ids: pa.Array, keys: pa.Array, of: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, place: np.ndarray, bytes_: list[bytes]) -> pa.RecordBatch:
@@ -292,21 +363,18 @@ def gone(pieces: DataFrame, least: int) -> DataFrame:
     return pieces.select("id", "key", "start", (F.col("start") + F.col("windows") + (least - 1)).cast("int").alias("end"))
 
 
-def indexed_repeats(pieces: DataFrame, least: int, buckets: int) -> DataFrame:
-    """id, key, start, end of repeats among pieces, by buckets of anchors."""
-    id_kind = pieces.schema["id"].dataType.simpleString()
+def indexed_repeats(messages: DataFrame, id_kind: DataType, least: int) -> DataFrame:
+    """id, key, start, end of repeats among the pieces of each bucket's messages."""
+    id_type = to_arrow_type(id_kind)
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, keys = (rows.column(c).combine_chunks() for c in ("id", "key"))
-        schema = pa.schema([("id", ids.type), ("key", keys.type), ("start", pa.int32()), ("end", pa.int32())])
+        ids, keys, anchors, starts, counts, held = opened(rows.to_pylist(), id_type, least)
+        schema = pa.schema([("id", id_type), ("key", keys.type), ("start", pa.int32()), ("end", pa.int32())])
         ages = pc.rank(ids, tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
-        anchors = rows.column("anchor").to_numpy()
-        starts, counts = (rows.column(c).to_numpy().astype(np.int64) for c in ("start", "windows"))
         order = np.argsort(anchors, kind="stable")
         heads = np.flatnonzero(np.append(True, anchors[order[1:]] != anchors[order[:-1]]))
         low, high = np.minimum.reduceat(ages[order], heads), np.maximum.reduceat(ages[order], heads)
         ends = np.append(heads[1:], len(order))
-        held = rows.column("bytes").combine_chunks()
         size = np.cumsum(pc.binary_length(held).to_numpy()[order])
         found, part, reached = [np.zeros((3, 0), np.int64)], [], 0
         # Anchors don't meet each other, so indices are built for some of them at a time.
@@ -322,8 +390,7 @@ def indexed_repeats(pieces: DataFrame, least: int, buckets: int) -> DataFrame:
         tidy()
         return pa.table([*(c.take(pa.array(at[0], pa.int64())) for c in (ids, keys)), pa.array(at[1], pa.int32()), pa.array(at[2], pa.int32())], schema=schema)
 
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(run, f"id {id_kind}, key binary, start int, end int")
+    return messages.groupBy("bucket").applyInArrow(run, f"id {id_kind.simpleString()}, key binary, start int, end int")
 
 
 def repeats_of(held: pa.Array, rows: np.ndarray, ages: np.ndarray, starts: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
@@ -378,24 +445,26 @@ def repeated_ranges(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     wanted = cut(reps.select(F.col("id").alias("i"), "key", F.col("u").isNotNull().alias("several"), "shared", "anchors"))
     total = wanted.agg(F.coalesce(F.sum("anchors"), F.lit(0))).first()[0]
     texts = docs.join(broadcast_if_small(wanted.drop("anchors"), F.octet_length("shared")), F.col("id") == F.col("i")).select("id", "key", "several", "text", "shared")
-    pieces = anchor_pieces(texts, least)
+    id_kind = docs.schema["id"].dataType
     buckets = max(1, -(-total // BUCKET_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 500)))
     if hot.limit(1).count():
-        pieces = pieces.withColumn("bits", F.shiftrightunsigned("anchor", 64 - bits))
-        many = with_least(pieces.join(hot, F.col("bits") == F.col("cell"), "left_semi").drop("bits"))
+        hot = broadcast_if_small(cut(hot), F.lit(0))
+        pieces = texts.mapInArrow(lambda batches: piece_batches(batches, least), f"id {id_kind.simpleString()}, {PIECES}").withColumn("bits", F.shiftrightunsigned("anchor", 64 - bits))
+        held = cut(pieces.join(hot, F.col("bits") == F.col("cell"), "left_semi").drop("bits").mapInArrow(lambda batches: packed(batches, 1, bits, HOT_PACK_BYTES), PACKED))
+        many = with_least(piece_rows(held, id_kind, least))
         single = with_least(single_windows(many.where("id = least").drop("least"), least))
-        pieces = pieces.join(hot, F.col("bits") == F.col("cell"), "left_anti").drop("bits")
-        repeats = indexed_repeats(pieces, least, buckets)
-        for found in (many, single):
-            repeats = repeats.unionByName(gone(found.where("id > least"), least))
+        # Held before the other pieces travel, so that the exchanges of these and of those are not there at once.
+        aside = cut(gone(many.where("id > least"), least).unionByName(gone(single.where("id > least"), least)))
+        rest = pieces.join(hot, F.col("bits") == F.col("cell"), "left_anti").drop("bits").mapInArrow(lambda batches: packed(batches, buckets, bits, PACK_BYTES), PACKED)
+        repeats = indexed_repeats(rest, id_kind, least).unionByName(aside)
     else:
-        repeats = indexed_repeats(pieces, least, buckets)
+        messages = texts.mapInArrow(lambda batches: packed(piece_batches(batches, least), buckets, bits, PACK_BYTES), PACKED)
+        repeats = indexed_repeats(messages, id_kind, least)
     return repeats, copies
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
-    """id, n_bytes, removed array<struct<start, end>> (maximal runs), kept (binary): one row for each row of df."""
-    docs = pick(df, id=id_col, text=text_col)
+def removed_of_ids(docs: DataFrame, least: int) -> DataFrame:
+    """i, ranges, by_key, copy_keys: of each id that loses bytes its runs, those of each of its texts where it has several, and the digests of texts that go entirely."""
     repeats, copies = repeated_ranges(docs, least)
     ranges = repeats.groupBy(F.col("id").alias("i")).agg(F.collect_list(F.struct("start", "end", "key")).alias("ranges"))
     kind = docs.schema["id"].dataType.simpleString()
@@ -424,7 +493,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     merged_ranges = ranges.mapInArrow(merge, f"i {kind}, ranges binary, by_key array<struct<key:binary,ranges:binary>>")
     whole = copies.groupBy(F.col("id").alias("c")).agg(F.collect_set("key").alias("copy_keys"))
-    both = cut(merged_ranges.join(whole, F.col("i") == F.col("c"), "full").select(F.coalesce("i", "c").alias("i"), "ranges", "by_key", "copy_keys"))
+    return cut(merged_ranges.join(whole, F.col("i") == F.col("c"), "full").select(F.coalesce("i", "c").alias("i"), "ranges", "by_key", "copy_keys"))
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
+    """id, n_bytes, removed array<struct<start, end>> (maximal runs), kept (binary): one row for each row of df."""
+    docs = pick(df, id=id_col, text=text_col)
+    with exchanges_let_go(docs.sparkSession):
+        both = removed_of_ids(docs, least)
     size = F.coalesce(F.octet_length("ranges"), F.lit(0)) + 32 * F.coalesce(F.size("copy_keys"), F.lit(0))
     size += F.coalesce(F.aggregate("by_key", F.lit(0), lambda a, r: a + 32 + F.octet_length(r["ranges"])), F.lit(0))
     joined = docs.join(broadcast_if_small(both, size), F.col("id") == F.col("i"), "left").select("id", "text", "ranges", "by_key", "copy_keys")

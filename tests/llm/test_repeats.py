@@ -1,5 +1,6 @@
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -129,6 +130,32 @@ def test_repeats_are_found_by_the_index_alone(spark, tmp_path, monkeypatch):
     assert ask() == 0
 
 
+def test_exchanges_stay_small_and_go(spark, monkeypatch):
+    """Pieces travel packed, those of hot anchors aside, and no exchange outlives the step that made it (before: 10 times the text, of which 8 stayed)."""
+    monkeypatch.setattr(repeats, "HOT_ROWS", 200)
+    line = noise(150)
+    bases = [noise(4000) for _ in range(100)]
+    rows = [(3 * i + k, b[:2000] + noise(60) * (k > 0) + b[2000:] + noise(30) + line) for i, b in enumerate(bases) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    env, store = spark._jvm.org.apache.spark.SparkEnv, spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return store.executorSummary("driver").totalShuffleWrite()
+
+    def left():
+        dirs = env.get().blockManager().diskBlockManager().localDirsString()
+        return sum(p.stat().st_size for d in dirs for p in Path(d).rglob("shuffle_*.data"))
+
+    there, before = left(), written()
+    found = repeats.remove_repeats(df)
+    made, text = written() - before, sum(len(t.encode()) for _, t in rows)
+    assert left() - there < 0.01 * text
+    assert made < 8 * text
+    got = sorted((r.id, r.n_bytes, sum(x.end - x.start for x in r.removed), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in found.collect())
+    assert got == sorted(brute(rows))
+
+
 def blind(held, rows, *_):
     return np.zeros((3, 0), np.int64)
 
